@@ -38,6 +38,28 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import licences
+
+    found = licences(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "digest", "licence", F.array_join("line_licences", ",").alias("line_licences"), F.size("line_licences").cast("long").alias("n_line_licences"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import BASE, joined, of_kinds, personal_data
+
+    found = personal_data(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = [k.name for k in BASE]
+    counts = [F.size(of_kinds(F.col("spans"), [n])).cast("long").alias(f"n_{n}") for n in names]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("spans"), names).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"), shingle=4, similarity=(85, 100))
+
+
 def op6_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,11 +69,39 @@ def op6_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import main_text
+
+    return main_text(read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_covered", "n_words")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identified, learned_from
+
+    found = identified(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.coalesce(~learned_from(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judged
+
+    return judged(read(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_decontamination": op2_decontamination,
+        "op3_license_scan": op3_license_scan,
+        "op4_pii": op4_pii,
+        "op5_ngram_join": op5_ngram_join,
         "op6_binary_output": op6_binary_output,
+        "op7_html_extraction": op7_html_extraction,
+        "op8_language_id": op8_language_id,
+        "op9_url_filter": op9_url_filter,
     }
 
 
