@@ -178,3 +178,10 @@ def masked(text: Column, spans: Column) -> Column:
     )
     done = F.concat(F.array_join(walked["out"], ""), F.substring(text, walked["at"] + 1, F.length(text)))
     return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+def masked_documents(documents: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The documents with their personal data masked; all columns and rows stay."""
+    spans = next(c for c in ("spans", "_spans", "__spans") if c not in {x.lower() for x in documents.columns})
+    found = personal_data(documents, text_col, into=spans, **options)
+    return found.select(*[masked(F.col(c), F.col(spans)).alias(c) if c == text_col else F.col(c) for c in documents.columns])
