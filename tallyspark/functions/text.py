@@ -6,14 +6,40 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns of sheet codes and file names, words of chat intents, words before a cross-reference.
-SHEET_CODES = [r"\b(E[0-9]{1,3}(?:\.[0-9]{1,3})?[A-Z]?)\b", r"\b([A-Z]{2}[0-9]{3,}-[0-9]{2,3})\b", r"^(CS)$"]
-FILE_NAME = r"(?i)^([0-9]+)---([A-Za-z0-9.-]+)\s+(.*)\.pdf$"
+SHEET_CODES = [r"\b(E[0-9]{1,3}(?:\.[0-9]{1,3})?[A-Za-z]?)\b", r"\b([A-Z]{1,3}[0-9]{3,}-[0-9]{2,3})\b", r"\b([A-Z]{1,2}[0-9]{1,4}[A-Za-z]?)\b"]
+FILE_NAME = r"(?i)^([0-9]+)---([A-Za-z0-9.]+)\s+(.+)\.pdf$"
 NOT_A_CODE = r"^(FE|SS|TR|JR|LP|CS|DP|VFD|UPS)[0-9]"
 PLAN_CODE = r"\b([A-Za-z]{1,3}[0-9]+[A-Za-z]?)\b"
 FIXTURE_REFERENCE = r"\b([A-Z]{1,2}[0-9]{1,2})\b"
-INTENTS = {"count": ["how many", "count", "total"], "remove": ["remove", "delete", "not a"], "add": ["add", "missing"], "explain": ["why", "explain", "what is"]}
+INTENTS = {
+    "correction": [
+        "should be", "is wrong", "incorrect", "fix ", "fix it", "change to", "correct ", "not right", "missing", "remove", "add fixture", "count should", "actually", "overcounted", "undercounted",
+        "too many", "too few", "reprocess", "recount", "re-run", "redo", "run again", "process only", "only process", "not a lighting", "not lighting", "is a lighting", "is lighting", "demolition",
+        "skip page", "skip these", "don't process", "do not process", "ignore page", "we have to process", "need to process", "subplan", "sub-plan", "sub plan", "viewport", "find inventory",
+        "find fixture", "find the inventory", "embedded plan", "embedded lighting", "process this", "count this", "count these", "count the", "this is a", "this page is", "this page has",
+        "schedule is on", "schedule on page", "schedule on this", "has a schedule", "has schedule", "has fixtures", "look at", "check this", "check page", "combo page", "combo", "both schedule and",
+        "reclassify", "classify as", "mark as", "split this", "split page", "has two", "has multiple", "is not a", "is not lighting", "not a schedule", "these are", "those are", "that is", "highlight",
+        "show me where", "show position", "show marker", "locate", "find on plan", "where is fixture", "where are", "toggle is wrong", "markers are wrong", "positions are wrong", "inventory is right",
+        "inventory is wrong", "count is right", "count is wrong", "toggle is right", "not showing", "not displayed", "doesn't show", "does not show", "can't see", "cannot see", "not visible",
+        "not appearing", "left panel", "leftpanel", "pdf viewer", "selected fixture", "show the", "display the", "show fixture", "show inventory",
+    ],
+    "param_change": ["tolerance", "threshold", "dpi", "increase", "decrease", "set", "parameter", "font size", "sensitivity", "keynote max", "vision counting", "render"],
+    "question": ["why", "how many", "what is", "explain", "which", "where", "tell me", "show me", "can you", "did you", "?"],
+}
 CROSS_WORDS = ["see", "sheet", "refer", "reference", "plan", "dwg", "drawing"]
-VIEWPORT_LABELS = [("(?i)mezzanine", "MEZ"), (r"(?i)level\s*([0-9]+)", "L"), ("(?i)lower", "LL"), ("(?i)upper", "UL"), ("(?i)roof", "RF"), ("(?i)basement", "B"), ("(?i)ground", "GF")]
+#: (pattern of a viewport's title, label; {0} stands for the pattern's group)
+VIEWPORT_LABELS = [
+    (r"level\s+([0-9]+)", "L{0}"),
+    (r"(mezzanine|mezz)", "MEZ"),
+    (r"(basement|bsmt)", "BSM"),
+    (r"([0-9]+)\s*(st|nd|rd|th)\s*floor", "FL{0}"),
+    (r"floor\s+([0-9]+)", "FL{0}"),
+    (r"(roof|rooftop)", "RF"),
+    (r"(penthouse|penth)", "PH"),
+    (r"(garage|parking)", "GAR"),
+    (r"area\s+['\"]?([A-Za-z0-9]+)['\"]?", "A{0}"),
+]
+PLAIN_TITLE_WORDS = ["enlarged", "lighting", "plan", "electrical", "layout", "partial"]
 
 
 def collapsed(text: Column) -> Column:
@@ -42,9 +68,9 @@ def file_parts(name: Column) -> Column:
 
 def last_sheet_code(text: Column) -> Column:
     """Tier by tier, the code of the last line that has one."""
-    lines = F.reverse(F.split(F.upper(text), "\n"))
+    lines = F.reverse(F.split(text, "\n"))
     tiers = [F.get(F.filter(F.transform(lines, _extract(p)), lambda x: x != ""), F.lit(0)) for p in SHEET_CODES]
-    return F.coalesce(*tiers)
+    return F.upper(F.coalesce(*tiers))
 
 
 def _extract(pattern: str):
@@ -87,10 +113,17 @@ def intent_scores(text: Column) -> Column:
     return F.struct(*[sum((low.contains(w).cast("int") for w in words), F.lit(0)).alias(name) for name, words in INTENTS.items()])
 
 
+def intent(scores: Column) -> Column:
+    """Two words of a correction or a parameter change decide, then a question, then single words."""
+    c, p, q = scores["correction"], scores["param_change"], scores["question"]
+    return F.when(c >= 2, "correction").when(p >= 2, "param_change").when((q >= 1) & (c == 0), "question").when(c >= 1, "correction").when(p >= 1, "param_change").otherwise("general")
+
+
 def viewport_label(title: Column) -> Column:
     out = None
     for pattern, label in VIEWPORT_LABELS:
-        value = F.concat(F.lit(label), F.regexp_extract(title, pattern, 1)) if "(" in pattern[4:] else F.lit(label)
-        out = F.when(title.rlike(pattern), value) if out is None else out.when(title.rlike(pattern), value)
-    word = F.regexp_extract(title, r"([A-Za-z]{3,})", 1)
-    return out.when(word != "", F.upper(F.substring(word, 1, 3))).otherwise("VP")
+        value = F.concat(F.lit(label.replace("{0}", "")), F.regexp_extract(title, f"(?i){pattern}", 1)) if "{0}" in label else F.lit(label)
+        hit = title.rlike(f"(?i){pattern}")
+        out = F.when(hit, value) if out is None else out.when(hit, value)
+    words = F.filter(F.split(F.trim(title), r"\s+"), lambda w: ~F.lower(w).isin(PLAIN_TITLE_WORDS) & (F.length(w) > 1))
+    return out.when(F.size(words) > 0, F.upper(F.substring(F.get(words, F.lit(0)), 1, 3))).otherwise("VP")

@@ -18,8 +18,6 @@ STAGES_OF_ACTION = {
     "split_page": [1, 2, 3, 4],
 }
 ALL_STAGES = [1, 2, 3, 4, 5]
-# The category of an action in pattern mining.
-CATEGORY_OF_ACTION = {"add": "missing_fixture", "remove": "false_fixture", "update_spec": "wrong_spec", "count_override": "wrong_count", "reclassify_page": "wrong_page"}
 
 
 def fold(corrections: DataFrame) -> DataFrame:
@@ -69,8 +67,19 @@ def target_stages(corrections: DataFrame) -> DataFrame:
 
 
 def categorised(corrections: DataFrame) -> DataFrame:
-    names = F.create_map(*[F.lit(x) for p in CATEGORY_OF_ACTION.items() for x in p])
-    return corrections.withColumn("category", F.coalesce(F.try_element_at(names, F.col("action")), F.lit("other")))
+    """Adds ``category``; counts that were lowered, and whatever has no category of its own, are overcounts."""
+    misread = F.col("reason") == "vlm_misread" if "reason" in corrections.columns else F.lit(False)
+    override = F.col("action") == "count_override"
+    category = (
+        F.when(override & (F.col("value") < F.col("original")) & (F.length("fixture_code") == 1), "short_code_ambiguity")
+        .when(override & (F.col("value") > F.col("original")), "systematic_undercount")
+        .when(F.col("action") == "remove", "phantom_fixture_type")
+        .when(F.col("action") == "add", "missing_fixture_type")
+        .when((F.col("action") == "update_spec") & misread, "vlm_misread")
+        .when(F.col("action") == "update_spec", "spec_correction")
+        .otherwise("systematic_overcount")
+    )
+    return corrections.withColumn("category", category)
 
 
 def mine_patterns(corrections: DataFrame, sources: int = 3, examples: int = 5) -> DataFrame:

@@ -38,12 +38,12 @@ def long_form(wide: DataFrame, plans: list[str]) -> DataFrame:
     return wide.unpivot("code", plans, "plan", "n").filter(F.coalesce("n", F.lit(0)) > 0)
 
 
-def merged_count(code: Column, text: Column, vision: Column, most: int = 7, ratio: float = 1.5) -> Column:
-    """One count from a text count and a vision count: long codes and codes the
-    vision did not see keep the text count; codes the text missed take the vision count
-    up to a bound; else the vision wins where it sees moderately more."""
+def merged_count(code: Column, text: Column, vision: Column, tolerance: int = 2) -> Column:
+    """One count from a text count and a vision count: codes of several letters keep the
+    text count; a letter that the text missed takes the vision's; counts that nearly
+    agree give the greater one, and where they disagree the text stands."""
     t, v = F.coalesce(text, F.lit(0)), F.coalesce(vision, F.lit(0))
-    return F.when(F.length(code) > 1, t).when((t == 0) & (v > 0), v).when((v > t) & (v <= F.greatest(t * ratio, F.lit(most))), v).otherwise(t)
+    return F.when(F.length(code) > 1, t).when((t == 0) & (v > 0), v).when(F.abs(v - t) <= tolerance, F.greatest(t, v)).otherwise(t)
 
 
 def merge_counts(text: DataFrame, vision: DataFrame) -> DataFrame:

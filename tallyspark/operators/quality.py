@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 IMPORTANT = ["voltage", "mounting", "lumens", "cct"]
 WEIGHTS = {"sheet_index": 0.15, "schedule_extraction": 0.30, "fixture_counting": 0.40, "keynote_extraction": 0.15}
 # Words that are table headings, never codes.
-HEADING_WORDS = ["type", "mark", "symbol", "fixture", "description", "schedule", "notes", "qty"]
+HEADING_WORDS = ["schedule", "schedules", "luminaire", "fixture", "fixtures", "lighting", "type", "description", "mark", "symbol", "catalog", "mounting", "voltage", "dimming", "watts", "wattage"]
 
 
 def blank(c: str) -> Column:
@@ -72,7 +72,7 @@ def verify_codes(codes: DataFrame) -> DataFrame:
     counted = codes.groupBy("code").agg(F.count("*").alias("n"))
     off = (
         penalty(F.lower("code").isin(HEADING_WORDS), 0.10)
-        + penalty(F.length("code") > 15, 0.05)
+        + penalty(~F.length("code").between(1, 6), 0.05)
         + penalty(F.col("code").rlike("^[A-Za-z]{4,}$"), 0.10)
         + penalty(~F.col("code").rlike("^[A-Za-z0-9./-]+$"), 0.05)
         + penalty(F.col("n") > 1, 0.05)

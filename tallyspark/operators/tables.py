@@ -37,7 +37,7 @@ def clean_cell(c: Column) -> Column:
 
 def is_data_code(c: Column) -> Column:
     """A short code of letters, digits, dots, dashes and slashes that is no plain word."""
-    return F.coalesce((F.length(c) <= 15) & c.rlike(r"^[A-Za-z0-9][A-Za-z0-9./-]*$") & ~c.rlike("^[A-Za-z]{4,}$"), F.lit(False))
+    return F.coalesce((F.length(c) <= 15) & c.rlike(r"^[A-Za-z0-9][A-Za-z0-9./-]*$") & ~c.rlike("^[A-Za-z]{4,}$") & ~F.upper(F.rtrim(c, F.lit("."))).isin("NO", "#", "QTY", "CKT"), F.lit(False))
 
 
 def holds_any(text: Column, words: list[str]) -> Column:

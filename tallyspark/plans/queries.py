@@ -52,7 +52,7 @@ def inv(spark: SparkSession, sf_dir: str, condition: str = "true") -> DataFrame:
 
 CORR = """corr AS (SELECT event_id AS seq, user_id AS source_key,
  CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'remove' WHEN 'click' THEN 'update_spec' WHEN 'purchase' THEN 'count_override' ELSE 'reclassify_page' END AS action,
- 'F' || (CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 20) AS fixture_code, 'S' || (event_id % 4) AS sheet, 'f' || (event_id % 3) AS field, CAST(trunc(value) AS BIGINT) AS value FROM events)"""
+ 'F' || (CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 20) AS fixture_code, 'S' || (event_id % 4) AS sheet, 'f' || (event_id % 3) AS field, CAST(trunc(value) AS BIGINT) AS value, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS original FROM events)"""
 FOLD = """folded AS (SELECT source_key, action, fixture_code, place, value FROM (SELECT *, row_number() OVER (PARTITION BY source_key, kind, fixture_code, place ORDER BY seq DESC) AS rn FROM (
  SELECT *, CASE WHEN action IN ('add', 'remove') THEN 'presence' ELSE action END AS kind, CASE WHEN action = 'count_override' THEN sheet WHEN action = 'update_spec' THEN field END AS place FROM corr)) WHERE rn = 1)"""
 
@@ -63,7 +63,7 @@ def events_as_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     action = F.when(kind == "signup", "add").when(kind == "error", "remove").when(kind == "click", "update_spec").when(kind == "purchase", "count_override").otherwise("reclassify_page")
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
     return e.select(
-        F.col("event_id").alias("seq"), F.col("user_id").alias("source_key"), action.alias("action"), F.concat(F.lit("F"), k % 20).alias("fixture_code"), F.concat(F.lit("S"), F.col("event_id") % 4).alias("sheet"), F.concat(F.lit("f"), F.col("event_id") % 3).alias("field"), F.col("value").cast("long").alias("value")
+        F.col("event_id").alias("seq"), F.col("user_id").alias("source_key"), action.alias("action"), F.concat(F.lit("F"), k % 20).alias("fixture_code"), F.concat(F.lit("S"), F.col("event_id") % 4).alias("sheet"), F.concat(F.lit("f"), F.col("event_id") % 3).alias("field"), F.col("value").cast("long").alias("value"), k.alias("original")
     )
 
 
@@ -158,7 +158,7 @@ _PAIR = """t AS (SELECT l_returnflag || l_linestatus AS plan, substr(p_brand, 7,
 v AS (SELECT l_returnflag || l_linestatus AS plan, substr(p_brand, 7, 1 + p_size % 2) AS code, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber >= 2 AND l_linenumber <= 4 GROUP BY 1, 2)"""
 
 
-@query(f"""WITH {_PAIR} SELECT plan, code, CAST(CASE WHEN length(code) > 1 THEN a WHEN a = 0 AND b > 0 THEN b WHEN b > a AND b <= greatest(a * 1.5, 7) THEN b ELSE a END AS BIGINT) AS n
+@query(f"""WITH {_PAIR} SELECT plan, code, CAST(CASE WHEN length(code) > 1 THEN a WHEN a = 0 AND b > 0 THEN b WHEN abs(b - a) <= 2 THEN greatest(a, b) ELSE a END AS BIGINT) AS n
  FROM (SELECT plan, code, coalesce(t.n, 0) AS a, coalesce(v.n, 0) AS b FROM t FULL JOIN v USING (plan, code))""")
 def inv_merge_text_vision(spark, sf_dir):
     parts = table(spark, sf_dir, "part").withColumn("p_brand", F.expr("substr(p_brand, 7, 1 + p_size % 2)"))
@@ -331,7 +331,7 @@ def cell_cleaning(spark, sf_dir):
     return cells(spark, sf_dir).withColumn("text", tables.clean_cell(F.col("text")))
 
 
-@query(f"WITH {LINES}, {CELLS} SELECT table_id, count(*) AS n FROM cells WHERE length(trim(text)) <= 15 AND regexp_matches(trim(text), '^[A-Za-z0-9][A-Za-z0-9./-]*$') AND NOT regexp_matches(trim(text), '^[A-Za-z]{{4,}}$') GROUP BY 1")
+@query(f"WITH {LINES}, {CELLS} SELECT table_id, count(*) AS n FROM cells WHERE length(trim(text)) <= 15 AND regexp_matches(trim(text), '^[A-Za-z0-9][A-Za-z0-9./-]*$') AND NOT regexp_matches(trim(text), '^[A-Za-z]{{4,}}$') AND upper(rtrim(trim(text), '.')) NOT IN ('NO', 'QTY', 'CKT') GROUP BY 1")
 def data_rows(spark, sf_dir):
     return cells(spark, sf_dir).filter(tables.is_data_code(F.trim("text"))).groupBy("table_id").agg(F.count("*").alias("n"))
 
@@ -524,7 +524,7 @@ def qa_confidence(spark, sf_dir):
 _VERIFY = "v AS (SELECT p_type AS code, count(*) AS n FROM part GROUP BY 1)"
 
 
-@query(f"WITH {_VERIFY} SELECT code, CAST(CASE WHEN length(code) > 15 THEN 0.05 ELSE 0 END + CASE WHEN regexp_matches(code, '^[A-Za-z]{{4,}}$') THEN 0.1 ELSE 0 END + CASE WHEN NOT regexp_matches(code, '^[A-Za-z0-9./-]+$') THEN 0.05 ELSE 0 END + CASE WHEN n > 1 THEN 0.05 ELSE 0 END AS DOUBLE) AS deduction, regexp_matches(code, '^[A-Za-z]{{4,}}$') AS error FROM v")
+@query(f"WITH {_VERIFY} SELECT code, CAST(CASE WHEN length(code) NOT BETWEEN 1 AND 6 THEN 0.05 ELSE 0 END + CASE WHEN regexp_matches(code, '^[A-Za-z]{{4,}}$') THEN 0.1 ELSE 0 END + CASE WHEN NOT regexp_matches(code, '^[A-Za-z0-9./-]+$') THEN 0.05 ELSE 0 END + CASE WHEN n > 1 THEN 0.05 ELSE 0 END AS DOUBLE) AS deduction, regexp_matches(code, '^[A-Za-z]{{4,}}$') AS error FROM v")
 def verify_schedule(spark, sf_dir):
     return quality.verify_codes(table(spark, sf_dir, "part").select(F.col("p_type").alias("code"))).withColumn("deduction", F.round("deduction", 4))
 
@@ -574,7 +574,7 @@ def corr_targets(spark, sf_dir):
     return corr.target_stages(events_as_corrections(spark, sf_dir))
 
 
-_CAT = "cat AS (SELECT *, CASE action WHEN 'add' THEN 'missing_fixture' WHEN 'remove' THEN 'false_fixture' WHEN 'update_spec' THEN 'wrong_spec' WHEN 'count_override' THEN 'wrong_count' ELSE 'wrong_page' END AS category FROM corr)"
+_CAT = "cat AS (SELECT *, CASE WHEN action = 'add' THEN 'missing_fixture_type' WHEN action = 'remove' THEN 'phantom_fixture_type' WHEN action = 'update_spec' THEN 'spec_correction' WHEN action = 'count_override' AND value > original THEN 'systematic_undercount' ELSE 'systematic_overcount' END AS category FROM corr)"
 _MINE = """mined AS (SELECT category, fixture_code, count(DISTINCT source_key) AS source_count, count(*) AS n FROM cat GROUP BY 1, 2 HAVING count(DISTINCT source_key) >= 3),
 ex AS (SELECT category, fixture_code, string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY category, fixture_code ORDER BY seq) AS k FROM cat) WHERE k <= 5 GROUP BY 1, 2)"""
 
@@ -633,9 +633,14 @@ def chat_recent(spark, sf_dir):
     return store.recent(c, ["conv_id"], [F.col("turn"), F.col("role"), F.col("text")], 3).select("conv_id", "turn", "role")
 
 
-@query("SELECT conv_id, turn, " + ", ".join("CAST(" + " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in ws) + f" AS INT) AS \"{k}\"" for k, ws in text.INTENTS.items()) + " FROM conversations")
+_SCORES = ", ".join("(" + " + ".join("CAST(contains(lower(text), '" + w.replace("'", "''") + "') AS INT)" for w in ws) + f") AS {k}" for k, ws in text.INTENTS.items())
+
+
+@query(f"""WITH s AS (SELECT conv_id, turn, {_SCORES} FROM conversations) SELECT conv_id, turn, CASE WHEN correction >= 2 THEN 'correction' WHEN param_change >= 2 THEN 'param_change' WHEN question >= 1 AND correction = 0 THEN 'question'
+ WHEN correction >= 1 THEN 'correction' WHEN param_change >= 1 THEN 'param_change' ELSE 'general' END AS intent, CAST(correction AS INT) AS correction, CAST(question AS INT) AS question FROM s""")
 def chat_intent(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.intent_scores(F.col("text")).alias("i")).select("conv_id", "turn", "i.*")
+    s = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.intent_scores(F.col("text")).alias("i"))
+    return s.select("conv_id", "turn", text.intent(F.col("i")).alias("intent"), "i.correction", "i.question")
 
 
 @query("""WITH d AS (SELECT q.vec_id AS query_id, v.vec_id, sqrt(list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: (CAST(v.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE)) * (CAST(v.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE))))) AS distance FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)
