@@ -151,3 +151,29 @@ def bounds_between(titles: DataFrame, page: str) -> DataFrame:
 def rebased(df: DataFrame, x0: Column, y0: Column) -> DataFrame:
     """Coordinates relative to the page box's corner."""
     return df.withColumns({c: F.col(c) - (x0 if c in ("x0", "x1", "cx", "x") else y0) for c in ("x0", "x1", "cx", "x", "top", "bottom", "cy", "y") if c in df.columns})
+
+
+def polygon_quality(numbers: DataFrame, segments: DataFrame, keys: list[str], id_col: str, reach: float = 13.0) -> DataFrame:
+    """(keys, id, segments, corners, spread) of the outline around each number.
+
+    Segments with both ends within ``reach`` count; corners are rounded ends where exactly
+    two segments meet; the spread is the population deviation of the midpoints' distances
+    from the centre, 999 for fewer than two.
+    """
+    segs = segments.withColumn("_s", F.struct("ax", "ay", "bx", "by"))
+    near = near_pairs(numbers, segs.select(*keys, F.col("ax").alias("rx"), F.col("ay").alias("ry"), "_s"), reach, keys)
+    other = (F.col("_s.bx") - F.col("x")) ** 2 + (F.col("_s.by") - F.col("y")) ** 2
+    inside = near.filter(other < reach * reach).select(*keys, id_col, "x", "y", "_s")
+    middle = F.sqrt(((F.col("_s.ax") + F.col("_s.bx")) / 2 - F.col("x")) ** 2 + ((F.col("_s.ay") + F.col("_s.by")) / 2 - F.col("y")) ** 2)
+    shape = inside.groupBy(*keys, id_col).agg(F.count("*").alias("segments"), F.when(F.count("*") >= 2, F.stddev_pop(middle)).otherwise(999.0).alias("spread"))
+    ends = inside.select(*keys, id_col, F.explode(F.array(F.struct(F.round("_s.ax").alias("u"), F.round("_s.ay").alias("v")), F.struct(F.round("_s.bx").alias("u"), F.round("_s.by").alias("v")))).alias("e"))
+    corners = ends.groupBy(*keys, id_col, "e").agg(F.count("*").alias("n")).groupBy(*keys, id_col).agg(F.count_if(F.col("n") == 2).alias("corners"))
+    return shape.join(corners, [*keys, id_col]).select(*keys, id_col, "segments", "corners", "spread")
+
+
+def near_words(matches: DataFrame, words: DataFrame, page: str, listed: list[str], dx: float = 60.0, dy: float = 10.0) -> DataFrame:
+    """Matches (x, y) with one of the listed words just left of them."""
+    said = words.filter(F.lower(F.regexp_replace("text", r"^[.,;:()]+|[.,;:()]+$", "")).isin(listed)).select(page, F.col("x").alias("wx"), F.col("y").alias("wy"), F.explode(F.sequence(F.floor(F.col("y") / dy) - 1, F.floor(F.col("y") / dy) + 1)).alias("_row"))
+    asked = matches.withColumn("_row", F.floor(F.col("y") / dy))
+    hit = (F.col("wx") < F.col("x")) & (F.col("x") - F.col("wx") < dx) & (F.abs(F.col("wy") - F.col("y")) < dy)
+    return asked.join(said.withColumnRenamed(page, "_p").withColumnRenamed("_row", "_r"), (F.col(page) == F.col("_p")) & (F.col("_row") == F.col("_r")) & hit, "left_semi").drop("_row")
