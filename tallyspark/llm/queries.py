@@ -32,9 +32,6 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        F.col("longest.words").alias("longest_words"),
-        F.col("longest.at").alias("longest_at"),
-        F.col("longest.item").alias("longest_item"),
     )
 
 
@@ -112,5 +109,63 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+UPPER, LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+
+OP2_SQL = rf"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER}, {LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER}, {LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(list_slice(ws, i, i + 9), ' ') AS t FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+d AS (SELECT doc_id, n, i, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS t FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, (SELECT DISTINCT n FROM win))),
+m AS (SELECT doc_id, i, win.n, item_id FROM d JOIN win ON d.n = win.n AND d.t = win.t),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY 1),
+it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM m GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+OP5_SQL = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER}, {LOWER}), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 3), ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN c cx ON x = cx.doc_id JOIN c cy ON y = cy.doc_id WHERE 100 * k >= 85 * (cx.n + cy.n - k)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT d.doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce((SELECT min(y) FROM r WHERE r.x = d.doc_id), d.doc_id)) AS component_id FROM documents d LEFT JOIN c USING (doc_id)"""
+
+OP10_SQL = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm FROM embeddings WHERE embedding IS NOT NULL),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.norm > 0 AND b.norm > 0 AND list_dot_product(a.x, b.x) >= 0.9 * a.norm * b.norm),
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM (SELECT vec_id, CAST((SELECT count(*) FROM l WHERE x = vec_id) AS BIGINT) AS n_links, least(vec_id, coalesce((SELECT min(y) FROM r WHERE x = vec_id), vec_id)) AS component_id FROM embeddings)"""
+
+
+def _op3_sql() -> str:
+    from .license_scan import COPYRIGHT_LINE, KNOWN, SPELLINGS
+
+    def form(c: str) -> str:
+        out = f"regexp_replace(translate({c}, {UPPER}, {LOWER}), '{COPYRIGHT_LINE}', ' ', 'g')"
+        for other, one in SPELLINGS:
+            out = f"replace({out}, '{other}', '{one}')"
+        return f"nullif(trim(regexp_replace({out}, '[^a-z0-9]+', ' ', 'g')), '')"
+
+    known = ", ".join("('" + n + "', '" + t.replace("'", "''") + "')" for n, t in KNOWN)
+    return f"""WITH known AS (SELECT sha256({form("t")}) AS k, min(n) AS licence FROM (VALUES {known}) v(n, t) GROUP BY 1),
+lines AS (SELECT doc_id, sha256({form("line")}) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+found AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS names, count(DISTINCT licence) AS n FROM lines JOIN known USING (k) GROUP BY 1)
+SELECT d.doc_id, sha256({form("d.text")}) AS digest, known.licence, coalesce(names, '') AS line_licences, CAST(coalesce(n, 0) AS BIGINT) AS n_line_licences FROM documents d LEFT JOIN known ON known.k = sha256({form("d.text")}) LEFT JOIN found ON found.doc_id = d.doc_id"""
+
+
+def _op9_sql() -> str:
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    rest = "CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+    return rf"""WITH u AS (SELECT page_id, translate(regexp_extract({rest}, '^[^/?#]*'), {UPPER}, {LOWER}) AS host, regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) AS path FROM pages),
+m AS (SELECT page_id, u.host, u.path, r.h || r.p AS rule, r.v, row_number() OVER (PARTITION BY page_id ORDER BY length(r.h || r.p) DESC) AS k FROM u JOIN (VALUES {rules}) r(h, p, v) ON (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p))
+SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.v, 'allow') AS verdict FROM u LEFT JOIN m ON m.page_id = u.page_id AND m.k = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can express an operator's query."""
+    return {
+        "op2_decontamination": OP2_SQL,
+        "op3_license_scan": _op3_sql(),
+        "op5_ngram_join": OP5_SQL,
+        "op9_url_filter": _op9_sql(),
+        "op10_embedding_dedup": OP10_SQL,
+    }
