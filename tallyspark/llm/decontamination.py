@@ -141,6 +141,7 @@ def _block_pass(index: BenchmarkIndex, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("_text")
+            kept = [c for c in batch.schema.names if c.startswith("_keep")]
             for first, last, raw, rows in bytehash.slices(texts):
                 hashes, offsets = bytehash.words(raw, rows, WORD_TABLE)
                 position, length, item, item_at = search_shard(index, hashes, offsets)
@@ -169,8 +170,8 @@ def _block_pass(index: BenchmarkIndex, keep_text: bool):
                     if best[0] > old_best[r]["words"]:
                         old_best[r] = {"words": best[0], "at": best[1], "item": index.item_names[best[2]]}
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_id"), part.column("_text") if keep_text else pa.nulls(len(part), pa.string()), pa.array(np.diff(offsets), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(old_best, LONGEST)],
-                    names=["_id", "_text", "_words", "_n_hit", "_hits", "_items", "_longest"],
+                    [part.column("_id"), part.column("_text") if keep_text else pa.nulls(len(part), pa.string()), pa.array(np.diff(offsets), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(old_best, LONGEST), *[part.column(c) for c in kept]],
+                    names=["_id", "_text", "_words", "_n_hit", "_hits", "_items", "_longest", *kept],
                 )
 
     return run
@@ -214,13 +215,14 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_b
 
 
 def contamination(
-    documents: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 16_000_000
+    documents: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 16_000_000, keep: list[str] | None = None
 ) -> DataFrame:
     """One row per document: words, hit word intervals, items and the longest match.
 
     Columns: the id, ``n_words``, ``n_hit`` (hit words), ``hits`` (intervals of word numbers, end
     exclusive, as little-endian 64-bit pairs), ``items`` (sorted item ids) and
-    ``longest`` (words, word number, item).
+    ``longest`` (words, word number, item). With ``keep`` those columns of the
+    documents come back instead, of the documents without any hit word.
     """
     spark = documents.sparkSession
     schema = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).schema
@@ -232,8 +234,9 @@ def contamination(
         F.lit(None).cast("binary").alias("_hits"),
         F.lit(None).cast("array<string>").alias("_items"),
         F.struct(F.lit(0).cast("long").alias("words"), F.lit(-1).cast("long").alias("at"), F.lit(None).cast("string").alias("item")).alias("_longest"),
+        *[F.col(c).alias(f"_keep{k}") for k, c in enumerate(keep or [])],
     )
-    out = f"_id {schema['_id'].dataType.simpleString()}, _text string, _words long, _n_hit long, _hits binary, _items array<string>, _longest struct<words:long, at:long, item:string>"
+    out = f"_id {schema['_id'].dataType.simpleString()}, _text string, _words long, _n_hit long, _hits binary, _items array<string>, _longest struct<words:long, at:long, item:string>" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in state.schema if f.name.startswith("_keep"))
     blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)
     block = next(blocks)
     while block:
@@ -243,6 +246,8 @@ def contamination(
         if after:
             state = saved(state, "decontamination")
         block = after
+    if keep is not None:
+        return state.filter("_n_hit = 0").select(*[F.col(f"_keep{k}").alias(c) for k, c in enumerate(keep)])
     return state.select(
         F.col("_id").alias(id_col), F.col("_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.col("_hits").alias("hits"), F.coalesce("_items", F.array().cast("array<string>")).alias("items"), F.col("_longest").alias("longest")
     )
@@ -250,9 +255,5 @@ def contamination(
 
 
 def uncontaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without any hit word; all their columns stay.
-
-    Documents are matched back by id, so rows that share an id fall together.
-    """
-    hit = contamination(documents, benchmark, id_col=id_col, text_col=text_col, **options).filter("n_hit > 0").select(F.col(id_col).alias("_hit_id")).distinct()
-    return documents.join(hit, documents[id_col].eqNullSafe(hit["_hit_id"]), "left_anti")
+    """The documents without any hit word; all their columns stay, and nothing is shuffled."""
+    return contamination(documents, benchmark, id_col=id_col, text_col=text_col, keep=documents.columns, **options)
