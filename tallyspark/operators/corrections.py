@@ -48,9 +48,9 @@ def apply_to_counts(counts: DataFrame, hints: DataFrame) -> DataFrame:
     """(code, plan, n) without removed codes, with added ones, and with overridden counts."""
     removed = hints.filter("action = 'remove'").select(F.col("fixture_code").alias("code"))
     added = hints.filter("action = 'add'").select(F.col("fixture_code").alias("code")).distinct()
-    plans = counts.select("plan").distinct()
+    plans = counts.agg(F.collect_set("plan").alias("plans"))  # one row: the plans of a project are few
     kept = counts.join(removed, "code", "left_anti")
-    new = added.join(counts.select("code").distinct(), "code", "left_anti").crossJoin(F.broadcast(plans.limit(1_000))).select("code", "plan", F.lit(0).cast("long").alias("n"))
+    new = added.join(counts.select("code").distinct(), "code", "left_anti").crossJoin(plans).select("code", F.explode("plans").alias("plan"), F.lit(0).cast("long").alias("n"))
     override = hints.filter("action = 'count_override'").groupBy(F.col("fixture_code").alias("code"), F.col("place").alias("plan")).agg(F.max("value").alias("over")).join(removed, "code", "left_anti")
     return kept.select("code", "plan", "n").unionByName(new).join(override, ["code", "plan"], "full").select("code", "plan", F.coalesce("over", "n").alias("n"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -10,19 +10,19 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", filter_col: str | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", filter_col: str | None = None, block: int = 256) -> DataFrame:
     """(query_id, id, distance, rank): a stated set of queries against all rows.
 
-    The queries travel as one array to every partition of the vectors (they are
-    few by contract), each partition keeps its best k of each query, and only those
-    are ranked together.
+    The queries are packed into rows of at most about ``block`` of them. Spark decides by
+    the packed rows' size whether they are broadcast or meet the vectors in parts. The
+    window's limit keeps the best k of each query in every task before anything is shuffled.
     """
     fields = [F.col(id_col).alias("query_id"), F.col(vector_col).alias("q")] + ([F.col(filter_col).alias("f")] if filter_col else [])
-    asked = queries.agg(F.collect_list(F.struct(*fields)).alias("queries"))
-    meet = vectors.crossJoin(F.broadcast(asked)).select(F.col(id_col), F.col(vector_col), *([filter_col] if filter_col else []), F.explode("queries").alias("a"))
+    blocks = max(1, -(-queries.count() // block))
+    asked = queries.groupBy(F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct(*fields)).alias("queries")).select("queries")
+    meet = vectors.crossJoin(asked).select(F.col(id_col), F.col(vector_col), *([filter_col] if filter_col else []), F.explode("queries").alias("a"))
     if filter_col:
         meet = meet.filter(F.col(filter_col) == F.col("a.f"))
     scored = meet.filter(F.col("a.query_id") != F.col(id_col)).select(F.col("a.query_id").alias("query_id"), F.col(id_col), F.sqrt(squared_distance(F.col(vector_col), F.col("a.q"))).alias("distance"))
-    part = scored.groupBy("query_id", F.spark_partition_id().alias("_p")).agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", id_col))), 1, k).alias("best"))
-    every = part.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
-    return every.select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", F.col(f"b.{id_col}").alias(id_col), F.round("b.distance", 4).alias("distance"), (F.col("rank") + 1).alias("rank"))
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", id_col))
+    return scored.withColumn("rank", order).filter(F.col("rank") <= k).select("query_id", id_col, F.round("distance", 4).alias("distance"), "rank")
