@@ -5,8 +5,8 @@ A document longer than the window is cut; its full windows stand alone and the
 rest is placed online into the fill level that makes the sum of the squared
 counts of partly filled windows smallest, the counts held in a level array. At
 the end of a partition the windows still open are merged: pieces of the
-emptiest are cut to fill the gaps of the fullest, so that at most one window of
-a partition is padded.
+emptiest are cut to fill the gaps of the fullest, and the one window that may be left
+over becomes sequences whose lengths are powers of two. So no sequence is padded.
 
 Only the pieces of open windows are held; full windows leave at once.
 
@@ -87,7 +87,23 @@ class SumOfSquares:
             yield number, pieces
             high -= 1
         if low == high:
-            yield left[low]
+            yield from self.powers(*left[low])
+
+    def powers(self, number: int, pieces: list[tuple]) -> Iterator[tuple]:
+        """The last window as sequences whose lengths are powers of two, which need no padding."""
+        size = sum(len(p[1]) for p in pieces)
+        rest = pieces[::-1]
+        for bit in range(size.bit_length() - 1, -1, -1):
+            room, out = size & (1 << bit), []
+            while room:
+                document, ids, start = rest.pop()
+                out.append((document, ids[:room], start))
+                if len(ids) > room:
+                    rest.append((document, ids[room:], start + room))
+                room -= len(out[-1][1])
+            if out:
+                yield number, out
+                number, self.next = self.next, self.next + 1
 
 
 def _pack(path: str, window: int, end_id: int):
