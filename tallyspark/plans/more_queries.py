@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import matching, quality, spatial
-from .queries import CORR, FIX, LINES, POINTS, SHEETS, events_as_corrections, fixtures, lines, points, query, sheets, table
+from ..functions import rules, text
+from ..operators import corrections as corr
+from ..operators import matching, quality, reports, spatial
+from .queries import _CAT, _MINE, CELLS, CORR, FIX, LINES, POINTS, SHEETS, cells, events_as_corrections, fixtures, lines, points, query, sheets, table
 
 _CODES = """fx AS (SELECT p_partkey AS id, substr('ABW', 1 + p_size % 3, 1) || CASE WHEN p_size % 4 = 0 THEN '-' ELSE '' END || (p_partkey % 40) AS code, CASE WHEN p_size % 2 = 0 THEN 'Battery pack lamp' ELSE 'lamp' END AS description, p_size FROM part),
 pc AS (SELECT DISTINCT code FROM (SELECT substr('ABW', 1 + l_linenumber % 3, 1) || CASE WHEN l_partkey % 3 = 0 THEN 'L' ELSE '' END || (l_partkey % 60) || CASE WHEN l_suppkey % 5 = 0 THEN 'E' ELSE '' END AS code FROM lineitem WHERE l_suppkey % 7 < 2))"""
@@ -132,4 +133,43 @@ def source_match(spark, sf_dir):
     return matching.resolved_source(names, known)
 
 
+_SAY = " ".join("WHEN '" + c + "' THEN '" + t.replace("'", "''").replace("%s", "' || fixture_code || '") + "'" for c, t in reports.SAYINGS.items())
 
+
+@query(f"WITH {CORR}, {_CAT}, {_MINE} SELECT category, fixture_code, CASE category {_SAY} END || ' (' || source_count || ' sources)' AS description, CASE category WHEN 'phantom_fixture_type' THEN 'remove' WHEN 'missing_fixture_type' THEN 'add' ELSE 'warn' END AS action FROM mined")
+def pattern_descriptions(spark, sf_dir):
+    return reports.described(corr.mine_patterns(events_as_corrections(spark, sf_dir))).select("category", "fixture_code", "description", "action")
+
+
+@query("""WITH i AS (SELECT p_brand, p_name || '/' || p_partkey AS code, (p_size % 40) / 64.0 AS confidence FROM part WHERE p_size % 2 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY confidence, code) AS k, count(*) OVER (PARTITION BY p_brand) AS n FROM i)
+SELECT p_brand, CAST(k AS INT) AS line_no, code AS line FROM r WHERE k <= 10 UNION ALL SELECT p_brand, 11, '... and ' || (n - 10) || ' more' FROM r WHERE k = 1 AND n > 10""")
+def qa_flagged_lines(spark, sf_dir):
+    p = table(spark, sf_dir, "part").filter("p_size % 2 = 0").select("p_brand", F.concat_ws("/", "p_name", "p_partkey").alias("code"), ((F.col("p_size") % 40) / F.lit(64.0)).alias("confidence"))
+    return reports.report_lines(p, "p_brand").withColumn("line", F.regexp_replace("line", ": [0-9]+%$", ""))
+
+
+@query("SELECT event_id, CASE WHEN k = 1 THEN b ELSE b || '_' || (k - 1) END AS id FROM (SELECT event_id, event_type || '_' || user_id AS b, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS k FROM events)")
+def unique_ids(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.concat_ws(" ", "event_type", "user_id").alias("name"))
+    return reports.unique_ids(e, "name", "event_id").select("event_id", "id")
+
+
+@query(f"WITH {LINES}, {CELLS}, s AS (SELECT table_id, col_idx, sum(CASE WHEN regexp_matches(trim(text), '^[A-Za-z]{{1,3}}[0-9]+(\\.[0-9]+)?[A-Za-z]{{0,2}}$') THEN 2 WHEN length(trim(text)) BETWEEN 1 AND 8 THEN 1 ELSE 0 END) AS score FROM cells GROUP BY 1, 2) SELECT table_id, CAST(col_idx AS INT) AS col_idx, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY score DESC, col_idx) AS k FROM s) WHERE k = 1")
+def header_column_guess(spark, sf_dir):
+    return reports.column_scores(cells(spark, sf_dir))
+
+
+@query(f"""WITH {SHEETS}, t AS (SELECT page_id, title, 'E' || (page_id % 30) AS code, coalesce({rules.sql_first_match('title', rules.TYPE_OF_TITLE)}, 'other') AS ty FROM sheets), u AS (SELECT page_id, title, code, CASE WHEN ty = 'demolition_plan' AND page_id % 2 = 0 THEN 'lighting_plan' ELSE ty END AS ty FROM t),
+d AS (SELECT count(DISTINCT ty) AS n FROM (SELECT ty FROM u GROUP BY ty, code HAVING count(*) > 1)), c AS (SELECT count(*) FILTER (WHERE ty = 'lighting_plan' AND contains(lower(title), 'demo')) AS demo FROM u)
+SELECT * FROM (SELECT 'no_sheet_index' AS "check", 'warning' AS severity, CAST(0.1 AS DOUBLE) AS deduction UNION ALL SELECT 'possible_misclassification', 'warning', round(CAST(0.1 * demo AS DOUBLE), 4) FROM c UNION ALL SELECT 'duplicate_sheet_codes', 'warning', round(CAST(0.05 * n AS DOUBLE), 4) FROM d) WHERE deduction > 0""")
+def verify_search(spark, sf_dir):
+    s = sheets(spark, sf_dir)
+    kind = F.coalesce(rules.first_match(F.col("title"), rules.TYPE_OF_TITLE), F.lit("other"))
+    pages = s.select(F.concat(F.lit("E"), F.col("page_id") % 30).alias("sheet_code"), F.col("title").alias("sheet_title"), F.when((kind == "demolition_plan") & (F.col("page_id") % 2 == 0), "lighting_plan").otherwise(kind).alias("page_type"))
+    return reports.verify_pages(pages, has_index=False)
+
+
+@query("""WITH f AS (SELECT o_orderpriority AS stage, o_orderkey AS seq, 'Issue with order ' || o_orderkey AS message FROM orders WHERE o_orderkey % 5 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY seq) AS k FROM f) SELECT stage, message FROM k WHERE k <= 2 ORDER BY stage, message LIMIT 8""")
+def suggestions(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("stage"), F.col("o_orderkey").alias("seq"), F.concat(F.lit("Issue with order "), "o_orderkey").alias("message"), (F.col("o_orderkey") % 5 != 0).alias("passed"))
+    return reports.suggestions(o, "stage")
