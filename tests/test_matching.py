@@ -60,3 +60,15 @@ def test_bounds_and_neighbours(spark):
     assert [(r.previous, r.next) for r in matching.neighbours(p, "page", "cx").orderBy("cx").collect()] == [("c", "b"), ("a", "c"), ("b", "a")]
     moved = spatial.rebased(spark.createDataFrame([(-1000.0, 5.0)], "x0 double, top double"), F.lit(-1224.0), F.lit(0.0))
     assert rows(moved) == [(224.0, 5.0)]
+
+
+def test_reports(spark):
+    from tallyspark.operators import reports
+
+    items = spark.createDataFrame([("g", f"c{k:02d}", k / 100) for k in range(13)] + [("h", "x", 0.5)], "g string, code string, confidence double")
+    lines = rows(reports.report_lines(items, "g"))
+    assert ("g", 1, "c00: 0%") in lines and ("g", 11, "... and 3 more") in lines and ("h", 1, "x: 50%") in lines and len(lines) == 12
+    none = spark.createDataFrame([], "sheet_code string, sheet_title string, page_type string")
+    assert rows(reports.verify_pages(none, False)) == [("no_pages", "error", 1.0)]
+    pages = spark.createDataFrame([("E1", "DEMO", "lighting_plan"), ("E1", None, "lighting_plan"), ("E5", "", "schedule"), (None, None, "strange")], "sheet_code string, sheet_title string, page_type string")
+    assert rows(reports.verify_pages(pages, True)) == [("duplicate_sheet_codes", "warning", 0.05), ("invalid_page_types", "error", 0.15), ("possible_misclassification", "warning", 0.1)]
