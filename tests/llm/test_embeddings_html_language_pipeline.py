@@ -55,6 +55,8 @@ def test_blocks():
     article = '<article><h1>T &amp; U</h1><p><b>One\n two<br>three<p>four<div class="side-bar share">s</div><aside>a</aside><form>f</form><section class="comments"><article>c</article></section><p>"five" &lt;6&gt;</article>'
     ((text, _, _),) = extract([(1, PAGE.format(article))], 6)
     assert text == 'T & U\n\nOne two three\n\nfour\n\n"five" <6>'
+    own = '<div class="site-header">s</div><article><header class="entry-header"><h1>title</h1></header><p>body</article>'
+    assert extract([(1, own)], 6)[0][0] == "title\n\nbody"
     assert [b[0] for b in blocks("<p>a</p")] == ["a"]
     assert blocks("") == [] and extract([(1, None)], 6)[0][0] == ""
     assert extract([(1, "<nav>m<article>kept &amp cut &am")], 6)[0][0] == "kept & cut &am"
