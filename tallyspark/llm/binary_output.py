@@ -3,6 +3,7 @@
 File format, one row a block, in ascending order of document ids:
 
 * ``part`` and ``block``: the file's number and the block's number in it;
+* ``before``: the ids of the same file that stand in earlier blocks;
 * ``doc_ids``, ``n_tokens``: the documents that end in the block, and their ids' numbers;
 * ``words``: little-endian unsigned 64-bit words. The top four bits select one
   of the layouts below, the rest hold the ids, the first id lowest. Selector 15
@@ -49,17 +50,23 @@ def encode_words(ids: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(max(len(cuts) - 1, 0), np.int64)
-    width = np.maximum(1, np.ceil(np.log2(ids.astype(np.float64) + 1)).astype(np.int64))
     left = np.repeat(cuts[1:], np.diff(cuts)) - np.arange(n)
     pick = np.full(n, len(LAYOUTS) - 1, dtype=np.int8)
-    undecided = np.ones(n, dtype=bool)
-    for s, (count, bits) in enumerate(LAYOUTS):
-        wide = np.concatenate([[0], np.cumsum(width > bits)])
-        at = np.flatnonzero(undecided)
-        reach = np.minimum(at + count, n)
-        fits = (left[at] >= count) & (wide[reach] == wide[at])
-        pick[at[fits]] = s
-        undecided[at[fits]] = False
+    # how far the ids stay within so many bits; narrower layouts hold more ids and overwrite
+    for s in range(len(LAYOUTS) - 1, -1, -1):
+        count, bits = LAYOUTS[s]
+        fits = left >= count
+        if bits < 32:
+            small = ids < (1 << bits)
+            if not small.any():
+                break
+            run, have = small, 1
+            while have < count:  # all of a window are small: windows double in length
+                more = min(have, count - have)
+                run = np.concatenate([run[: n - more] & run[more:], np.zeros(min(more, n), dtype=bool)]) if more < n else np.zeros(n, dtype=bool)
+                have += more
+            fits &= run
+        pick[fits] = s
     counts = np.array([c for c, _ in LAYOUTS])
     step = counts[pick]
     # every document takes its next word in each round; the finished ones drop out
@@ -99,10 +106,10 @@ def decode_words(words: np.ndarray) -> np.ndarray:
 
 
 def _write_blocks(path: str, end_id: int, id_type: pa.DataType):
-    kinds = [pa.int32(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, block = TaskContext.get().partitionId(), 0
+        part, block, before = TaskContext.get().partitionId(), 0, 0
         for b in batches:
             names = b.column("_id").to_pylist()
             for first, last, flat, offsets in tokens.encoder(path).encode(b.column("_text")):
@@ -115,9 +122,9 @@ def _write_blocks(path: str, end_id: int, id_type: pa.DataType):
                 while at < n:
                     to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + BLOCK_IDS, side="right")) - 1)
                     words, start = encode_words(ids[cuts[at] : cuts[to]], cuts[at : to + 1] - cuts[at])
-                    row = [part, block, names[first + at : first + to], np.diff(cuts[at : to + 1]).tolist(), words.astype("<u8").tobytes(), start.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["part", "block", "doc_ids", "n_tokens", "words", "offsets"])
-                    block, at = block + 1, to
+                    row = [part, block, before, names[first + at : first + to], np.diff(cuts[at : to + 1]).tolist(), words.astype("<u8").tobytes(), start.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["part", "block", "before", "doc_ids", "n_tokens", "words", "offsets"])
+                    block, before, at = block + 1, before + int(cuts[to] - cuts[at]), to
 
     return run
 
@@ -129,7 +136,7 @@ def write_token_files(documents: DataFrame, tokenizer: str, path: str, end_id: i
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = source.repartitionByRange(parts, "_id").sortWithinPartitions("_id")
     id_type = pa.int32() if kind == "int" else pa.string() if kind == "string" else pa.int64()
-    blocks = ordered.mapInArrow(_write_blocks(tokenizer, end_id, id_type), f"part int, block long, doc_ids array<{kind}>, n_tokens array<long>, words binary, offsets array<long>")
+    blocks = ordered.mapInArrow(_write_blocks(tokenizer, end_id, id_type), f"part int, block long, before long, doc_ids array<{kind}>, n_tokens array<long>, words binary, offsets array<long>")
     blocks.write.option("compression", "none").parquet(path)
 
 
@@ -151,14 +158,13 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") ->
     """Read the files: the id, ``start`` (ids of all documents before it),
     ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit)."""
     blocks = spark.read.parquet(path)
-    sizes = blocks.select("part", "block", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("size"))
-    by_part = sizes.groupBy("part").agg(F.sum("size").alias("size"))
-    # one row a file: the running sum over files is small whatever the corpus holds
-    parts = by_part.withColumn("part_base", F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", F.coalesce("part_base", F.lit(0)).alias("part_base"))
-    inside = sizes.withColumn("in_part", F.sum("size").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)))
-    base = inside.join(parts, "part").select("part", "block", (F.col("part_base") + F.coalesce("in_part", F.lit(0))).alias("base"))
+    size = F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)
+    by_part = blocks.groupBy("part").agg(F.sum(size).alias("size"))
+    # one row a file, and as many files as partitions: small whatever the corpus holds
+    parts = by_part.select("part", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_base"))
+    placed = blocks.join(F.broadcast(parts), "part").select("doc_ids", "n_tokens", "words", (F.col("part_base") + F.col("before")).alias("base"))
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
-    return blocks.join(base, ["part", "block"]).select("doc_ids", "n_tokens", "words", "base").mapInArrow(_read_blocks, f"_id {kind}, start long, n_tokens long, ids binary").withColumnRenamed("_id", id_col)
+    return placed.mapInArrow(_read_blocks, f"_id {kind}, start long, n_tokens long, ids binary").withColumnRenamed("_id", id_col)
 
 
 def round_trip(documents: DataFrame, tokenizer: str, end_id: int = 0, **columns) -> DataFrame:

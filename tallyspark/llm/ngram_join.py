@@ -28,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytehash
-from .common import saved
+from .common import discard, saved
 from .components import components
 
 WORD_TABLE = bytehash.separator_table(lambda b: b == 0x20 or 0x09 <= b <= 0x0D, lower=True)
@@ -89,6 +89,11 @@ def least_overlap(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
 
+def common_needed(n: str, m: str, num: int, den: int) -> str:
+    """SQL: tokens that linked sets of n and m share at least."""
+    return f"cast(ceil({num}D * ({n} + {m}) / {num + den}) as bigint)"
+
+
 def choose_prefix(costs: np.ndarray, n: int, num: int, den: int) -> tuple[int, int]:
     """(l, prefix length): the cheapest of the prefixes with l = 1, 2, ..."""
     need = least_overlap(n, num, den)
@@ -128,12 +133,12 @@ def _signatures(counts, k: int, num: int, den: int):
     return run
 
 
-POSTING = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("step", pa.int32()), ("tier", pa.int32())])
-MEETING = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("step", pa.int32()), ("tier", pa.int32()), ("token", pa.int64())])
-MEETING_SQL = "kind int, a long, b long, na long, nb long, step int, tier int, token long"
+POSTING = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("step", pa.int32()), ("place", pa.int32())])
+MEETING = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("step", pa.int32()), ("strong", pa.int32()), ("rest", pa.int64()), ("place", pa.int32()), ("token", pa.int64())])
+MEETING_SQL = "kind int, a long, b long, na long, nb long, step int, strong int, rest long, place int, token long"
 
 
-def _postings(num: int, den: int):
+def _postings():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, n, step = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "_n", "_step"))
@@ -143,17 +148,20 @@ def _postings(num: int, den: int):
             sizes = np.array([len(p) // 8 for p in prefixes])
             tokens = np.frombuffer(b"".join(prefixes), "<i8")
             place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            plain = np.repeat(np.array([x - least_overlap(int(x), num, den) + 1 for x in n]), sizes)
-            tier = np.maximum(place - plain + 2, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.repeat(ids, sizes)), pa.array(np.repeat(n, sizes)), pa.array(np.repeat(step, sizes).astype(np.int32)), pa.array(tier.astype(np.int32))], schema=POSTING)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.repeat(ids, sizes)), pa.array(np.repeat(n, sizes)), pa.array(np.repeat(step, sizes).astype(np.int32)), pa.array(place.astype(np.int32))], schema=POSTING)
 
     return run
 
 
 def _meetings(num: int, den: int, reach: int):
-    """Over postings sorted by token: pairs of neighbours (kind 0), and the postings of lists longer than ``reach + 1`` (kind 1)."""
+    """Over postings sorted by token: pairs of neighbours (kind 0), and the postings of lists longer than ``reach + 1`` (kind 1).
+
+    ``strong``: the token is in both prefixes that the smaller step asks for. ``rest``:
+    the most tokens that a set has behind its prefix, so that the sets share at most
+    the prefix tokens they share and ``rest`` more.
+    """
 
-    def pairs(token, ids, n, step, tier, carried: int) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(token, ids, n, carried: int) -> tuple[np.ndarray, np.ndarray]:
         left, right = [], []
         for d in range(1, reach + 1):
             hit = np.flatnonzero(token[d:] == token[:-d]) if d < len(token) else np.zeros(0, np.int64)
@@ -169,20 +177,23 @@ def _meetings(num: int, den: int, reach: int):
         return np.concatenate(left), np.concatenate(right)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "id", "n", "step", "tier"]
+        names = ["token", "id", "n", "step", "place"]
         tail = [np.zeros(0, np.int64) for _ in names]  # rows that the next batch may still meet
         rank_of_tail = np.zeros(0, np.int64)  # their places in their lists
         for b in batches:
             if not b.num_rows:
                 continue
             carried = len(tail[0])
-            token, ids, n, step, tier = (np.concatenate([t, b.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for t, c in zip(tail, names))
+            token, ids, n, step, place = (np.concatenate([t, b.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for t, c in zip(tail, names))
             new = np.concatenate([[True], token[1:] != token[:-1]])
             start = np.flatnonzero(new)
             rank = np.arange(len(token)) - np.repeat(start, np.diff(np.append(start, len(token))))
             if carried:
                 rank[: np.append(start, len(token))[1]] += rank_of_tail[0]
-            i, j = pairs(token, ids, n, step, tier, carried)
+            i, j = pairs(token, ids, n, carried)
+            need = -(-num * n // den)
+            rest = need - step
+            tier = place - (n - need) + 1
             small, large = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
             swap = ids[i] > ids[j]
             na, nb = np.where(swap, n[j], n[i]), np.where(swap, n[i], n[j])
@@ -199,12 +210,14 @@ def _meetings(num: int, den: int, reach: int):
                 np.concatenate([na, n[long]]),
                 np.concatenate([nb, zero]),
                 np.concatenate([np.minimum(step[i], step[j]), step[long]]),
-                np.concatenate([np.maximum(tier[i], tier[j]), tier[long]]),
+                np.concatenate([np.maximum(tier[i], tier[j]) <= np.minimum(step[i], step[j]), zero > 0]),
+                np.concatenate([np.maximum(rest[i], rest[j]), rest[long]]),
+                np.concatenate([np.zeros(len(i), np.int64), place[long]]),
                 np.concatenate([token[i], token[long]]),
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(columns, MEETING)], schema=MEETING)
             keep = np.flatnonzero(token[-(reach + 1) :] == token[-1]) + max(0, len(token) - reach - 1)
-            tail = [c[keep] for c in (token, ids, n, step, tier)]
+            tail = [c[keep] for c in (token, ids, n, step, place)]
             rank_of_tail = rank[keep]
 
     return run
@@ -243,47 +256,68 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: tuple[in
     classes = saved(filled.groupBy("_mark").agg(F.min("_id").alias("_first")), "classes")
     first = filled.join(classes.select(F.col("_first").alias("_id")).distinct(), "_id", "left_semi")
 
-    postings = first.select("_id", "_n", "_step", "_prefix").mapInArrow(_postings(num, den), "token long, id long, n long, step int, tier int")
+    postings = first.select("_id", "_n", "_step", "_prefix").mapInArrow(_postings(), "token long, id long, n long, step int, place int")
     lists = postings.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token")
     order = F.xxhash64("id", F.pmod("token", F.lit(3)))
     met = saved(lists.withColumn("_order", order).sortWithinPartitions("token", "_order").drop("_order").mapInArrow(_meetings(num, den, reach), MEETING_SQL), "meetings")
 
-    long = met.filter("kind = 1").select("token", F.col("a").alias("id"), F.col("na").alias("n"), "step", "tier")
+    long = met.filter("kind = 1").select("token", F.col("a").alias("id"), F.col("na").alias("n"), "step", "rest", "place")
     in_long = long.groupBy("id").agg(F.count("*").alias("n_long"))
-    counted = met.filter("kind = 0 and tier <= step").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("step").alias("step"))
-    room = counted.join(in_long.select(F.col("id").alias("a"), F.col("n_long").alias("_la")), "a", "left").join(in_long.select(F.col("id").alias("b"), F.col("n_long").alias("_lb")), "b", "left")
-    pairs = saved(room.filter(F.col("shared") + F.least(F.coalesce("_la", F.lit(0)), F.coalesce("_lb", F.lit(0))) >= F.col("step")).select("a", "b"), "pairs")
+    counted = met.filter("kind = 0").groupBy("a", "b").agg(F.count("*").alias("shared"), F.sum("strong").alias("strong"), *[F.first(c).alias(c) for c in ("step", "rest", "na", "nb")])
+    counted = saved(counted, "counted")
+    enough = f"shared + {{0}} + rest >= {common_needed('na', 'nb', num, den)} and strong + {{0}} >= step"
+    sure = enough.format("0L")
+    # tokens that both hold in long lists were not counted
+    more_long = counted.filter(f"not ({sure})").join(in_long.select(F.col("id").alias("a"), F.col("n_long").alias("_la")), "a").join(in_long.select(F.col("id").alias("b"), F.col("n_long").alias("_lb")), "b")
+    pairs = saved(counted.filter(sure).select("a", "b").unionByName(more_long.filter(enough.format("least(_la, _lb)")).select("a", "b")), "pairs")
 
     ends = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).union(long.select("id")).distinct()
     texts = saved(source.join(ends, "_id", "left_semi"), "texts")
     links = saved(verified(pairs, texts, shingle, num, den), "links")
     groups = components(links)
+    discard(counted, pairs, links)
 
     if not long.isEmpty():
         for turn in range(rounds + 1):
-            held = long.join(groups, "id", "left").select("token", "id", "n", "step", "tier", F.coalesce("component", "id").alias("component"))
+            held = long.join(groups, "id", "left").select("token", "id", "n", "step", "rest", "place", F.coalesce("component", "id").alias("component"))
             mixed = held.groupBy("token").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).filter("_x <> _y").select("token")
             open_lists = saved(held.join(mixed, "token", "left_semi"), "open-lists")
             if open_lists.isEmpty():
                 break
-            x, y = open_lists, open_lists.select("token", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "step", "tier", "component")])
             if turn < rounds:  # neighbours in another random order
                 again = open_lists.withColumn("_order", F.xxhash64("id", F.lit(turn))).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token")
-                near = again.sortWithinPartitions("token", "_order").select("token", "id", "n", "step", "tier").mapInArrow(_meetings(num, den, reach), MEETING_SQL).filter("kind = 0").select("a", "b").distinct()
+                near = again.sortWithinPartitions("token", "_order").select("token", "id", "n", "step", "place").mapInArrow(_meetings(num, den, min(reach, 4)), MEETING_SQL).filter("kind = 0").select("a", "b").distinct()
                 found = near.join(groups.select(F.col("id").alias("a"), F.col("component").alias("_ca")), "a", "left").join(groups.select(F.col("id").alias("b"), F.col("component").alias("_cb")), "b", "left")
                 asked = found.filter(~F.coalesce("_ca", "a").eqNullSafe(F.coalesce("_cb", "b"))).select("a", "b")
-            else:  # all pairs of different components that share enough tokens of long lists
-                meet = x.join(y, "token").filter(f"component < component_b and {den} * least(n, n_b) >= {num} * greatest(n, n_b) and greatest(tier, tier_b) <= least(step, step_b)")
-                asked = meet.groupBy(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("step", "step_b")).alias("step")).filter("shared >= step").select("a", "b")
-            more = saved(verified(saved(asked, "pairs"), texts, shingle, num, den), "links")
+            else:  # all pairs of different components, met at what can be their first common token
+                # (such a pair shares nothing in short lists, or it was compared before)
+                by_place = Window.partitionBy("id", "n").orderBy("place")
+                ranked = open_lists.withColumns({"rank": F.row_number().over(by_place), "held": F.count("*").over(Window.partitionBy("id", "n"))})
+                x, y = ranked, ranked.select("token", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "rest", "component", "rank", "held")])
+                least_shared = f"greatest({common_needed('n', 'n_b', num, den)} - greatest(rest, rest_b), 1L)"
+                meet = x.join(y, "token").filter(f"component < component_b and {den} * least(n, n_b) >= {num} * greatest(n, n_b) and rank + {least_shared} <= held + 1 and rank_b + {least_shared} <= held_b + 1")
+                asked = meet.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
+            asked = saved(asked, "pairs")
+            more = saved(verified(asked, texts, shingle, num, den), "links")
             if not more.isEmpty():
-                links = links.unionByName(more)
-                groups = components(links)
+                groups = joined_groups(groups, more)
+            discard(asked, more, open_lists)
+    discard(texts, met)
     of_class = classes.join(groups.withColumnRenamed("id", "_first"), "_first", "left").select(F.col("_mark").alias("_m"), F.coalesce("component", "_first").alias("_component"))
     joined = signatures.join(of_class, signatures["_mark"] == of_class["_m"], "left")
     return joined.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.coalesce("_component", "_id")).alias("component_id"))
 
 
+def joined_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``groups`` after further links: only components meet, not their members."""
+    ends = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
+    known = groups.unionByName(ends.join(groups, "id", "left_anti").select("id", F.col("id").alias("component")))
+    of_a, of_b = (known.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
+    merged = components(links.join(of_a, "a").join(of_b, "b"), "ca", "cb")
+    moved = merged.select(F.col("id").alias("component"), F.col("component").alias("_to"))
+    return saved(known.join(moved, "component", "left").select("id", F.coalesce("_to", "component").alias("component")), "components")
+
+
 def one_of_each_group(documents: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents that are the smallest id of their component; all columns stay."""
     kept = near_duplicates(documents, id_col=id_col, **options).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept"))
