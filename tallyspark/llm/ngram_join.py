@@ -9,7 +9,8 @@ tokens as the smaller of its two lengths asks for before its whole sets are comp
 
 Documents with equal sets are one class from the start. Postings are sorted by token
 and read as streams: every document of a list meets the ``reach`` documents before it,
-which are all of a list of up to ``reach + 1``. What longer lists still hold is asked
+which are all of a list of up to ``reach + 1``, and a few in longer lists. Next neighbours are compared first, then the
+pairs that these comparisons left in different components. What longer lists still hold is asked
 for only between documents that are not yet in one component: some rounds in other
 random orders join the large groups, and then all remaining pairs of different
 components are compared. So large groups of copies never expand to all pairs, and no
@@ -39,6 +40,7 @@ WORD_TABLE = bytehash.separator_table(lambda b: b == 0x20 or 0x09 <= b <= 0x0D,
 CELLS, CHUNKS = 1 << 20, 256
 LONGEST_STEP = 6
 VERIFY_COST = 20.0
+NEXT = 4
 
 
 def row_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -134,8 +136,8 @@ def _signatures(counts, k: int, num: int, den: int):
 
 
 POSTING = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("step", pa.int32()), ("place", pa.int32())])
-MEETING = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("step", pa.int32()), ("strong", pa.int32()), ("rest", pa.int64()), ("place", pa.int32()), ("token", pa.int64())])
-MEETING_SQL = "kind int, a long, b long, na long, nb long, step int, strong int, rest long, place int, token long"
+MEETING = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("step", pa.int32()), ("strong", pa.int32()), ("rest", pa.int64()), ("place", pa.int32()), ("token", pa.int64()), ("apart", pa.int32())])
+MEETING_SQL = "kind int, a long, b long, na long, nb long, step int, strong int, rest long, place int, token long, apart int"
 
 
 def _postings():
@@ -156,16 +158,19 @@ def _postings():
 def _meetings(num: int, den: int, reach: int):
     """Over postings sorted by token: pairs of neighbours (kind 0), and the postings of lists longer than ``reach + 1`` (kind 1).
 
+    A row past ``reach`` meets only the ``NEXT`` rows before it, as its list is asked again.
+
     ``strong``: the token is in both prefixes that the smaller step asks for. ``rest``:
     the most tokens that a set has behind its prefix, so that the sets share at most
-    the prefix tokens they share and ``rest`` more.
+    the prefix tokens they share and ``rest`` more. ``apart``: how far from each other
+    the two stand in the list.
     """
 
-    def pairs(token, ids, n, carried: int) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(token, ids, n, rank, carried: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         left, right = [], []
         for d in range(1, reach + 1):
             hit = np.flatnonzero(token[d:] == token[:-d]) if d < len(token) else np.zeros(0, np.int64)
-            hit = hit[hit + d >= carried]
+            hit = hit[(hit + d >= carried) & ((rank[hit + d] <= reach) | (d <= NEXT))]
             if not len(hit):
                 break
             x, y = n[hit], n[hit + d]
@@ -173,8 +178,9 @@ def _meetings(num: int, den: int, reach: int):
             left.append(hit)
             right.append(hit + d)
         if not left:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(left), np.concatenate(right)
+            return (np.zeros(0, np.int64),) * 3
+        apart = np.repeat(np.arange(1, len(left) + 1), [len(hit) for hit in left])
+        return np.concatenate(left), np.concatenate(right), apart
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["token", "id", "n", "step", "place"]
@@ -190,7 +196,7 @@ def _meetings(num: int, den: int, reach: int):
             rank = np.arange(len(token)) - np.repeat(start, np.diff(np.append(start, len(token))))
             if carried:
                 rank[: np.append(start, len(token))[1]] += rank_of_tail[0]
-            i, j = pairs(token, ids, n, carried)
+            i, j, apart = pairs(token, ids, n, rank, carried)
             need = -(-num * n // den)
             rest = need - step
             tier = place - (n - need) + 1
@@ -214,6 +220,7 @@ def _meetings(num: int, den: int, reach: int):
                 np.concatenate([np.maximum(rest[i], rest[j]), rest[long]]),
                 np.concatenate([np.zeros(len(i), np.int64), place[long]]),
                 np.concatenate([token[i], token[long]]),
+                np.concatenate([apart, zero]),
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(columns, MEETING)], schema=MEETING)
             keep = np.flatnonzero(token[-(reach + 1) :] == token[-1]) + max(0, len(token) - reach - 1)
@@ -263,19 +270,24 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: tuple[in
 
     long = met.filter("kind = 1").select("token", F.col("a").alias("id"), F.col("na").alias("n"), "step", "rest", "place")
     in_long = long.groupBy("id").agg(F.count("*").alias("n_long"))
-    counted = met.filter("kind = 0").groupBy("a", "b").agg(F.count("*").alias("shared"), F.sum("strong").alias("strong"), *[F.first(c).alias(c) for c in ("step", "rest", "na", "nb")])
+    counted = met.filter("kind = 0").groupBy("a", "b").agg(F.count("*").alias("shared"), F.sum("strong").alias("strong"), F.min("apart").alias("apart"), *[F.first(c).alias(c) for c in ("step", "rest", "na", "nb")])
     counted = saved(counted, "counted")
     enough = f"shared + {{0}} + rest >= {common_needed('na', 'nb', num, den)} and strong + {{0}} >= step"
     sure = enough.format("0L")
     # tokens that both hold in long lists were not counted
     more_long = counted.filter(f"not ({sure})").join(in_long.select(F.col("id").alias("a"), F.col("n_long").alias("_la")), "a").join(in_long.select(F.col("id").alias("b"), F.col("n_long").alias("_lb")), "b")
-    pairs = saved(counted.filter(sure).select("a", "b").unionByName(more_long.filter(enough.format("least(_la, _lb)")).select("a", "b")), "pairs")
+    pairs = saved(counted.filter(sure).select("a", "b", "apart").unionByName(more_long.filter(enough.format("least(_la, _lb)")).select("a", "b", "apart")), "pairs")
 
     ends = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).union(long.select("id")).distinct()
     texts = saved(source.join(ends, "_id", "left_semi"), "texts")
-    links = saved(verified(pairs, texts, shingle, num, den), "links")
+    # next neighbours first: they join most groups, and pairs inside a component need no comparison
+    links = saved(verified(pairs.filter("apart = 1"), texts, shingle, num, den), "links")
     groups = components(links)
-    discard(counted, pairs, links)
+    open_pairs = saved(across(pairs.filter("apart > 1"), groups), "pairs")
+    more = saved(verified(open_pairs, texts, shingle, num, den), "links")
+    if not more.isEmpty():
+        groups = joined_groups(groups, more)
+    discard(counted, pairs, links, open_pairs, more)
 
     if not long.isEmpty():
         for turn in range(rounds + 1):
@@ -286,9 +298,8 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: tuple[in
                 break
             if turn < rounds:  # neighbours in another random order
                 again = open_lists.withColumn("_order", F.xxhash64("id", F.lit(turn))).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token")
-                near = again.sortWithinPartitions("token", "_order").select("token", "id", "n", "step", "place").mapInArrow(_meetings(num, den, min(reach, 4)), MEETING_SQL).filter("kind = 0").select("a", "b").distinct()
-                found = near.join(groups.select(F.col("id").alias("a"), F.col("component").alias("_ca")), "a", "left").join(groups.select(F.col("id").alias("b"), F.col("component").alias("_cb")), "b", "left")
-                asked = found.filter(~F.coalesce("_ca", "a").eqNullSafe(F.coalesce("_cb", "b"))).select("a", "b")
+                near = again.sortWithinPartitions("token", "_order").select("token", "id", "n", "step", "place").mapInArrow(_meetings(num, den, min(reach, NEXT)), MEETING_SQL).filter("kind = 0").select("a", "b").distinct()
+                asked = across(near, groups)
             else:  # all pairs of different components, met at what can be their first common token
                 # (such a pair shares nothing in short lists, or it was compared before)
                 by_place = Window.partitionBy("id", "n").orderBy("place")
@@ -308,6 +319,12 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: tuple[in
     return joined.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.coalesce("_component", "_id")).alias("component_id"))
 
 
+def across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are not in one component."""
+    of_a, of_b = (groups.select(F.col("id").alias(c), F.col("component").alias(f"_c{c}")) for c in "ab")
+    return pairs.join(of_a, "a", "left").join(of_b, "b", "left").filter(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b")
+
+
 def joined_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
     """The components ``groups`` after further links: only components meet, not their members."""
     ends = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
