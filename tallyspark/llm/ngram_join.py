@@ -9,7 +9,8 @@ tokens as the smaller of its two lengths asks for before its whole sets are comp
 
 Documents with equal sets are one class from the start. Postings are sorted by token
 and read as streams: every document of a list meets the ``reach`` documents before it,
-which are all of a list of up to ``reach + 1``, and a few in longer lists. Next neighbours are compared first, then the
+which are all of a list of up to ``reach + 1``, and a few in longer lists; a list of more
+than ``hot`` documents is dealt to several tasks. Next neighbours are compared first, then the
 pairs that these comparisons left in different components. What longer lists still hold is asked
 for only between documents that are not yet in one component: some rounds in other
 random orders join the large groups, and then all remaining pairs of different
@@ -41,6 +42,7 @@ CELLS, CHUNKS = 1 << 20, 256
 LONGEST_STEP = 6
 VERIFY_COST = 20.0
 NEXT = 4
+HOT = 1 << 16
 
 
 def row_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -86,6 +88,12 @@ def sketch(source: DataFrame, k: int) -> np.ndarray:
     return out.ravel().astype(np.uint32) if out.max(initial=0) < 2**32 else out.ravel()
 
 
+def excess(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """How many documents hold each shingle, less what strangers put into a usual cell."""
+    mean = float(table.mean())
+    return np.maximum(table[cells(hashes)].astype(np.int64) - mean - 2 * mean**0.5, 0)
+
+
 def least_overlap(n: int, num: int, den: int) -> int:
     """Tokens that a set of n shares at least with any set it is linked with."""
     return -(-num * n // den)
@@ -111,10 +119,9 @@ def choose_prefix(costs: np.ndarray, n: int, num: int, den: int) -> tuple[int, i
 def _signatures(counts, k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
-        usual = float(table.mean()) + 2 * float(table.mean()) ** 0.5
         for b in batches:
             for first, last, hashes, at in row_sets(b.column("_text"), k):
-                often = table[cells(hashes)].astype(np.int64)
+                often, costs = table[cells(hashes)].astype(np.int64), excess(table, hashes)
                 sizes, marks, steps, prefixes = np.diff(at), [], [], []
                 for x, y in zip(at[:-1], at[1:]):
                     if x == y:
@@ -125,7 +132,7 @@ def _signatures(counts, k: int, num: int, den: int):
                     own = hashes[x:y]
                     marks.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                     order = np.argsort(often[x:y], kind="stable")
-                    step, length = choose_prefix(np.maximum(often[x:y][order] - usual, 0), y - x, num, den)
+                    step, length = choose_prefix(costs[x:y][order], y - x, num, den)
                     steps.append(step)
                     prefixes.append(own[order[:length]].astype("<u8").tobytes())
                 yield pa.RecordBatch.from_arrays(
@@ -135,12 +142,14 @@ def _signatures(counts, k: int, num: int, den: int):
     return run
 
 
-POSTING = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("step", pa.int32()), ("place", pa.int32())])
+POSTING = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("step", pa.int32()), ("place", pa.int32())])
 MEETING = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("step", pa.int32()), ("strong", pa.int32()), ("rest", pa.int64()), ("place", pa.int32()), ("token", pa.int64()), ("apart", pa.int32())])
 MEETING_SQL = "kind int, a long, b long, na long, nb long, step int, strong int, rest long, place int, token long, apart int"
 
 
-def _postings():
+def _postings(counts, hot: int):
+    """One row per prefix token; a token of more than ``hot`` documents is dealt to several lists (salts above 0)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, n, step = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "_n", "_step"))
@@ -150,13 +159,16 @@ def _postings():
             sizes = np.array([len(p) // 8 for p in prefixes])
             tokens = np.frombuffer(b"".join(prefixes), "<i8")
             place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.repeat(ids, sizes)), pa.array(np.repeat(n, sizes)), pa.array(np.repeat(step, sizes).astype(np.int32)), pa.array(place.astype(np.int32))], schema=POSTING)
+            many = excess(counts.value, tokens.view("<u8")).astype(np.int64)
+            mixed = (np.repeat(ids, sizes).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            salt = np.where(many > hot, 1 + mixed.astype(np.int64) % (many // hot + 1), 0)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(salt.astype(np.int32)), pa.array(np.repeat(ids, sizes)), pa.array(np.repeat(n, sizes)), pa.array(np.repeat(step, sizes).astype(np.int32)), pa.array(place.astype(np.int32))], schema=POSTING)
 
     return run
 
 
 def _meetings(num: int, den: int, reach: int):
-    """Over postings sorted by token: pairs of neighbours (kind 0), and the postings of lists longer than ``reach + 1`` (kind 1).
+    """Over postings sorted by token and salt: pairs of neighbours (kind 0), and the postings of lists that are salted or longer than ``reach + 1`` (kind 1).
 
     A row past ``reach`` meets only the ``NEXT`` rows before it, as its list is asked again.
 
@@ -166,10 +178,10 @@ def _meetings(num: int, den: int, reach: int):
     the two stand in the list.
     """
 
-    def pairs(token, ids, n, rank, carried: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def pairs(group, ids, n, rank, carried: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         left, right = [], []
         for d in range(1, reach + 1):
-            hit = np.flatnonzero(token[d:] == token[:-d]) if d < len(token) else np.zeros(0, np.int64)
+            hit = np.flatnonzero(group[d:] == group[:-d]) if d < len(group) else np.zeros(0, np.int64)
             hit = hit[(hit + d >= carried) & ((rank[hit + d] <= reach) | (d <= NEXT))]
             if not len(hit):
                 break
@@ -183,20 +195,21 @@ def _meetings(num: int, den: int, reach: int):
         return np.concatenate(left), np.concatenate(right), apart
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "id", "n", "step", "place"]
+        names = ["token", "salt", "id", "n", "step", "place"]
         tail = [np.zeros(0, np.int64) for _ in names]  # rows that the next batch may still meet
         rank_of_tail = np.zeros(0, np.int64)  # their places in their lists
         for b in batches:
             if not b.num_rows:
                 continue
             carried = len(tail[0])
-            token, ids, n, step, place = (np.concatenate([t, b.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for t, c in zip(tail, names))
-            new = np.concatenate([[True], token[1:] != token[:-1]])
+            token, salt, ids, n, step, place = (np.concatenate([t, b.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for t, c in zip(tail, names))
+            new = np.concatenate([[True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])])
+            group = np.cumsum(new)
             start = np.flatnonzero(new)
             rank = np.arange(len(token)) - np.repeat(start, np.diff(np.append(start, len(token))))
             if carried:
                 rank[: np.append(start, len(token))[1]] += rank_of_tail[0]
-            i, j, apart = pairs(token, ids, n, rank, carried)
+            i, j, apart = pairs(group, ids, n, rank, carried)
             need = -(-num * n // den)
             rest = need - step
             tier = place - (n - need) + 1
@@ -204,8 +217,8 @@ def _meetings(num: int, den: int, reach: int):
             swap = ids[i] > ids[j]
             na, nb = np.where(swap, n[j], n[i]), np.where(swap, n[i], n[j])
             # a row past ``reach`` shows that its list is long; the row with rank reach + 1 brings those before it
-            late = np.flatnonzero((rank > reach) & (np.arange(len(token)) >= carried))
-            turn = late[rank[late] == reach + 1]
+            late = np.flatnonzero(((rank > reach) | (salt > 0)) & (np.arange(len(token)) >= carried))
+            turn = late[(rank[late] == reach + 1) & (salt[late] == 0)]
             early = (turn[:, None] - np.arange(1, reach + 2)[None, :]).ravel()
             long = np.concatenate([early, late])
             zero = np.zeros(len(long), np.int64)
@@ -223,8 +236,8 @@ def _meetings(num: int, den: int, reach: int):
                 np.concatenate([apart, zero]),
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(columns, MEETING)], schema=MEETING)
-            keep = np.flatnonzero(token[-(reach + 1) :] == token[-1]) + max(0, len(token) - reach - 1)
-            tail = [c[keep] for c in (token, ids, n, step, place)]
+            keep = np.flatnonzero(group[-(reach + 1) :] == group[-1]) + max(0, len(token) - reach - 1)
+            tail = [c[keep] for c in (token, salt, ids, n, step, place)]
             rank_of_tail = rank[keep]
 
     return run
@@ -252,7 +265,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return both.select("a", "b", "_text_a", "_text_b").mapInArrow(_compare(k, num, den), "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", reach: int = 16, rounds: int = 2) -> DataFrame:
+def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", reach: int = 16, rounds: int = 2, hot: int = HOT) -> DataFrame:
     """One row per document: the id, ``n_shingles`` and ``component_id``."""
     spark = documents.sparkSession
     num, den = similarity
@@ -263,10 +276,10 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: tuple[in
     classes = saved(filled.groupBy("_mark").agg(F.min("_id").alias("_first")), "classes")
     first = filled.join(classes.select(F.col("_first").alias("_id")).distinct(), "_id", "left_semi")
 
-    postings = first.select("_id", "_n", "_step", "_prefix").mapInArrow(_postings(), "token long, id long, n long, step int, place int")
-    lists = postings.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token")
+    postings = first.select("_id", "_n", "_step", "_prefix").mapInArrow(_postings(counts, hot), "token long, salt int, id long, n long, step int, place int")
+    lists = postings.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token", "salt")
     order = F.xxhash64("id", F.pmod("token", F.lit(3)))
-    met = saved(lists.withColumn("_order", order).sortWithinPartitions("token", "_order").drop("_order").mapInArrow(_meetings(num, den, reach), MEETING_SQL), "meetings")
+    met = saved(lists.withColumn("_order", order).sortWithinPartitions("token", "salt", "_order").drop("_order").mapInArrow(_meetings(num, den, reach), MEETING_SQL), "meetings")
 
     long = met.filter("kind = 1").select("token", F.col("a").alias("id"), F.col("na").alias("n"), "step", "rest", "place")
     in_long = long.groupBy("id").agg(F.count("*").alias("n_long"))
@@ -292,13 +305,14 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: tuple[in
     if not long.isEmpty():
         for turn in range(rounds + 1):
             held = long.join(groups, "id", "left").select("token", "id", "n", "step", "rest", "place", F.coalesce("component", "id").alias("component"))
-            mixed = held.groupBy("token").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).filter("_x <> _y").select("token")
-            open_lists = saved(held.join(mixed, "token", "left_semi"), "open-lists")
+            mixed = held.groupBy("token").agg(F.min("component").alias("_x"), F.max("component").alias("_y"), F.count("*").alias("_many")).filter("_x <> _y")
+            open_lists = saved(held.join(mixed.select("token", "_many"), "token"), "open-lists")
             if open_lists.isEmpty():
                 break
             if turn < rounds:  # neighbours in another random order
-                again = open_lists.withColumn("_order", F.xxhash64("id", F.lit(turn))).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token")
-                near = again.sortWithinPartitions("token", "_order").select("token", "id", "n", "step", "place").mapInArrow(_meetings(num, den, min(reach, NEXT)), MEETING_SQL).filter("kind = 0").select("a", "b").distinct()
+                dealt = open_lists.withColumns({"_order": F.xxhash64("id", F.lit(turn)), "salt": F.expr(f"cast(pmod(xxhash64({turn}, id), _many div {hot} + 1) as int)")})
+                again = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token", "salt")
+                near = again.sortWithinPartitions("token", "salt", "_order").select("token", "salt", "id", "n", "step", "place").mapInArrow(_meetings(num, den, min(reach, NEXT)), MEETING_SQL).filter("kind = 0").select("a", "b").distinct()
                 asked = across(near, groups)
             else:  # all pairs of different components, met at what can be their first common token
                 # (such a pair shares nothing in short lists, or it was compared before)

@@ -53,10 +53,10 @@ def corpus(seed):
 
 
 def test_against_brute_force(docs):
-    for seed, reach in ((1, 16), (2, 2), (3, 1)):
+    for seed, reach, hot in ((1, 16, ngram_join.HOT), (2, 2, 5), (3, 1, 20)):
         texts = corpus(seed)
-        got = sorted(tuple(r) for r in near_duplicates(docs(texts), shingle=4, similarity=(85, 100), reach=reach).collect())
-        assert got == brute(texts, 4, 85, 100), (seed, reach)
+        got = sorted(tuple(r) for r in near_duplicates(docs(texts), shingle=4, similarity=(85, 100), reach=reach, hot=hot).collect())
+        assert got == brute(texts, 4, 85, 100), (seed, reach, hot)
 
 
 def test_kept_documents_and_clashing_columns(docs):
