@@ -5,14 +5,18 @@ neighbours, first from buckets of random hyperplanes, then refined: around each
 class its neighbours, and those that have it as a neighbour, are compared with each
 other, and each keeps its best. Groups that are too large (a bucket, or the reverse
 neighbours of a hub) are split by a hash into groups of bounded size, so nothing is
-left out and no task holds an unbounded group.
-
-Edges at or above the threshold link classes. A list all of whose entries pass the
-threshold is saturated; such lists are enlarged to the whole component they lie in,
-by comparing the component's vectors in blocks, which makes the numbers of links
-within a component exact. An audit then compares a bounded sample of vectors with
-all vectors and runs further rounds with longer lists while the share of links found
-is below ``recall``.
+left out and no task holds an unbounded group. The hash takes in the group, the round
+and the attempt: no two splits have the same borders.
+
+Pairs at or above the threshold link classes: those in the lists, and those that a
+list had no room for, of which each group keeps a star for each of its components.
+A list all of whose entries pass the threshold is saturated; such lists are enlarged
+to the whole component they lie in, by comparing the component's vectors in blocks,
+which makes the numbers of links within a component exact. An audit then compares a
+bounded sample of vectors with all vectors and runs further rounds with longer lists
+while the share of links found is below ``recall``. If it still is after the last
+attempt, the vectors of different components are compared with each other, all of
+them, in blocks.
 
 Ids are integers. Defined results: null, zero or empty vectors, vectors with null or
 non-finite components and vectors whose length is not the table's greatest have no
@@ -32,9 +36,12 @@ from pyspark.sql import functions as F
 
 from .common import saved
 from .components import components
+from .ngram_join import joined_groups
 
-EDGE = pa.schema([("id", pa.int64()), ("near", pa.int64()), ("cosine", pa.float64())])
-EDGE_SQL = "id long, near long, cosine double"
+EDGE = pa.schema([("id", pa.int64()), ("near", pa.int64()), ("cosine", pa.float64()), ("star", pa.bool_())])
+EDGE_SQL = "id long, near long, cosine double, star boolean"
+#: Stands for the cosine of two members of a component that may not be near themselves.
+NOT_COMPARED = -3.0
 
 
 def unit_rows(vectors: list[bytes]) -> np.ndarray:
@@ -63,8 +70,20 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def _best_within(size: int) -> Callable:
-    """For each group: every member's best ``size`` fellow members."""
+def _first_linked(hit: np.ndarray) -> np.ndarray:
+    """The first member of each member's component."""
+    label = np.arange(len(hit))
+    while True:
+        low = np.minimum(label, np.where(hit, label[None, :], len(hit)).min(axis=1))
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def _best_within(size: int, threshold: float) -> Callable:
+    """For each group: every member's best ``size`` fellow members, and a star for
+    each of its components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, ...]] = []
@@ -79,8 +98,14 @@ def _best_within(size: int) -> Callable:
             np.fill_diagonal(s, -2)
             k = min(size, len(ids) - 1)
             best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            out.append((np.repeat(ids, k), ids[best].ravel(), np.take_along_axis(s, best, axis=1).ravel()))
+            out.append((np.repeat(ids, k), ids[best].ravel(), np.take_along_axis(s, best, axis=1).ravel(), np.zeros(k * len(ids), dtype=bool)))
             rows += k * len(ids)
+            hit = s >= threshold
+            if hit.any():
+                first = _first_linked(hit)
+                arms = np.flatnonzero(first != np.arange(len(ids)))
+                out.append((ids[arms], ids[first[arms]], np.full(len(arms), NOT_COMPARED), np.ones(len(arms), dtype=bool)))
+                rows += len(arms)
             if rows > 200_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=EDGE)
                 out, rows = [], 0
@@ -90,24 +115,26 @@ def _best_within(size: int) -> Callable:
     return run
 
 
-def _split(members: DataFrame, most: int) -> DataFrame:
-    """Adds ``part``: groups with more than ``most`` members are cut by a hash of the member."""
+def _split(members: DataFrame, most: int, salt: int) -> DataFrame:
+    """Adds ``part``: groups with more than ``most`` members are cut by a hash of the
+    member, the group and ``salt``."""
     sizes = members.groupBy("group").agg(F.ceil(F.count("*") / most).cast("long").alias("_parts"))
-    return members.join(sizes, "group").withColumn("part", F.pmod(F.xxhash64("id"), F.col("_parts"))).drop("_parts")
+    return members.join(sizes, "group").withColumn("part", F.pmod(F.xxhash64("id", "group", F.lit(salt)), F.col("_parts"))).drop("_parts")
 
 
-def _compared(members: DataFrame, size: int) -> DataFrame:
+def _compared(members: DataFrame, size: int, threshold: float) -> DataFrame:
     """Edges from groups (``group``, ``part``, ``id``, ``vector``)."""
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = members.select("group", "part", "id", "vector").repartition(parts, "group", "part").sortWithinPartitions("group", "part")
-    return dealt.mapInArrow(_best_within(size), EDGE_SQL)
+    return dealt.mapInArrow(_best_within(size, threshold), EDGE_SQL)
 
 
 def _lists(edges: DataFrame, size: int) -> DataFrame:
-    """The best ``size`` distinct neighbours of each class."""
-    once = edges.groupBy("id", "near").agg(F.max("cosine").alias("cosine"))
-    listed = once.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("cosine", "near")), asc=False), 1, size).alias("list"))
-    return listed.select("id", F.explode("list").alias("e")).select("id", F.col("e.near").alias("near"), F.col("e.cosine").alias("cosine"))
+    """The best ``size`` distinct neighbours of each class (``listed``) and its stars."""
+    once = edges.groupBy("id", "near").agg(F.max("cosine").alias("cosine"), F.max("star").alias("star"))
+    every = once.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("cosine", "near", "star")), asc=False).alias("list"))
+    placed = every.select("id", F.posexplode("list").alias("k", "e")).select("id", "e.near", "e.cosine", "e.star", ((F.col("k") < size) & (F.col("e.cosine") > NOT_COMPARED)).alias("listed"))
+    return placed.filter("listed or star")
 
 
 def _hyperplane_buckets(bits: int, tables: int):
@@ -146,6 +173,24 @@ def _block_counts(threshold: float):
     return run
 
 
+def _links_across(threshold: float):
+    """For each pair of blocks: the pairs of components that a link joins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["x", "y"]):
+            component, own = (group.column(c).to_numpy() for c in ("component", "block"))
+            m = unit_rows(group.column("vector").to_pylist())
+            x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
+            left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+            hit = (m[left] @ m[right].T >= threshold) & (component[left][:, None] < component[right][None, :] if x == y else component[left][:, None] != component[right][None, :])
+            i, j = np.nonzero(hit)
+            if len(i):
+                pairs = np.unique(np.stack([component[left][i], component[right][j]], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
+
+
 def _true_links(sample, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = sample.value[1]
@@ -192,18 +237,22 @@ def near_duplicate_vectors(
     for attempt in range(tries):
         size = neighbours << attempt
         buckets = vectors.mapInArrow(_hyperplane_buckets(bits, tables << attempt), "id long, group long, vector binary")
-        start = _compared(_split(buckets, most), size)
-        edges = saved(_lists(start if edges is None else start.unionByName(edges), size), "neighbours")
-        for _ in range(rounds):
-            around = edges.select(F.col("id").alias("group"), F.col("near").alias("id")).unionByName(edges.select(F.col("near").alias("group"), "id")).distinct()
-            own = edges.select(F.col("id").alias("group"), "id").distinct()
-            members = _split(around.unionByName(own).distinct(), most).join(vectors, "id")
-            edges = saved(_lists(_compared(members, size).unionByName(edges), size), "neighbours")
-        links = edges.filter(F.col("cosine") >= threshold)
+        start = _compared(_split(buckets, most, attempt * (rounds + 1)), size, threshold)
+        edges = saved(_lists(start if edges is None else start.unionByName(edges.drop("listed")), size), "neighbours")
+        for turn in range(rounds):
+            near = edges.filter("listed")
+            around = near.select(F.col("id").alias("group"), F.col("near").alias("id")).unionByName(near.select(F.col("near").alias("group"), "id")).distinct()
+            own = near.select(F.col("id").alias("group"), "id").distinct()
+            members = _split(around.unionByName(own).distinct(), most, attempt * (rounds + 1) + 1 + turn).join(vectors, "id")
+            edges = saved(_lists(_compared(members, size, threshold).unionByName(edges.drop("listed")), size), "neighbours")
+        links = edges.filter((F.col("cosine") >= threshold) | F.col("star"))
         groups = components(links, "id", "near")
         numbers = _exact_numbers(groups, classes, threshold, block)
         if _recall(classes, numbers, threshold, audit) >= recall:
             break
+    else:
+        groups = _groups_of_all(groups, classes, threshold, block)
+        numbers = _exact_numbers(groups, classes, threshold, block)
     labelled = classes.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
     found = labelled.join(least, "component").join(numbers, "id", "left").select(F.col("vector").alias("_v"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
@@ -212,6 +261,17 @@ def near_duplicate_vectors(
     return linked.unionByName(alone).select(F.col("_id").alias(id_col), "n_links", "component_id", (F.col("_id") == F.col("component_id")).alias("kept"))
 
 
+def _groups_of_all(groups: DataFrame, classes: DataFrame, threshold: float, block: int) -> DataFrame:
+    """The components after comparing all vectors of different components, in blocks."""
+    spark = classes.sparkSession
+    blocks = max(1, -(-classes.count() // block))
+    placed = classes.join(groups, "id", "left").select(F.coalesce("component", "id").alias("component"), "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "component", "vector")
+    dealt = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "x", "y").sortWithinPartitions("x", "y")
+    more = saved(dealt.mapInArrow(_links_across(threshold), "a long, b long").distinct(), "links")
+    return groups if more.isEmpty() else joined_groups(groups, more)
+
+
 def _exact_numbers(groups: DataFrame, classes: DataFrame, threshold: float, block: int) -> DataFrame:
     """(id, n): weight linked to each class within its component, all pairs of blocks compared."""
     spark = classes.sparkSession

@@ -47,6 +47,17 @@ def test_vectors_against_brute_force(spark):
     assert near_duplicate_vectors(table.limit(0)).count() == 0
 
 
+def test_tight_groups_larger_than_a_part_stay_whole(spark):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal(24)
+    vectors = [(base + 0.01 * rng.standard_normal(24)).tolist() for _ in range(150)] + rng.standard_normal((40, 24)).tolist()
+    table = spark.createDataFrame([(k, v) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    want = brute_links(vectors, 0.9)
+    assert sorted(tuple(r) for r in near_duplicate_vectors(table, tries=1).collect()) == want
+    # too few comparisons to find the links: all vectors are compared in the end
+    assert sorted(tuple(r) for r in near_duplicate_vectors(table, neighbours=1, tables=1, rounds=0, most=2, tries=1, block=50).collect()) == want
+
+
 PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/a">menu</a></ul></nav><!-- ad --><div class="ad">buy <div>this</div> now</div>{0}<footer>&copy; x</footer></body></html>"""
 
