@@ -32,7 +32,8 @@ from .url_filter import host_of
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|noscript|svg|math|iframe|object|title|textarea|select)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
+    r"|<svg(?=[\s/>])(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+(?<=/)>"
+    r"|<(script|style|template|noscript|svg|annotation|annotation-xml|iframe|object|title|textarea|select)(?=[\s/>])[^>]*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>"
     r"|<[/!?a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -47,10 +48,28 @@ CUES = re.compile(
 )
 #: Marks of the page's header; an article's own header holds its title and stays.
 HEADER_CUES = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
+#: Words that tell how a page is laid out or filed, not what an element is.
+ABOUT = re.compile(r"(?:no|has|with|without|hide|show|category|cat|tag|topic|format|type|status)-", re.I)
+#: Entire words that mark even an ``article`` or ``main`` as none.
+NO_ARTICLE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus reply replies respond".split())
+#: Entire words that mark a page's article where it has no such element.
+CONTENT = frozenset("content main-content page-content post post-content post-body entry entry-content entry-body article article-body article-content story story-body".split())
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 MAIN = frozenset(["article", "main"])
 
 
+def is_cue(name: str, words: list[str], in_main: bool) -> bool:
+    """Whether the words of class, id and role mark the element as no article.
+
+    A cue between hyphens counts for neither an ``article`` nor a content block.
+    """
+    if name in MAIN:
+        return any(w.lower() in NO_ARTICLE for w in words)
+    if not in_main and any(w.lower() in CONTENT for w in words):
+        return any("-" not in w and (CUES.fullmatch(w) or HEADER_CUES.fullmatch(w)) for w in words)
+    return any(CUES.search(w) or (not in_main and HEADER_CUES.search(w)) for w in words)
+
+
 def blocks(html: str) -> list[tuple[str, bool, bool]]:
     """(text, in the main element, in a dropped element) of each block, in page order."""
     out: list[tuple[str, bool, bool]] = []
@@ -87,14 +106,14 @@ def blocks(html: str) -> list[tuple[str, bool, bool]]:
                 main.pop()
         elif name not in VOID and not m[4].endswith("/"):
             marks = [next((g for g in x if g), "") for x in NAMES.findall(m[4])] if m[4] else []
-            cue = any(CUES.search(x) or (not main and HEADER_CUES.search(x)) for x in marks)
+            words = [w for x in marks for w in x.split() if not ABOUT.match(w)]
             if dropping:
                 if name == dropping[-1]:
                     dropping.append(name)
-                elif name in MAIN and not cue and not is_comments:
+                elif name in MAIN and not is_comments and not is_cue("", words, bool(main)):
                     dropping.clear()  # an unclosed menu does not swallow the article
                     main.append(name)
-            elif name in BLOCKS and (name in DROPPED or (cue and name not in ("html", "body")) or (name == "header" and not main)):
+            elif name in BLOCKS and (name in DROPPED or (name not in ("html", "body") and is_cue(name, words, bool(main))) or (name == "header" and not main)):
                 dropping.append(name)
                 is_comments = any(re.search("comment|respon|repl|disqus", x, re.I) for x in marks)
             elif name in MAIN:

@@ -74,6 +74,21 @@ def test_blocks():
     assert len(blocks("<div>" * 20000 + "x")) == 1
 
 
+def test_whole_articles_are_not_dropped():
+    def text(html):
+        return extract([(1, html)], 6)[0][0]
+
+    assert text("<article class='post category-social tag-search'><p>body</p></article>") == "body"
+    assert text("<main class='has-sidebar'><p>body</p></main>") == "body"
+    assert text("<article class='single-related'><p>body</p></article>") == "body"
+    assert text("<div class='content no-sidebar'><p>body</p></div><div class='sidebar'>x</div>") == "body"
+    assert text("<div class='post single-search'><p>body</p></div>") == "body"
+    assert text("<article class='comment'>x</article><article class='ads big'>y</article>") == ""
+    assert text("<div class='related'><article class='related-post'>x</article></div><article>body</article>") == "body"
+    assert text("<article><p><svg class='icon'/>one</p><p>two <svg><path/></svg>three</p></article>") == "one\n\ntwo three"
+    assert text("<article><title-bar>one</title-bar> <select-box>two</select-box> <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math></article>") == "one two x=1"
+
+
 def test_repeated_runs_against_brute_force():
     rnd = random.Random(1)
     for _ in range(200):
