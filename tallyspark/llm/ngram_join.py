@@ -328,8 +328,20 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: tuple[in
                 groups = joined_groups(groups, more)
             discard(asked, more, open_lists)
     discard(texts, met)
-    of_class = classes.join(groups.withColumnRenamed("id", "_first"), "_first", "left").select(F.col("_mark").alias("_m"), F.coalesce("component", "_first").alias("_component"))
+    # rows that share an id join the classes of their texts
+    by_id = signatures.filter("_id is not null").groupBy("_id").agg(F.min("_mark").alias("_low"), F.max("_mark").alias("_high"), F.count("_mark").alias("_filled"), F.count("*").alias("_rows"))
+    mixed_ids = by_id.filter("_low <> _high or (_filled > 0 and _filled < _rows)").select("_id")
+    mixed = saved(filled.join(mixed_ids, "_id", "left_semi").select("_id", "_mark").distinct().join(classes, "_mark").select("_id", "_first"), "mixed-ids")
+    least = mixed.groupBy("_id").agg(F.min("_first").alias("a"))
+    shared = saved(mixed.join(least, "_id").filter("a <> _first").select("a", F.col("_first").alias("b")).distinct(), "links")
+    if not shared.isEmpty():
+        groups = joined_groups(groups, shared)
+    of_first = groups.withColumnRenamed("id", "_first")
+    of_class = classes.join(of_first, "_first", "left").select(F.col("_mark").alias("_m"), F.coalesce("component", "_first").alias("_component"))
     joined = signatures.join(of_class, signatures["_mark"] == of_class["_m"], "left")
+    if not mixed.isEmpty():  # a row without shingles follows its id's other rows
+        of_id = least.join(of_first, least["a"] == of_first["_first"], "left").select(F.col("_id").alias("_i"), F.coalesce("component", "a").alias("_of_id"))
+        joined = joined.join(of_id, F.col("_id") == F.col("_i"), "left").withColumn("_component", F.coalesce("_component", "_of_id"))
     return joined.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.coalesce("_component", "_id")).alias("component_id"))
 
 
@@ -350,6 +362,9 @@ def joined_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(documents: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that are the smallest id of their component; all columns stay."""
-    kept = near_duplicates(documents, id_col=id_col, **options).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept"))
-    return documents.join(kept.distinct(), F.col(id_col) == F.col("_kept"), "left_semi")
+    """The documents that are the smallest id of their component; all columns stay.
+
+    A document with a null id is a group of its own and stays.
+    """
+    others = near_duplicates(documents, id_col=id_col, **options).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_other"))
+    return documents.join(others.distinct(), F.col(id_col) == F.col("_other"), "left_anti")

@@ -68,6 +68,16 @@ def test_kept_documents_and_clashing_columns(docs):
     assert near_duplicates(docs([])).count() == 0
 
 
+def test_null_ids_stay_and_rows_that_share_an_id_are_one_vertex(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, c), (2, a), (5, a), (5, b), (6, b), (7, None), (7, c), (None, a), (None, "a text of its own")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r.doc_id, r.component_id) for r in near_duplicates(table).filter("doc_id is not null").collect())
+    assert found == [(1, 1), (2, 2), (5, 2), (5, 2), (6, 2), (7, 1), (7, 1)]
+    kept = [(r.doc_id, r.text) for r in one_of_each_group(table).collect()]
+    assert sorted(kept, key=str) == sorted([(1, c), (2, a), (None, a), (None, "a text of its own")], key=str)
+
+
 def test_prefix_filter_never_loses_a_pair():
     rng = np.random.default_rng(1)
     for _ in range(2000):
