@@ -77,9 +77,12 @@ def licences(documents: DataFrame, known: DataFrame | None = None, id_col: str =
     spark = documents.sparkSession
     known = known_licences(spark) if known is None else known
     table = known.select("licence", canonical(F.col("text")).alias("_form")).filter("_form is not null").groupBy(digest(F.col("_form")).alias("_known"), F.length("_form").alias("_size")).agg(F.min("licence").alias("licence"))
-    sizes = sorted(r[0] for r in table.select("_size").distinct().limit(10_000).collect())
+    least = table.agg(F.min("_size")).first()[0] or 0
+    sizes = [r[0] for r in table.select("_size").distinct().limit(10_000).collect()]
     source = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    lines = source.select("_id", F.explode(F.split("_text", "\n")).alias("_line")).filter(F.length("_line") >= (sizes[0] if sizes else 0)).select("_id", canonical(F.col("_line")).alias("_form"))
+    # a canonical form has at most five letters for one of the text ("&" becomes " and ")
+    long_enough = source.select("_id", F.explode(F.split("_text", "\n")).alias("_line")).filter(F.length("_line") * 5 >= least)
+    lines = long_enough.select("_id", canonical(F.col("_line")).alias("_form")).filter(F.length("_form") >= least)
     if len(sizes) < 10_000:
         lines = lines.filter(F.length("_form").isin(sizes))
     found = (

@@ -98,3 +98,12 @@ def test_licences(spark, docs):
     own = spark.createDataFrame([("X", mit), ("A", mit), ("N", None)], "licence string, text string")
     assert [r.licence for r in licences(docs(texts), own).orderBy("doc_id").collect()][-1] == "A"
     assert licences(docs([])).count() == 0
+
+
+def test_short_known_notices_are_found_in_lines(spark, docs):
+    # the line is shorter than its canonical form, "x and y"
+    own = spark.createDataFrame([("X", "x & y")], "licence string, text string")
+    assert [list(r.line_licences) for r in licences(docs(["text\nx&y\nmore"]), own).collect()] == [["X"]]
+    # more lengths than the 10,000 that are asked for one by one
+    many = spark.range(1, 10_200).selectExpr("concat('K', id) as licence", "repeat('k', cast(10200 - id as int)) as text")
+    assert [list(r.line_licences) for r in licences(docs(["text\nk\nkk"]), many).collect()] == [["K10198", "K10199"]]
