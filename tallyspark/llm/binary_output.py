@@ -6,9 +6,9 @@ File format, one row a block, in ascending order of document ids:
 * ``before``: the ids of the same file that stand in earlier blocks;
 * ``doc_ids``, ``n_tokens``: the documents that end in the block, and their ids' numbers;
 * ``words``: little-endian unsigned 64-bit words. The top four bits select one
-  of the layouts below, the rest hold the ids, the first id lowest. Selector 15
-  is the escape: the ids that follow in ``escapes`` stand for the values that
-  fit no layout (32 bits and more are never needed for token ids);
+  of the layouts below, the rest hold the ids, the first id lowest. The method's
+  escape for values that fit no layout is left out: the widest layout holds 60
+  bits, and a token id has 32 at most;
 * ``offsets``: the number of the first word of each document, so that a document
   is decoded without those before it.
 
@@ -36,7 +36,6 @@ from .common import fresh_path
 
 #: (ids in a word, bits of each), by selector; fixed values of this format.
 LAYOUTS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
-ESCAPE = 15
 BLOCK_IDS = 262_144
 
 
