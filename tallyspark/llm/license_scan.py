@@ -82,9 +82,8 @@ def licences(documents: DataFrame, known: DataFrame | None = None, id_col: str =
     source = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     # a canonical form has at most five letters for one of the text ("&" becomes " and ")
     long_enough = source.select("_id", F.explode(F.split("_text", "\n")).alias("_line")).filter(F.length("_line") * 5 >= least)
-    lines = long_enough.select("_id", canonical(F.col("_line")).alias("_form")).filter(F.length("_form") >= least)
-    if len(sizes) < 10_000:
-        lines = lines.filter(F.length("_form").isin(sizes))
+    lines = long_enough.select("_id", canonical(F.col("_line")).alias("_form"))
+    lines = lines.filter(F.length("_form").isin(sizes) if len(sizes) < 10_000 else F.length("_form") >= least)
     found = (
         lines.select("_id", digest(F.col("_form")).alias("_known"))
         .join(table.select("_known", "licence"), "_known")
