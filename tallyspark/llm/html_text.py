@@ -1,20 +1,27 @@
-"""Main text of web pages: page structure plus a suffix array over each host's pages.
-
-Pages are dealt by ranges of (host, hash of the page id) and sorted, so that small
-hosts stay together while a host with a large share of all pages spreads over many
-tasks. A task reads runs of pages of one host, at most ``shard_bytes`` of html at a
-time. It concatenates the pages' word streams, sorts their suffixes by their first
-``min_words`` words (prefix doubling) and marks as covered every run that distinct
-pages share. Covered blocks are boilerplate and unique ones are kept, unless the
-structure says otherwise: a block inside ``article`` or ``main`` is kept even if a
-copy of the article stands on other pages, and a block inside a menu, header,
-footer, sidebar, notice, advert, form or comment element is dropped even if no other
-page has it.
+"""Main text of web pages: a suffix array over each host's pages, with page structure as the tie-break.
+
+A page's blocks are read once, in page order, each with its place in the structure.
+A host's pages form one token stream; the suffixes, sorted by their first ``min_words``
+words (prefix doubling), give for each window the number of distinct pages that hold it,
+and a word's count is the largest of the windows it lies in. A host of up to
+``shard_bytes`` of html is read by one task. A larger one is dealt to shards: each
+sorts its own suffixes, and the counts of equal windows are then summed over the
+shards, so that counts never depend on how pages are dealt.
+
+The page's own level is the lower quartile of its words' counts: 1 for an article that
+stands once, and the number of copies for one that is copied. On pages without
+``article`` or ``main`` a word that repeats at least twice as often as that (and on two
+pages) is boilerplate; inside an ``article`` or ``main`` only a word that also stands on
+``template`` of all the host's pages, and on 8 at least, as articles share passages.
+Covered runs of at least ``min_words`` words within a block, and blocks covered whole,
+go and unique runs stay; in a block that loses words, runs shorter than that go too. The structure decides what counts cannot: blocks in menus,
+headers, footers, sidebars, notices, adverts, forms and comments go even where no other
+page has them, and on a page with ``article`` or ``main`` so do blocks outside it.
 
 Defined results: null or empty html has an empty text; a null url counts as the
 empty host; repeated rows are extracted one by one (a page and its copy under the
 same id are not distinct pages); truncated tags and elements end with the page; an
-empty table gives an empty table.
+empty table gives an empty table; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -25,9 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
 from .url_filter import host_of
 
 TOKEN = re.compile(
@@ -123,108 +132,244 @@ def blocks(html: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def repeated_runs(words: np.ndarray, page: np.ndarray, min_words: int) -> np.ndarray:
-    """Which positions lie in a run of ``min_words`` words that distinct pages share.
+def equal_windows(words: np.ndarray, page: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix array of the concatenated streams, cut at ``size`` words.
 
-    ``words``: word numbers of the concatenated streams; ``page``: the page of each.
+    (positions of the windows in sorted order, the group of equal windows that each is
+    in, distinct pages of each group). ``words``: word numbers; ``page``: each word's
+    page. A window lies within one page.
     """
     n = len(words)
-    covered = np.zeros(n, dtype=bool)
-    if n < 2 * min_words:
-        return covered
-    rank, depth = words.astype(np.int64) + 1, 1
-    same = np.zeros(n + min_words, dtype=np.int64) - 1
+    if n < size:
+        return (np.zeros(0, np.int64),) * 3
+    rank = np.unique(words, return_inverse=True)[1].astype(np.int64) + 1
+    depth = 1
+    same = np.full(n + size, -1, dtype=np.int64)
     same[:n] = page
-    while depth < min_words:
-        step = min(depth, min_words - depth)
+    while depth < size:
+        step = min(depth, size - depth)
         ahead = np.zeros(n, dtype=np.int64)
         ahead[: n - step] = rank[step:]
         ahead[same[step : n + step] != page] = 0  # a suffix ends with its page
         rank = np.unique(rank * (n + 2) + ahead, return_inverse=True)[1].astype(np.int64) + 1
         depth += step
-    whole = same[min_words - 1 : n + min_words - 1] == page
-    order = np.flatnonzero(whole)
-    order = order[np.argsort(rank[order], kind="stable")]  # the suffix array; pages ascend within equal ranks
+    order = np.flatnonzero(same[size - 1 : n + size - 1] == page)
     if not len(order):
-        return covered
+        return (np.zeros(0, np.int64),) * 3
+    order = order[np.lexsort((page[order], rank[order]))]
     new = np.concatenate([[True], np.diff(rank[order]) != 0])
     group = np.cumsum(new) - 1
-    first = np.flatnonzero(new)
-    last = np.concatenate([first[1:], [len(order)]]) - 1
-    shared = page[order[first]] != page[order[last]]
-    begin = np.zeros(n + 1, dtype=np.int32)
-    hits = order[shared[group]]
-    begin[hits] += 1
-    np.add.at(begin, np.minimum(hits + min_words, n), -1)
-    return np.cumsum(begin)[:n] > 0
-
-
-def extract(pages: list[tuple], min_words: int) -> list[tuple[str, int, int]]:
-    """(text, covered words, all words) for each (id, html) of one host."""
-    found = [blocks(h or "") for _, h in pages]
-    vocabulary: dict[str, int] = {}
-    stream, sizes, owner = [], [], []
-    numbers: dict = {}
-    for k, (name, _) in enumerate(pages):
-        for text, _, _ in found[k]:
-            words = text.split(" ")
-            sizes.append(len(words))
-            stream += [vocabulary.setdefault(w, len(vocabulary)) for w in words]
-            owner.append(k)
-    lengths = np.array(sizes, dtype=np.int64)
-    ids = np.array([numbers.setdefault(p[0], len(numbers)) for p in pages], dtype=np.int64)
-    # rows are sorted by id, so rows of one id, which count as one page, follow each other
-    word_page = np.repeat(ids[np.array(owner, dtype=np.int64)], lengths) if owner else np.zeros(0, np.int64)
-    covered = repeated_runs(np.array(stream, dtype=np.int64), word_page, min_words)
-    sums = np.concatenate([[0], np.cumsum(covered)])
-    ends = np.cumsum(lengths)
-    per_block = sums[ends] - sums[ends - lengths] if len(lengths) else np.zeros(0, np.int64)
-    out, b = [], 0
-    for k in range(len(pages)):
-        mine = found[k]
-        has_main = any(m and not d for _, m, d in mine)
-        kept, hit, total = [], 0, 0
-        for text, main, dropped in mine:
-            size, cover = int(lengths[b]), int(per_block[b])
-            hit, total = hit + cover, total + size
-            b += 1
-            if not dropped and (main if has_main else 2 * cover < size or size < min_words):
-                kept.append(text)
-        out.append(("\n\n".join(kept), hit, total))
+    next_page = new | np.concatenate([[True], np.diff(page[order]) != 0])
+    return order, group, np.bincount(group[next_page])
+
+
+def word_counts(n: int, at: np.ndarray, pages: np.ndarray, size: int) -> np.ndarray:
+    """For each of ``n`` words the largest count of the windows (begin, count) that it lies in."""
+    begins = np.zeros(n, dtype=np.int64)
+    begins[at] = pages
+    out = begins.copy()
+    for k in range(1, size):
+        np.maximum(out[k:], begins[:-k], out=out[k:])
     return out
 
 
-def _extract(min_words: int, shard_bytes: int):
+def window_keys(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit key of each window, the same in every task."""
+    out = np.zeros(len(at), dtype=np.uint64)
+    for k in range(size):
+        out = (out ^ words[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of each run of true values."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+
+
+class Stream:
+    """The concatenated token streams of pages (id, block texts, block marks) of one host."""
+
+    def __init__(self, pages: list[tuple]):
+        keys: dict[str, int] = {}
+        words, sizes, owner = [], [], []
+        for k, (_, texts, _) in enumerate(pages):
+            for text in texts:
+                own = text.split(" ")
+                sizes.append(len(own))
+                owner.append(k)
+                words += [keys[w] if w in keys else keys.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in own]
+        numbers: dict = {}
+        ids = np.array([numbers.setdefault(p[0], len(numbers)) for p in pages], dtype=np.int64)
+        self.words = np.array(words, dtype=np.uint64)
+        self.ends = np.cumsum(np.array(sizes, dtype=np.int64))
+        # rows are sorted by id, so rows of one id, which count as one page, follow each other
+        self.page = np.repeat(ids[np.array(owner, dtype=np.int64)], sizes) if owner else np.zeros(0, np.int64)
+        self.ids = len(numbers)
+
+
+def extract(pages: list[tuple], counts: np.ndarray, ends: np.ndarray, host_pages: int, min_words: int, template: float) -> list[tuple[str, int, int]]:
+    """(text, words that other pages share, all words) of each page (id, texts, marks).
+
+    ``counts``: each word's number of pages; ``ends``: where each block ends in them.
+    """
+    out, b, begin = [], 0, 0
+    for _, texts, marks in pages:
+        mine, page_begin = [], begin
+        has_main = any(m == IN_MAIN for m in marks)
+        for text, mark in zip(texts, marks):
+            if mark == IN_MAIN or (mark == 0 and not has_main):
+                mine.append((text, counts[begin : ends[b]]))
+            begin, b = int(ends[b]), b + 1
+        kept = []
+        if mine:
+            own = np.sort(np.concatenate([c for _, c in mine]))
+            least = 2 * max(1, int(own[(len(own) - 1) // 4]))
+            if has_main:
+                least = max(least, 8, template * host_pages)
+            for text, c in mine:
+                covered = c >= least
+                if not covered.any():
+                    kept.append(text)
+                elif not covered.all():
+                    for x, y in runs_of(covered):
+                        if y - x < min_words:  # the end of a neighbouring block's passage
+                            covered[x:y] = False
+                    left = [(x, y) for x, y in runs_of(~covered) if y - x >= min_words or y - x == len(covered)]
+                    words = text.split(" ")
+                    if left:
+                        kept.append(" ".join(" ".join(words[x:y]) for x, y in left))
+        every = counts[page_begin:begin]
+        out.append(("\n\n".join(kept), int((every >= 2).sum()), len(every)))
+    return out
+
+
+IN_MAIN, DROP = 1, 2
+PAGE_SQL = "url string, _host string, texts array<string>, marks array<int>"
+HIT = "_key long, _pages long"
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [blocks(h or "") for h in b.column("html").to_pylist()]
+        texts = pa.array([[t for t, _, _ in f] for f in found], pa.list_(pa.string()))
+        marks = pa.array([[DROP if d else IN_MAIN if m else 0 for _, m, d in f] for f in found], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("url"), b.column("_host"), texts, marks], names=["_id", "url", "_host", "texts", "marks"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[dict]]:
+    """The rows of a sorted stream that agree in ``keys``, one run at a time."""
+    held: list[dict] = []
+    mark = None
+    for b in batches:
+        for row in b.to_pylist():
+            now = tuple(row[k] for k in keys)
+            if held and now != mark:
+                yield held
+                held = []
+            mark = now
+            held.append(row)
+    if held:
+        yield held
+
+
+def _results(rows: list[dict], found: list[tuple[str, int, int]], kind: pa.DataType) -> pa.RecordBatch:
+    columns = [[r["_id"] for r in rows], [r["url"] for r in rows], *zip(*found)]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [kind, pa.string(), pa.string(), pa.int64(), pa.int64()])], names=["_id", "url", "text", "n_covered", "n_words"])
+
+
+def _of_whole_hosts(min_words: int, template: float):
+    """Rows sorted by host, all of a host's pages in one run."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        host, size, kinds = None, 0, None
-
-        def done() -> pa.RecordBatch:
-            results = extract([(r[0], r[2]) for r in rows], min_words)
-            columns = [[r[0] for r in rows], [r[1] for r in rows], *zip(*results)]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [kinds[0], pa.string(), pa.string(), pa.int64(), pa.int64()])], names=["_id", "url", "text", "n_covered", "n_words"])
-
-        for batch in batches:
-            kinds = [batch.column("_id").type]
-            for name, url, html, h in zip(*(batch.column(c).to_pylist() for c in ("_id", "url", "html", "_host"))):
-                if rows and (h != host or size > shard_bytes):
-                    yield done()
-                    rows, size = [], 0
-                host = h
-                rows.append((name, url, html))
-                size += len(html or "")
-        if rows:
-            yield done()
+        kind = None
+
+        def seen() -> Iterator[pa.RecordBatch]:
+            nonlocal kind
+            for b in batches:
+                kind = b.schema.field("_id").type
+                yield b
+
+        for rows in _runs(seen(), ["_host"]):
+            pages = [(r["_id"], r["texts"], r["marks"]) for r in rows]
+            stream = Stream(pages)
+            at, group, sizes = equal_windows(stream.words, stream.page, min_words)
+            counts = word_counts(len(stream.words), at, sizes[group], min_words)
+            yield _results(rows, extract(pages, counts, stream.ends, stream.ids, min_words, template), kind)
 
     return run
 
 
-def main_text(pages: DataFrame, min_words: int = 6, shard_bytes: int = 4_000_000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The id, ``url``, ``text``, and how many of the page's words are covered by
-    runs repeated on its host (``n_covered``) of all its words (``n_words``)."""
-    source = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("_host"))
+def _windows_of_shards(min_words: int):
+    """Rows sorted by host and shard: each distinct window of a shard and its pages there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, ["_host", "_shard"]):
+            stream = Stream([(r["_id"], r["texts"], r["marks"]) for r in rows])
+            at, group, sizes = equal_windows(stream.words, stream.page, min_words)
+            first = at[np.flatnonzero(np.diff(group, prepend=-1))] if len(at) else at
+            n = len(first)
+            yield pa.RecordBatch.from_arrays([pa.array([rows[0]["_host"]] * n, pa.string()), pa.array([rows[0]["_shard"]] * n, pa.int64()), pa.array(window_keys(stream.words, first, min_words)), pa.array(sizes.astype(np.int64))], names=["_host", "_shard", "_key", "_pages"])
+
+    return run
+
+
+def _of_shards(min_words: int, template: float):
+    """Rows sorted by host, shard and kind: first a shard's shared windows, then its pages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = None
+
+        def seen() -> Iterator[pa.RecordBatch]:
+            nonlocal kind
+            for b in batches:
+                kind = b.schema.field("_id").type
+                yield b
+
+        for rows in _runs(seen(), ["_host", "_shard"]):
+            hits = [r for r in rows if r["_key"] is not None]
+            rows = [r for r in rows if r["_key"] is None]
+            pages = [(r["_id"], r["texts"], r["marks"]) for r in rows]
+            stream = Stream(pages)
+            at, group, sizes = equal_windows(stream.words, stream.page, min_words)
+            pages_of = sizes[group]
+            if hits and len(at):
+                known = np.array([r["_key"] for r in hits], dtype=np.int64)
+                order = np.argsort(known)
+                known, total = known[order], np.array([r["_pages"] for r in hits], dtype=np.int64)[order]
+                keys = window_keys(stream.words, at, min_words)
+                place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                pages_of = np.where(known[place] == keys, total[place], pages_of)
+            counts = word_counts(len(stream.words), at, pages_of, min_words)
+            yield _results(rows, extract(pages, counts, stream.ends, rows[0]["_host_pages"], min_words, template), kind)
+
+    return run
+
+
+def main_text(pages: DataFrame, min_words: int = 8, template: float = 0.8, shard_bytes: int = 8_000_000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """The id, ``url``, ``text``, and how many of the page's words lie in windows that
+    other pages of its host share (``n_covered``) of all its words (``n_words``)."""
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = source.withColumn("_hash", F.xxhash64("_id", "url")).repartitionByRange(parts, "_host", "_hash").sortWithinPartitions("_host", "_id")
+    source = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("_host"))
     kind = source.schema["_id"].dataType.simpleString()
-    out = dealt.select("_id", "url", "html", "_host").mapInArrow(_extract(min_words, shard_bytes), f"_id {kind}, url string, text string, n_covered long, n_words long")
+    result = f"_id {kind}, url string, text string, n_covered long, n_words long"
+    hosts = source.groupBy("_host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 1).alias("_bytes"), F.countDistinct(F.coalesce(F.col("_id").cast("string"), F.lit(""))).alias("_host_pages"))
+    large = saved(hosts.filter(F.col("_bytes") > shard_bytes).select("_host", "_host_pages", F.ceil(F.col("_bytes") / shard_bytes).alias("_parts")), "large-hosts")
+    some_large = not large.isEmpty()
+    small = source.join(large.select("_host"), "_host", "left_anti") if some_large else source
+    read = small.select("_id", "url", "html", "_host").mapInArrow(_parse, f"_id {kind}, {PAGE_SQL}")
+    out = read.repartition(parts, "_host").sortWithinPartitions("_host", "_id").mapInArrow(_of_whole_hosts(min_words, template), result)
+    if some_large:
+        read = source.join(large.select("_host"), "_host", "left_semi").select("_id", "url", "html", "_host").mapInArrow(_parse, f"_id {kind}, {PAGE_SQL}")
+        shards = saved(read.join(large, "_host").withColumn("_shard", F.pmod(F.xxhash64("_id"), F.col("_parts"))).drop("_parts"), "large-pages")
+
+        def dealt(rows: DataFrame, *order: str) -> DataFrame:
+            return rows.repartition(parts, "_host", "_shard").sortWithinPartitions("_host", "_shard", *order)
+
+        windows = saved(dealt(shards, "_id").mapInArrow(_windows_of_shards(min_words), f"_host string, _shard long, {HIT}"), "windows")
+        shared = windows.groupBy("_host", "_key").agg(F.sum("_pages").alias("_all"), F.count("*").alias("_in")).filter("_in > 1")
+        hits = windows.join(shared, ["_host", "_key"]).select("_host", "_shard", "_key", F.col("_all").alias("_pages"))
+        both = shards.withColumns({"_key": F.lit(None).cast("long"), "_pages": F.lit(None).cast("long")}).unionByName(hits, allowMissingColumns=True)
+        out = out.unionByName(dealt(both.withColumn("_turn", F.isnull("_key")), "_turn", "_id").mapInArrow(_of_shards(min_words, template), result))
     return out.withColumnRenamed("_id", id_col)

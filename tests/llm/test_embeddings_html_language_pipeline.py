@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.llm.embedding_dedup import near_duplicate_vectors
-from tallyspark.llm.html_text import blocks, extract, main_text, repeated_runs
 from tallyspark.llm.language_id import identified, learned_from
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
@@ -58,64 +57,6 @@ def test_tight_groups_larger_than_a_part_stay_whole(spark):
     assert sorted(tuple(r) for r in near_duplicate_vectors(table, neighbours=1, tables=1, rounds=0, most=2, tries=1, block=50).collect()) == want
 
 
-PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
-<nav><ul><li><a href="/a">menu</a></ul></nav><!-- ad --><div class="ad">buy <div>this</div> now</div>{0}<footer>&copy; x</footer></body></html>"""
-
-
-def test_blocks():
-    article = '<article><h1>T &amp; U</h1><p><b>One\n two<br>three<p>four<div class="side-bar share">s</div><aside>a</aside><form>f</form><section class="comments"><article>c</article></section><p>"five" &lt;6&gt;</article>'
-    ((text, _, _),) = extract([(1, PAGE.format(article))], 6)
-    assert text == 'T & U\n\nOne two three\n\nfour\n\n"five" <6>'
-    own = '<div class="site-header">s</div><article><header class="entry-header"><h1>title</h1></header><p>body</article>'
-    assert extract([(1, own)], 6)[0][0] == "title\n\nbody"
-    assert [b[0] for b in blocks("<p>a</p")] == ["a"]
-    assert blocks("") == [] and extract([(1, None)], 6)[0][0] == ""
-    assert extract([(1, "<nav>m<article>kept &amp cut &am")], 6)[0][0] == "kept & cut &am"
-    assert len(blocks("<div>" * 20000 + "x")) == 1
-
-
-def test_whole_articles_are_not_dropped():
-    def text(html):
-        return extract([(1, html)], 6)[0][0]
-
-    assert text("<article class='post category-social tag-search'><p>body</p></article>") == "body"
-    assert text("<main class='has-sidebar'><p>body</p></main>") == "body"
-    assert text("<article class='single-related'><p>body</p></article>") == "body"
-    assert text("<div class='content no-sidebar'><p>body</p></div><div class='sidebar'>x</div>") == "body"
-    assert text("<div class='post single-search'><p>body</p></div>") == "body"
-    assert text("<article class='comment'>x</article><article class='ads big'>y</article>") == ""
-    assert text("<div class='related'><article class='related-post'>x</article></div><article>body</article>") == "body"
-    assert text("<article><p><svg class='icon'/>one</p><p>two <svg><path/></svg>three</p></article>") == "one\n\ntwo three"
-    assert text("<article><title-bar>one</title-bar> <select-box>two</select-box> <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math></article>") == "one two x=1"
-
-
-def test_repeated_runs_against_brute_force():
-    rnd = random.Random(1)
-    for _ in range(200):
-        pages = [[rnd.randint(0, 2) for _ in range(rnd.randint(0, 25))] for _ in range(rnd.randint(1, 6))]
-        k = rnd.randint(2, 7)
-        words = np.array(sum(pages, []), dtype=np.int64)
-        page = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
-        want = []
-        for i, p in enumerate(pages):
-            mine = [False] * len(p)
-            for a in range(len(p) - k + 1):
-                if any(q[b : b + k] == p[a : a + k] for j, q in enumerate(pages) if j != i for b in range(len(q) - k + 1)):
-                    mine[a : a + k] = [True] * k
-            want += mine
-        assert repeated_runs(words, page, k).tolist() == want
-
-
-def test_boilerplate_without_marks_goes_and_unique_runs_stay(spark):
-    same = "<p>all of these many words stand on every page of the host</p>"
-    rows = [(k, f"http://h.org/{k}", f"{same}<p>page {k} has its own words {' '.join(str(k * 50 + j) for j in range(9))}</p>") for k in range(6)]
-    rows += [(9, None, None), (10, "http://i.org/", ""), (5, "http://h.org/5", rows[5][2])]
-    got = {(r.page_id, r.url): r for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[3, "http://h.org/3"].text.startswith("page 3 has") and "\n\n" not in got[3, "http://h.org/3"].text
-    assert got[9, None].text == "" and got[10, "http://i.org/"].text == ""
-    assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-
-
 WORDS = {
     "en": "the of and to in is that was for on with as by this from are be it",
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein",
