@@ -2,11 +2,13 @@
 
 A page's blocks are read once, in page order, each with its place in the structure.
 A host's pages form one token stream; the suffixes, sorted by their first ``min_words``
-words (prefix doubling), give for each window the number of distinct pages that hold it,
-and a word's count is the largest of the windows it lies in. A host of up to
-``shard_bytes`` of html is read by one task. A larger one is dealt to shards: each
-sorts its own suffixes, and the counts of equal windows are then summed over the
-shards, so that counts never depend on how pages are dealt.
+words (prefix doubling), give for each window the number of distinct pages that hold it.
+A window repeats if it stands on two pages and on ``share`` of the host's pages, and a
+word's count is the largest of the repeated windows it lies in, else 1. A host of up to
+``shard_bytes`` of html is read by one task. A larger one is dealt to shards, each with
+its own suffix array. A window that repeats on the host repeats in at least one of its
+shards; those windows are counted in all shards and the counts summed, so that they
+never depend on how pages are dealt.
 
 The page's own level is the lower quartile of its words' counts: 1 for an article that
 stands once, and the number of copies for one that is copied. On pages without
@@ -20,7 +22,7 @@ page has them, and on a page with ``article`` or ``main`` so do blocks outside i
 
 Defined results: null or empty html has an empty text; a null url counts as the
 empty host; repeated rows are extracted one by one (a page and its copy under the
-same id are not distinct pages); truncated tags and elements end with the page; an
+same id and url are not distinct pages); truncated tags and elements end with the page; an
 empty table gives an empty table; other columns of the input are not read.
 """
 
@@ -35,6 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import saved
 from .url_filter import host_of
@@ -165,7 +168,7 @@ def equal_windows(words: np.ndarray, page: np.ndarray, size: int) -> tuple[np.nd
 
 def word_counts(n: int, at: np.ndarray, pages: np.ndarray, size: int) -> np.ndarray:
     """For each of ``n`` words the largest count of the windows (begin, count) that it lies in."""
-    begins = np.zeros(n, dtype=np.int64)
+    begins = np.ones(n, dtype=np.int64)
     begins[at] = pages
     out = begins.copy()
     for k in range(1, size):
@@ -173,6 +176,11 @@ def word_counts(n: int, at: np.ndarray, pages: np.ndarray, size: int) -> np.ndar
     return out
 
 
+def repeated(pages: np.ndarray, host_pages: int, share: float) -> np.ndarray:
+    """The counts of repeated windows; 1 for the others."""
+    return np.where(pages >= max(2, share * host_pages), pages, 1)
+
+
 def window_keys(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit key of each window, the same in every task."""
     out = np.zeros(len(at), dtype=np.uint64)
@@ -204,7 +212,7 @@ class Stream:
         ids = np.array([numbers.setdefault(p[0], len(numbers)) for p in pages], dtype=np.int64)
         self.words = np.array(words, dtype=np.uint64)
         self.ends = np.cumsum(np.array(sizes, dtype=np.int64))
-        # rows are sorted by id, so rows of one id, which count as one page, follow each other
+        # rows are sorted, so rows of one id and url, which count as one page, follow each other
         self.page = np.repeat(ids[np.array(owner, dtype=np.int64)], sizes) if owner else np.zeros(0, np.int64)
         self.ids = len(numbers)
 
@@ -225,7 +233,7 @@ def extract(pages: list[tuple], counts: np.ndarray, ends: np.ndarray, host_pages
         kept = []
         if mine:
             own = np.sort(np.concatenate([c for _, c in mine]))
-            least = 2 * max(1, int(own[(len(own) - 1) // 4]))
+            least = 2 * int(own[(len(own) - 1) // 4])
             if has_main:
                 least = max(least, 8, template * host_pages)
             for text, c in mine:
@@ -241,13 +249,11 @@ def extract(pages: list[tuple], counts: np.ndarray, ends: np.ndarray, host_pages
                     if left:
                         kept.append(" ".join(" ".join(words[x:y]) for x, y in left))
         every = counts[page_begin:begin]
-        out.append(("\n\n".join(kept), int((every >= 2).sum()), len(every)))
+        out.append(("\n\n".join(kept), int((every > 1).sum()), len(every)))
     return out
 
 
 IN_MAIN, DROP = 1, 2
-PAGE_SQL = "url string, _host string, texts array<string>, marks array<int>"
-HIT = "_key long, _pages long"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +285,7 @@ def _results(rows: list[dict], found: list[tuple[str, int, int]], kind: pa.DataT
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [kind, pa.string(), pa.string(), pa.int64(), pa.int64()])], names=["_id", "url", "text", "n_covered", "n_words"])
 
 
-def _of_whole_hosts(min_words: int, template: float):
+def _of_whole_hosts(min_words: int, share: float, template: float):
     """Rows sorted by host, all of a host's pages in one run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,84 +298,100 @@ def _of_whole_hosts(min_words: int, template: float):
                 yield b
 
         for rows in _runs(seen(), ["_host"]):
-            pages = [(r["_id"], r["texts"], r["marks"]) for r in rows]
+            pages = [((r["_id"], r["url"]), r["texts"], r["marks"]) for r in rows]
             stream = Stream(pages)
             at, group, sizes = equal_windows(stream.words, stream.page, min_words)
-            counts = word_counts(len(stream.words), at, sizes[group], min_words)
+            counts = word_counts(len(stream.words), at, repeated(sizes, stream.ids, share)[group], min_words)
             yield _results(rows, extract(pages, counts, stream.ends, stream.ids, min_words, template), kind)
 
     return run
 
 
-def _windows_of_shards(min_words: int):
-    """Rows sorted by host and shard: each distinct window of a shard and its pages there."""
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[dict], Stream]]:
+    """Each row's columns besides the pages, its pages and their stream."""
+    for b in batches:
+        for k in range(b.num_rows):
+            (row,) = b.slice(k, 1).to_pylist()
+            rows = row.pop("rows")
+            yield row, rows, Stream([((r["_id"], r["url"]), r["texts"], r["marks"]) for r in rows])
+
+
+def _candidates(min_words: int, share: float):
+    """Each shard's windows that stand on ``share`` of its pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, ["_host", "_shard"]):
-            stream = Stream([(r["_id"], r["texts"], r["marks"]) for r in rows])
+        for row, _, stream in _shards(batches):
             at, group, sizes = equal_windows(stream.words, stream.page, min_words)
-            first = at[np.flatnonzero(np.diff(group, prepend=-1))] if len(at) else at
-            n = len(first)
-            yield pa.RecordBatch.from_arrays([pa.array([rows[0]["_host"]] * n, pa.string()), pa.array([rows[0]["_shard"]] * n, pa.int64()), pa.array(window_keys(stream.words, first, min_words)), pa.array(sizes.astype(np.int64))], names=["_host", "_shard", "_key", "_pages"])
+            first = at[np.diff(group, prepend=-1) > 0]
+            # on a host of few pages, two pages are less than one a shard
+            first = first[(sizes >= share * stream.ids) | (share * row["_host_pages"] < 2)]
+            yield pa.RecordBatch.from_arrays([pa.array([row["_host"]] * len(first), pa.string()), pa.array(window_keys(stream.words, first, min_words))], names=["_host", "_key"])
 
     return run
 
 
-def _of_shards(min_words: int, template: float):
-    """Rows sorted by host, shard and kind: first a shard's shared windows, then its pages."""
+def _counted(min_words: int):
+    """How many of a shard's pages hold each of the host's candidates (``_keys``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = None
+        for row, _, stream in _shards(batches):
+            at, group, sizes = equal_windows(stream.words, stream.page, min_words)
+            keys = window_keys(stream.words, at[np.diff(group, prepend=-1) > 0], min_words)
+            mine = np.isin(keys, np.array(row["_keys"], dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([row["_host"]] * int(mine.sum()), pa.string()), pa.array(keys[mine]), pa.array(sizes[mine].astype(np.int64))], names=["_host", "_key", "_pages"])
 
-        def seen() -> Iterator[pa.RecordBatch]:
-            nonlocal kind
-            for b in batches:
-                kind = b.schema.field("_id").type
-                yield b
+    return run
 
-        for rows in _runs(seen(), ["_host", "_shard"]):
-            hits = [r for r in rows if r["_key"] is not None]
-            rows = [r for r in rows if r["_key"] is None]
-            pages = [(r["_id"], r["texts"], r["marks"]) for r in rows]
-            stream = Stream(pages)
-            at, group, sizes = equal_windows(stream.words, stream.page, min_words)
-            pages_of = sizes[group]
-            if hits and len(at):
-                known = np.array([r["_key"] for r in hits], dtype=np.int64)
+
+def _of_shards(min_words: int, share: float, template: float, kind: pa.DataType):
+    """Pages of shards with the counts of their hosts' candidates (``_keys``, ``_all``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, rows, stream in _shards(batches):
+            at = equal_windows(stream.words, stream.page, min_words)[0]
+            pages_of = np.ones(len(at), dtype=np.int64)
+            known = np.array(row["_keys"] or [], dtype=np.int64)
+            if len(known) and len(at):
                 order = np.argsort(known)
-                known, total = known[order], np.array([r["_pages"] for r in hits], dtype=np.int64)[order]
+                known, total = known[order], np.array(row["_all"], dtype=np.int64)[order]
                 keys = window_keys(stream.words, at, min_words)
                 place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                pages_of = np.where(known[place] == keys, total[place], pages_of)
+                pages_of = np.where(known[place] == keys, repeated(total[place], row["_host_pages"], share), 1)
             counts = word_counts(len(stream.words), at, pages_of, min_words)
-            yield _results(rows, extract(pages, counts, stream.ends, rows[0]["_host_pages"], min_words, template), kind)
+            found = extract([(None, r["texts"], r["marks"]) for r in rows], counts, stream.ends, row["_host_pages"], min_words, template)
+            yield _results(rows, found, kind)
 
     return run
 
 
-def main_text(pages: DataFrame, min_words: int = 8, template: float = 0.8, shard_bytes: int = 8_000_000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The id, ``url``, ``text``, and how many of the page's words lie in windows that
-    other pages of its host share (``n_covered``) of all its words (``n_words``)."""
+def main_text(pages: DataFrame, min_words: int = 8, share: float = 0.02, template: float = 0.8, shard_bytes: int = 8_000_000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """The id, ``url``, ``text``, and how many of the page's words lie in repeated
+    windows (``n_covered``) of all its words (``n_words``)."""
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("_host"))
-    kind = source.schema["_id"].dataType.simpleString()
-    result = f"_id {kind}, url string, text string, n_covered long, n_words long"
-    hosts = source.groupBy("_host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 1).alias("_bytes"), F.countDistinct(F.coalesce(F.col("_id").cast("string"), F.lit(""))).alias("_host_pages"))
+    kind = source.schema["_id"].dataType
+    result = f"_id {kind.simpleString()}, url string, text string, n_covered long, n_words long"
+    read_sql = f"_id {kind.simpleString()}, url string, _host string, texts array<string>, marks array<int>"
+    hosts = source.groupBy("_host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 1).alias("_bytes"), F.countDistinct(F.struct("_id", "url")).alias("_host_pages"))
     large = saved(hosts.filter(F.col("_bytes") > shard_bytes).select("_host", "_host_pages", F.ceil(F.col("_bytes") / shard_bytes).alias("_parts")), "large-hosts")
     some_large = not large.isEmpty()
     small = source.join(large.select("_host"), "_host", "left_anti") if some_large else source
-    read = small.select("_id", "url", "html", "_host").mapInArrow(_parse, f"_id {kind}, {PAGE_SQL}")
-    out = read.repartition(parts, "_host").sortWithinPartitions("_host", "_id").mapInArrow(_of_whole_hosts(min_words, template), result)
+    read = small.select("_id", "url", "html", "_host").mapInArrow(_parse, read_sql)
+    out = read.repartition(parts, "_host").sortWithinPartitions("_host", "_id", "url").mapInArrow(_of_whole_hosts(min_words, share, template), result)
     if some_large:
-        read = source.join(large.select("_host"), "_host", "left_semi").select("_id", "url", "html", "_host").mapInArrow(_parse, f"_id {kind}, {PAGE_SQL}")
-        shards = saved(read.join(large, "_host").withColumn("_shard", F.pmod(F.xxhash64("_id"), F.col("_parts"))).drop("_parts"), "large-pages")
-
-        def dealt(rows: DataFrame, *order: str) -> DataFrame:
-            return rows.repartition(parts, "_host", "_shard").sortWithinPartitions("_host", "_shard", *order)
-
-        windows = saved(dealt(shards, "_id").mapInArrow(_windows_of_shards(min_words), f"_host string, _shard long, {HIT}"), "windows")
-        shared = windows.groupBy("_host", "_key").agg(F.sum("_pages").alias("_all"), F.count("*").alias("_in")).filter("_in > 1")
-        hits = windows.join(shared, ["_host", "_key"]).select("_host", "_shard", "_key", F.col("_all").alias("_pages"))
-        both = shards.withColumns({"_key": F.lit(None).cast("long"), "_pages": F.lit(None).cast("long")}).unionByName(hits, allowMissingColumns=True)
-        out = out.unionByName(dealt(both.withColumn("_turn", F.isnull("_key")), "_turn", "_id").mapInArrow(_of_shards(min_words, template), result))
+        read = source.join(large.select("_host"), "_host", "left_semi").select("_id", "url", "html", "_host").mapInArrow(_parse, read_sql)
+        placed = read.join(large, "_host").withColumn("_shard", F.pmod(F.xxhash64("_id", "url"), F.col("_parts")))
+        # a shard is a row, of bounded size
+        shards = saved(placed.groupBy("_host", "_shard", "_host_pages").agg(F.sort_array(F.collect_list(F.struct("_id", "url", "texts", "marks"))).alias("rows")), "large-pages")
+        of_shard = shards.select("_host", "_shard")
+
+        def told(keys: DataFrame) -> DataFrame:
+            """The shards, each with the columns of its host in ``keys``."""
+            return shards.join(of_shard.join(keys, "_host"), ["_host", "_shard"], "left")
+
+        candidates = shards.select("_host", "_host_pages", "rows").mapInArrow(_candidates(min_words, share), "_host string, _key long").distinct()
+        keys = saved(candidates.groupBy("_host").agg(F.collect_list("_key").alias("_keys")), "windows")
+        counted = told(keys).filter("_keys is not null").mapInArrow(_counted(min_words), "_host string, _key long, _pages long").groupBy("_host", "_key").agg(F.sum("_pages").alias("_all"))
+        totals = saved(counted.groupBy("_host").agg(F.collect_list(F.struct("_key", "_all")).alias("_found")).select("_host", F.col("_found._key").alias("_keys"), F.col("_found._all").alias("_all")), "windows")
+        out = out.unionByName(told(totals).mapInArrow(_of_shards(min_words, share, template, to_arrow_type(kind)), result))
     return out.withColumnRenamed("_id", id_col)

@@ -17,17 +17,19 @@ def parsed(html):
 def text_of(html):
     page = (1, *parsed(html))
     stream = Stream([page])
-    return extract([page], np.zeros(len(stream.words), np.int64), stream.ends, 1, 8, 0.8)[0][0]
+    return extract([page], np.ones(len(stream.words), np.int64), stream.ends, 1, 8, 0.8)[0][0]
 
 
-def brute_counts(pages, size):
-    """Each word's count: the most distinct ids that hold a window over it."""
+def brute_counts(pages, size, share=0.0):
+    """Each word's count: the most distinct ids that hold a repeated window over it, else 1."""
     streams = [" ".join(texts).split(" ") if texts else [] for _, texts, _ in pages]
     holders = defaultdict(set)
     for (name, _, _), words in zip(pages, streams):
         for i in range(len(words) - size + 1):
             holders[tuple(words[i : i + size])].add(name)
-    return [[max((len(holders[tuple(words[i : i + size])]) for i in range(max(0, j - size + 1), j + 1) if i + size <= len(words)), default=0) for j in range(len(words))] for words in streams]
+    least = max(2, share * len({p[0] for p in pages}))
+    counts = {w: len(ids) if len(ids) >= least else 1 for w, ids in holders.items()}
+    return [[max((counts[tuple(words[i : i + size])] for i in range(max(0, j - size + 1), j + 1) if i + size <= len(words)), default=1) for j in range(len(words))] for words in streams]
 
 
 def lengths(flags):
@@ -35,15 +37,15 @@ def lengths(flags):
     return [(f, n) for f, run in groupby(flags) for n in [len(list(run))] for _ in range(n)]
 
 
-def brute_text(html_pages, size, template):
+def brute_text(html_pages, size, share, template):
     """{(id, url): text} by the rules of the module's docstring, host by host."""
     hosts = defaultdict(list)
     for name, url, html in html_pages:
         hosts[(url or "").split("://")[-1].split("/")[0]].append((name, url, *parsed(html)))
     out = {}
     for rows in hosts.values():
-        number = len({r[0] for r in rows})
-        for (name, url, texts, marks), counts in zip(rows, brute_counts([(n, t, m) for n, _, t, m in rows], size)):
+        number = len({r[:2] for r in rows})
+        for (name, url, texts, marks), counts in zip(rows, brute_counts([((n, u), t, m) for n, u, t, m in rows], size, share)):
             in_main, at, mine = IN_MAIN in marks, 0, []
             for text, mark in zip(texts, marks):
                 words = text.split(" ")
@@ -51,7 +53,7 @@ def brute_text(html_pages, size, template):
                     mine.append((words, counts[at : at + len(words)]))
                 at += len(words)
             own = sorted(c for _, cs in mine for c in cs)
-            least = 2 * max(1, own[(len(own) - 1) // 4]) if own else 0
+            least = 2 * own[(len(own) - 1) // 4] if own else 0
             if in_main:
                 least = max(least, 8, template * number)
             kept = []
@@ -142,12 +144,11 @@ def site(rnd):
 
 def test_whole_extraction_against_brute_force(spark):
     rows, inside, around, passage = site(random.Random(4))
-    want = brute_text(rows, 8, 0.8)
-    got = {}
-    for shard, partitions in ((8_000_000, 4), (2_000, 4), (2_000, 23)):
+    for shard, partitions, share in ((8_000_000, 4, 0.02), (2_000, 4, 0.02), (2_000, 23, 0.1), (20_000, 4, 0.2)):
+        want = brute_text(rows, 8, share, 0.8)
         spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
         try:
-            found = main_text(spark.createDataFrame(rows, SCHEMA).repartition(partitions), shard_bytes=shard).collect()
+            found = main_text(spark.createDataFrame(rows, SCHEMA).repartition(partitions), shard_bytes=shard, share=share).collect()
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", "4")
         got = {(r.page_id, r.url): r.text for r in found}
