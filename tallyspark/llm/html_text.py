@@ -216,6 +216,11 @@ class Stream:
         self.page = np.repeat(ids[np.array(owner, dtype=np.int64)], sizes) if owner else np.zeros(0, np.int64)
         self.ids = len(numbers)
 
+    def windows(self, size: int) -> np.ndarray:
+        """Where a window of ``size`` words of one page begins."""
+        last = max(0, len(self.words) - size + 1)
+        return np.flatnonzero(self.page[:last] == self.page[size - 1 : size - 1 + last])
+
 
 def extract(pages: list[tuple], counts: np.ndarray, ends: np.ndarray, host_pages: int, min_words: int, template: float) -> list[tuple[str, int, int]]:
     """(text, words that other pages share, all words) of each page (id, texts, marks).
@@ -335,10 +340,12 @@ def _counted(min_words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, _, stream in _shards(batches):
-            at, group, sizes = equal_windows(stream.words, stream.page, min_words)
-            keys = window_keys(stream.words, at[np.diff(group, prepend=-1) > 0], min_words)
+            at = stream.windows(min_words)
+            keys = window_keys(stream.words, at, min_words)
             mine = np.isin(keys, np.array(row["_keys"], dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([row["_host"]] * int(mine.sum()), pa.string()), pa.array(keys[mine]), pa.array(sizes[mine].astype(np.int64))], names=["_host", "_key", "_pages"])
+            held = np.unique(np.stack([keys[mine], stream.page[at[mine]]]), axis=1)[0]
+            keys, sizes = np.unique(held, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([row["_host"]] * len(keys), pa.string()), pa.array(keys), pa.array(sizes.astype(np.int64))], names=["_host", "_key", "_pages"])
 
     return run
 
@@ -348,7 +355,7 @@ def _of_shards(min_words: int, share: float, template: float, kind: pa.DataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, rows, stream in _shards(batches):
-            at = equal_windows(stream.words, stream.page, min_words)[0]
+            at = stream.windows(min_words)
             pages_of = np.ones(len(at), dtype=np.int64)
             known = np.array(row["_keys"] or [], dtype=np.int64)
             if len(known) and len(at):
@@ -383,15 +390,9 @@ def main_text(pages: DataFrame, min_words: int = 8, share: float = 0.02, templat
         placed = read.join(large, "_host").withColumn("_shard", F.pmod(F.xxhash64("_id", "url"), F.col("_parts")))
         # a shard is a row, of bounded size
         shards = saved(placed.groupBy("_host", "_shard", "_host_pages").agg(F.sort_array(F.collect_list(F.struct("_id", "url", "texts", "marks"))).alias("rows")), "large-pages")
-        of_shard = shards.select("_host", "_shard")
-
-        def told(keys: DataFrame) -> DataFrame:
-            """The shards, each with the columns of its host in ``keys``."""
-            return shards.join(of_shard.join(keys, "_host"), ["_host", "_shard"], "left")
-
         candidates = shards.select("_host", "_host_pages", "rows").mapInArrow(_candidates(min_words, share), "_host string, _key long").distinct()
         keys = saved(candidates.groupBy("_host").agg(F.collect_list("_key").alias("_keys")), "windows")
-        counted = told(keys).filter("_keys is not null").mapInArrow(_counted(min_words), "_host string, _key long, _pages long").groupBy("_host", "_key").agg(F.sum("_pages").alias("_all"))
+        counted = shards.join(keys, "_host").mapInArrow(_counted(min_words), "_host string, _key long, _pages long").groupBy("_host", "_key").agg(F.sum("_pages").alias("_all"))
         totals = saved(counted.groupBy("_host").agg(F.collect_list(F.struct("_key", "_all")).alias("_found")).select("_host", F.col("_found._key").alias("_keys"), F.col("_found._all").alias("_all")), "windows")
-        out = out.unionByName(told(totals).mapInArrow(_of_shards(min_words, share, template, to_arrow_type(kind)), result))
+        out = out.unionByName(shards.join(totals, "_host", "left").mapInArrow(_of_shards(min_words, share, template, to_arrow_type(kind)), result))
     return out.withColumnRenamed("_id", id_col)
