@@ -10,34 +10,36 @@ and the attempt: no two splits have the same borders.
 
 Pairs at or above the threshold link classes: those in the lists, and those that a
 list had no room for, of which each group keeps a star for each of its components.
-A list all of whose entries pass the threshold is saturated; such lists are enlarged
-to the whole component they lie in, by comparing the component's vectors in blocks,
-which makes the numbers of links within a component exact. An audit then compares a
-bounded sample of vectors with all vectors and runs further rounds with longer lists
-while the share of links found is below ``recall``. If it still is after the last
+A list all of whose entries pass the threshold is saturated and is enlarged to up to
+``most`` entries that do. The numbers of links within a component are then made exact
+by comparing its vectors in blocks. An audit compares a bounded sample of vectors, half
+of it linked or nearly linked ones, with all vectors and runs further rounds with longer
+lists while the share of links found is below ``recall``. If it still is after the last
 attempt, the vectors of different components are compared with each other, all of
-them, in blocks.
+them, in blocks. The audited shares are logged and appended to ``audits``.
 
-Ids are integers. Defined results: null, zero or empty vectors, vectors with null or
-non-finite components and vectors whose length is not the table's greatest have no
-links and form their own component; rows that repeat a vector, even under the same
+Ids are integers. Defined results: null, zero or empty vectors and vectors with null or
+non-finite components have no links and form their own component; vectors of different
+lengths are not compared, and each length has its own links; rows that repeat a vector, even under the same
 id, count as further vectors; a null id has no component; an empty table gives an
 empty table.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
 from .components import components
 from .ngram_join import joined_groups
 
+LOG = logging.getLogger(__name__)
 EDGE = pa.schema([("id", pa.int64()), ("near", pa.int64()), ("cosine", pa.float64()), ("star", pa.bool_())])
 EDGE_SQL = "id long, near long, cosine double, star boolean"
 #: Stands for the cosine of two members of a component that may not be near themselves.
@@ -82,13 +84,13 @@ def _first_linked(hit: np.ndarray) -> np.ndarray:
 
 
 def _best_within(size: int, threshold: float) -> Callable:
-    """For each group: every member's best ``size`` fellow members, and a star for
-    each of its components."""
+    """For each group: every member's best ``size`` fellow members, twice as many where
+    they all pass the threshold, and a star for each of the group's components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, ...]] = []
         rows = 0
-        for group in runs(batches, ["group", "part"]):
+        for group in runs(batches, ["group", "part", "length"]):
             ids, at = np.unique(group.column("id").to_numpy(), return_index=True)
             if len(ids) < 2:
                 continue
@@ -96,10 +98,14 @@ def _best_within(size: int, threshold: float) -> Callable:
             m = unit_rows([vectors[k] for k in at])
             s = m @ m.T
             np.fill_diagonal(s, -2)
-            k = min(size, len(ids) - 1)
+            k = min(2 * size, len(ids) - 1)
             best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            out.append((np.repeat(ids, k), ids[best].ravel(), np.take_along_axis(s, best, axis=1).ravel(), np.zeros(k * len(ids), dtype=bool)))
-            rows += k * len(ids)
+            cosine = np.take_along_axis(s, best, axis=1)
+            order = np.argsort(-cosine, axis=1, kind="stable")
+            best, cosine = np.take_along_axis(best, order, axis=1), np.take_along_axis(cosine, order, axis=1)
+            x, y = np.nonzero((np.arange(k) < size)[None, :] | (cosine >= threshold))
+            out.append((ids[x], ids[best[x, y]], cosine[x, y], np.zeros(len(x), dtype=bool)))
+            rows += len(x)
             hit = s >= threshold
             if hit.any():
                 first = _first_linked(hit)
@@ -125,29 +131,38 @@ def _split(members: DataFrame, most: int, salt: int) -> DataFrame:
 def _compared(members: DataFrame, size: int, threshold: float) -> DataFrame:
     """Edges from groups (``group``, ``part``, ``id``, ``vector``)."""
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = members.select("group", "part", "id", "vector").repartition(parts, "group", "part").sortWithinPartitions("group", "part")
+    dealt = members.select("group", "part", "id", "vector", F.length("vector").alias("length")).repartition(parts, "group", "part").sortWithinPartitions("group", "part", "length")
     return dealt.mapInArrow(_best_within(size, threshold), EDGE_SQL)
 
 
-def _lists(edges: DataFrame, size: int) -> DataFrame:
-    """The best ``size`` distinct neighbours of each class (``listed``) and its stars."""
+def _lists(edges: DataFrame, size: int, threshold: float, most: int) -> DataFrame:
+    """Each class's list of neighbours (``listed``), and its stars.
+
+    A list has the best ``size`` neighbours; one whose entries all pass the threshold
+    grows to up to ``most`` that do.
+    """
     once = edges.groupBy("id", "near").agg(F.max("cosine").alias("cosine"), F.max("star").alias("star"))
-    every = once.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("cosine", "near", "star")), asc=False).alias("list"))
-    placed = every.select("id", F.posexplode("list").alias("k", "e")).select("id", "e.near", "e.cosine", "e.star", ((F.col("k") < size) & (F.col("e.cosine") > NOT_COMPARED)).alias("listed"))
-    return placed.filter("listed or star")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "near"))
+    ranked = once.filter(F.col("cosine") > NOT_COMPARED).withColumn("rank", rank).filter(F.col("rank") <= max(size, most))
+    listed = ranked.filter((F.col("rank") <= size) | (F.col("cosine") >= threshold)).select("id", "near", "cosine", F.lit(False).alias("star"), F.lit(True).alias("listed"))
+    return listed.unionByName(once.filter("star").select("id", "near", "cosine", "star", F.lit(False).alias("listed")))
+
+
+def by_length(vectors: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, unit vectors) of each length."""
+    sizes = np.array([len(v) for v in vectors])
+    return [(at, unit_rows([vectors[k] for k in at])) for at in (np.flatnonzero(sizes == n) for n in np.unique(sizes))]
 
 
 def _hyperplane_buckets(bits: int, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            m = unit_rows(b.column("vector").to_pylist())
-            planes = np.random.default_rng(11).standard_normal((m.shape[1], bits * tables))
-            sides = (m @ planes > 0).reshape(len(m), tables, bits)
-            bucket = (sides << np.arange(bits)).sum(axis=2) + (np.arange(tables)[None, :] << 40)
-            n = len(m)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("id").to_numpy(), tables)), pa.array(bucket.ravel().astype(np.int64)), b.column("vector").take(pa.array(np.repeat(np.arange(n), tables)))], names=["id", "group", "vector"])
+            for at, m in by_length(b.column("vector").to_pylist()):
+                planes = np.random.default_rng(11).standard_normal((m.shape[1], bits * tables))
+                sides = (m @ planes > 0).reshape(len(m), tables, bits)
+                bucket = (sides << np.arange(bits)).sum(axis=2) + (np.arange(tables)[None, :] << 40)
+                rows = pa.array(np.repeat(at, tables))
+                yield pa.RecordBatch.from_arrays([b.column("id").take(rows), pa.array(bucket.ravel().astype(np.int64)), b.column("vector").take(rows)], names=["id", "group", "vector"])
 
     return run
 
@@ -177,7 +192,7 @@ def _links_across(threshold: float):
     """For each pair of blocks: the pairs of components that a link joins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, ["x", "y"]):
+        for group in runs(batches, ["x", "y", "length"]):
             component, own = (group.column(c).to_numpy() for c in ("component", "block"))
             m = unit_rows(group.column("vector").to_pylist())
             x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
@@ -193,37 +208,43 @@ def _links_across(threshold: float):
 
 def _true_links(sample, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = sample.value[1]
-        total = np.zeros(len(asked), dtype=np.int64)
+        asked = {m.shape[1]: (at, m) for at, m in sample.value}
+        total = np.zeros(sum(len(at) for at, _ in asked.values()), dtype=np.int64)
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
-                hit = asked @ unit_rows(part.column("vector").to_pylist()).T >= threshold
-                total += hit @ part.column("weight").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(asked))), pa.array(total)], names=["k", "n"])
+            for first in range(0, b.num_rows, 4096):
+                part = b.slice(first, 4096)
+                weight = part.column("weight").to_numpy()
+                for rows, m in by_length(part.column("vector").to_pylist()):
+                    if m.shape[1] in asked:
+                        at, mine = asked[m.shape[1]]
+                        total[at] += (mine @ m.T >= threshold) @ weight[rows]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["k", "n"])
 
     return run
 
 
 def near_duplicate_vectors(
-    embeddings: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", neighbours: int = 8, rounds: int = 2, tables: int = 6, most: int = 64, block: int = 1024, audit: int = 256, recall: float = 0.98, tries: int = 3
+    embeddings: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", neighbours: int = 8, rounds: int = 2, tables: int = 6, most: int = 64, block: int = 1024, audit: int = 256, recall: float = 0.98, tries: int = 3, audits: list[float] | None = None
 ) -> DataFrame:
     """One row per vector: the id, ``n_links``, ``component_id`` and ``kept``."""
-    spark = embeddings.sparkSession
     source = embeddings.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_vector"))
-    dimension = source.agg(F.coalesce(F.max(F.size("_vector")), F.lit(0))).first()[0]
     finite = F.forall("_vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = F.col("_id").isNotNull() & (F.size("_vector") == dimension) & finite & F.exists("_vector", lambda x: x != 0)
+    usable = F.col("_id").isNotNull() & (F.size("_vector") > 0) & finite & F.exists("_vector", lambda x: x != 0)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             column = b.column("_vector")
-            flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype="<f8").reshape(b.num_rows, -1)
-            # the largest component becomes one power of two or another: the same direction, no overflow
-            flat = np.ldexp(flat, -np.frexp(np.abs(flat).max(axis=1, initial=0))[1][:, None]) + 0.0
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array([r.tobytes() for r in flat], pa.binary())], names=["_id", "_key"])
+            flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype="<f8")
+            sizes = np.asarray(column.value_lengths())
+            begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+            for n in np.unique(sizes):
+                at = np.flatnonzero(sizes == n)
+                m = flat[begin[at][:, None] + np.arange(n)[None, :]]
+                # the largest component becomes one power of two or another: the same direction, no overflow
+                m = np.ldexp(m, -np.frexp(np.abs(m).max(axis=1))[1][:, None]) + 0.0
+                yield pa.RecordBatch.from_arrays([b.column("_id").take(pa.array(at)), pa.array([r.tobytes() for r in m], pa.binary())], names=["_id", "_key"])
 
     rows = saved(source.filter(usable).mapInArrow(pack, "_id long, _key binary"), "vectors")
     classes = saved(rows.groupBy(F.col("_key").alias("vector")).agg(F.min("_id").alias("id"), F.count("*").alias("weight")), "vector-classes")
@@ -238,17 +259,21 @@ def near_duplicate_vectors(
         size = neighbours << attempt
         buckets = vectors.mapInArrow(_hyperplane_buckets(bits, tables << attempt), "id long, group long, vector binary")
         start = _compared(_split(buckets, most, attempt * (rounds + 1)), size, threshold)
-        edges = saved(_lists(start if edges is None else start.unionByName(edges.drop("listed")), size), "neighbours")
+        edges = saved(_lists(start if edges is None else start.unionByName(edges.drop("listed")), size, threshold, most), "neighbours")
         for turn in range(rounds):
             near = edges.filter("listed")
             around = near.select(F.col("id").alias("group"), F.col("near").alias("id")).unionByName(near.select(F.col("near").alias("group"), "id")).distinct()
             own = near.select(F.col("id").alias("group"), "id").distinct()
             members = _split(around.unionByName(own).distinct(), most, attempt * (rounds + 1) + 1 + turn).join(vectors, "id")
-            edges = saved(_lists(_compared(members, size, threshold).unionByName(edges.drop("listed")), size), "neighbours")
+            edges = saved(_lists(_compared(members, size, threshold).unionByName(edges.drop("listed")), size, threshold, most), "neighbours")
         links = edges.filter((F.col("cosine") >= threshold) | F.col("star"))
         groups = components(links, "id", "near")
         numbers = _exact_numbers(groups, classes, threshold, block)
-        if _recall(classes, numbers, threshold, audit) >= recall:
+        share = _recall(classes, numbers, edges, threshold, audit)
+        LOG.info("attempt %d: %.4f of the audited links found", attempt + 1, share)
+        if audits is not None:
+            audits.append(share)
+        if share >= recall:
             break
     else:
         groups = _groups_of_all(groups, classes, threshold, block)
@@ -265,9 +290,9 @@ def _groups_of_all(groups: DataFrame, classes: DataFrame, threshold: float, bloc
     """The components after comparing all vectors of different components, in blocks."""
     spark = classes.sparkSession
     blocks = max(1, -(-classes.count() // block))
-    placed = classes.join(groups, "id", "left").select(F.coalesce("component", "id").alias("component"), "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "component", "vector")
-    dealt = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "x", "y").sortWithinPartitions("x", "y")
+    placed = classes.join(groups, "id", "left").select(F.coalesce("component", "id").alias("component"), "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.length("vector").alias("length"))
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "component", "vector", "length")
+    dealt = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "x", "y").sortWithinPartitions("x", "y", "length")
     more = saved(dealt.mapInArrow(_links_across(threshold), "a long, b long").distinct(), "links")
     return groups if more.isEmpty() else joined_groups(groups, more)
 
@@ -283,13 +308,18 @@ def _exact_numbers(groups: DataFrame, classes: DataFrame, threshold: float, bloc
     return saved(dealt.mapInArrow(_block_counts(threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")), "link-numbers")
 
 
-def _recall(classes: DataFrame, numbers: DataFrame, threshold: float, audit: int) -> float:
-    """Share of the links of a bounded sample of vectors that was found."""
+def _recall(classes: DataFrame, numbers: DataFrame, edges: DataFrame, threshold: float, audit: int) -> float:
+    """Share of the links of a bounded sample of vectors that was found: half any vectors,
+    half vectors whose best listed neighbour is linked or nearly so."""
     spark = classes.sparkSession
-    rows = classes.join(numbers, "id", "left").select("id", "vector", "weight", F.coalesce("n", F.lit(0)).alias("n")).orderBy(F.xxhash64("id", F.lit(1))).limit(audit).collect()
+    near = edges.filter(F.col("listed") & (F.col("cosine") >= threshold - 0.05)).select("id").distinct()
+    mixed = F.xxhash64("id", F.lit(1))
+    half = audit // 2
+    chosen = classes.select("id").orderBy(mixed).limit(audit - half).union(near.orderBy(mixed).limit(half)).distinct()
+    rows = classes.join(chosen, "id").join(numbers, "id", "left").select("vector", "weight", F.coalesce("n", F.lit(0)).alias("n")).collect()
     if not rows:
         return 1.0
-    sample = spark.sparkContext.broadcast(([r["id"] for r in rows], unit_rows([bytes(r["vector"]) for r in rows])))
+    sample = spark.sparkContext.broadcast(by_length([bytes(r["vector"]) for r in rows]))
     counted = classes.select("vector", "weight").mapInArrow(_true_links(sample, threshold), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
     true = {r["k"]: r["n"] for r in counted}
     # a class always meets itself

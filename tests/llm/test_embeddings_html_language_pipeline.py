@@ -14,12 +14,12 @@ sys.path.insert(0, str(Path(__file__).parents[2]))
 
 def brute_links(vectors, threshold):
     ok = [v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) for v in vectors]
-    dim = max((len(v) for v in vectors if v is not None), default=0)
-    ok = [o and len(v) == dim for o, v in zip(ok, vectors)]
-    m = np.array([v if o else [0.0] * dim for o, v in zip(ok, vectors)], dtype=np.float64)
-    norm = np.linalg.norm(m, axis=1)
-    m /= np.where(norm > 0, norm, 1)[:, None]
-    hit = (m @ m.T >= threshold) & np.array(ok)[:, None] & np.array(ok)[None, :]
+    hit = np.zeros((len(vectors), len(vectors)), dtype=bool)
+    for size in {len(v) for v, o in zip(vectors, ok) if o}:
+        at = np.flatnonzero([o and len(v) == size for v, o in zip(vectors, ok)])
+        m = np.array([vectors[k] for k in at], dtype=np.float64)
+        m /= np.linalg.norm(m, axis=1)[:, None]
+        hit[np.ix_(at, at)] = m @ m.T >= threshold
     np.fill_diagonal(hit, False)
     comp = list(range(len(vectors)))
     changed = True
@@ -46,6 +46,19 @@ def test_vectors_against_brute_force(spark):
     assert near_duplicate_vectors(table.limit(0)).count() == 0
 
 
+def test_lengths_do_not_disturb_each_other(spark):
+    schema = "vec_id long, embedding array<double>, kept string"
+    near = [[1.0, 0.01 * k] for k in range(5)]
+    for more, want in (([], 4), ([[1.0, 2.0, 3.0]], 4), ([[1.0, 2.0, 3.0], [1.0, 2.0, 3.1], [5.0]], 4)):
+        vectors = near + more
+        table = spark.createDataFrame([(k, v, "x") for k, v in enumerate(vectors)], schema)
+        audits = []
+        got = sorted(tuple(r) for r in near_duplicate_vectors(table, audits=audits).collect())
+        assert got == brute_links(vectors, 0.9) and got[0][1] == want and audits[-1] >= 0.98
+    only_short = spark.createDataFrame([(3, [1.0], "x"), (2, [2.0], "x"), (2, [-1.0], "x"), (None, [1.0], "x")], schema)
+    assert sorted(((r.vec_id or -1), r.n_links, r.component_id) for r in near_duplicate_vectors(only_short).collect()) == [(-1, 0, None), (2, 0, 2), (2, 1, 2), (3, 1, 2)]
+
+
 def test_tight_groups_larger_than_a_part_stay_whole(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal(24)
