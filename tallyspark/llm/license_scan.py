@@ -9,7 +9,7 @@ the join, which Spark plans by the tables' sizes.
 
 Defined results: null, empty and punctuation-only texts have no digest and no
 licence; rows that share an id share the licences found; repeated known texts
-count once (smallest name); empty tables give empty results or no licences.
+count once (smallest name); other columns of the input are not read; empty tables give empty results or no licences.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .licence_texts import KNOWN
+
 #: Spellings made one, in order; fixed values.
 SPELLINGS = [
     ("licence", "license"),
@@ -35,25 +37,6 @@ SPELLINGS = [
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright( \(c\)| ©)?|\(c\)|©) [^\n]*$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Known licence texts and notices; fixed values.
-KNOWN = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("MIT", "Released under the MIT License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    (
-        "ISC",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n"
-        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
-    ),
-    (
-        "MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n"
-        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
-    ),
-]
-
-
 def canonical(text: Column) -> Column:
     form = F.translate(text, UPPER, LOWER)
     form = F.regexp_replace(form, COPYRIGHT_LINE, " ")
@@ -68,7 +51,15 @@ def digest(form: Column) -> Column:
 
 
 def known_licences(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "licence string, text string")
+    """The short licences and notices of ``licence_texts``."""
+    rows = F.array(*[F.struct(F.lit(n).alias("licence"), F.lit(t).alias("text")) for n, t in KNOWN])
+    return spark.range(1).select(F.inline(rows))
+
+
+def read_licences(spark: SparkSession, path: str) -> DataFrame:
+    """A folder of text files, one licence each, named after its licence: any number, of any length."""
+    name = F.regexp_extract(F.input_file_name(), r"([^/]*?)(?:\.txt)?$", 1)
+    return spark.read.text(path, wholetext=True).select(F.url_decode(name).alias("licence"), F.col("value").alias("text"))
 
 
 def licences(documents: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,5 +83,7 @@ def licences(documents: DataFrame, known: DataFrame | None = None, id_col: str =
         .withColumnRenamed("_id", "_found")
     )
     whole = source.select("_id", digest(canonical(F.col("_text"))).alias("_digest"))
-    out = whole.join(table.select(F.col("_known").alias("_digest"), "licence"), "_digest", "left").join(found, F.col("_id").eqNullSafe(F.col("_found")), "left")
+    # texts without a digest have a key each, so that a shuffled join does not gather them
+    key = F.coalesce("_digest", F.concat(F.lit("none "), F.xxhash64("_id")))
+    out = whole.withColumn("_key", key).join(table.select(F.col("_known").alias("_key"), "licence"), "_key", "left").join(found, F.col("_id").eqNullSafe(F.col("_found")), "left")
     return out.select(F.col("_id").alias(id_col), F.col("_digest").alias("digest"), "licence", F.coalesce("_lines", F.array().cast("array<string>")).alias("line_licences"))
