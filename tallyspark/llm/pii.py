@@ -8,11 +8,13 @@ to pass ``threshold``.
 
 The expressions are written with possessive quantifiers and begin either where
 the previous match ended or where no character of their first class stands
-before, which finds the same leftmost matches in linear time.
+before, which finds the same leftmost matches in linear time. Positions are running sums over
+the cut pieces, built in slices, so that a text's time grows with its length and not
+with the square of its matches.
 
 Defined results: a null or empty text has no spans; repeated rows are judged one
-by one; an empty table gives an empty table; the columns of the input are not
-touched except ``text`` where masking is asked for.
+by one; an empty table gives an empty table; a column named as ``into`` is replaced,
+and of the input's other columns only ``text`` changes, where masking is asked for.
 """
 
 from __future__ import annotations
@@ -24,6 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARK, PLAIN = "\x01", "\x02"
+#: Elements that a scan adds to one array before it begins the next.
+SLICE = 64
+#: Code points of a text's parts where pieces of it are read by position.
+PART = 1024
 
 
 @dataclass(frozen=True)
@@ -36,6 +42,30 @@ class Kind:
     trusted: bool  # kept whatever its score
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _slices(values: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(values) - 1) / SLICE), F.lit(0)).cast("int")), lambda k: F.slice(values, k * SLICE + 1, SLICE))
+
+
+def _scan(values: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """Walks over ``values`` with a number that starts at 0; ``step`` gives the next number and what to add (array<kind>)."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(a: Column, x: Column) -> Column:
+        at, more = step(a["at"], x)
+        return F.struct(at.alias("at"), F.concat(a["out"], more).alias("out"))
+
+    def slice_of(a: Column, part: Column) -> Column:
+        return F.aggregate(part, F.struct(a["at"].alias("at"), none.alias("out")), one, lambda w: F.struct(w["at"].alias("at"), F.concat(a["out"], F.array(w["out"])).alias("out")))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.flatten(F.aggregate(_slices(values), zero, slice_of)["out"])
+
+
 def _digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
@@ -94,35 +124,36 @@ ADDED = [
 ]
 
 
-def _matches(text: Column, kind: Kind) -> Column:
-    """array<struct<kind, start, end, s>> of an expression's matches."""
+def _matches(text: Column, kind: Kind, window: int) -> Column:
+    """array<struct<kind, start, end, score>> of an expression's valid matches."""
     marked = F.regexp_replace(F.translate(text, MARK, PLAIN), kind.pattern, f"{MARK}$0{MARK}")
-    pieces = F.split(marked, MARK)
-    empty = F.array().cast("array<struct<at:int,len:int>>")
-    # the running position over pieces; every second piece is a match
-    walked = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), empty.alias("found")),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p)).alias("at"),
-            (~a["odd"]).alias("odd"),
-            F.when(a["odd"], F.concat(a["found"], F.array(F.struct(a["at"].alias("at"), F.length(p).alias("len"))))).otherwise(a["found"]).alias("found"),
-        ),
-    )
-    return F.transform(
-        walked["found"],
-        lambda x: F.struct(F.lit(kind.name).alias("kind"), x["at"].alias("start"), (x["at"] + x["len"]).alias("end"), F.substring(text, x["at"] + 1, x["len"]).alias("s")),
-    )
-
-
-def _scored(text: Column, kind: Kind, spans: Column, window: int) -> Column:
-    def score(x: Column) -> Column:
-        before = F.substring(text, F.greatest(x["start"] - window, F.lit(0)) + 1, F.least(F.lit(window), x["start"]))
-        after = F.substring(text, x["end"] + 1, F.lit(window))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
+    # no match is shorter than five characters, so these pieces hold the window
+    reach = 2 * -(-window // 5)
+
+    def spans(pieces: Column) -> Column:  # every second piece is a match
+        every = F.when(F.size(pieces) > 1, F.sequence(F.lit(1), F.size(pieces) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
+        return _let(F.filter(every, lambda k: kind.valid(F.get(pieces, k))), lambda good: F.when(F.size(good) > 0, placed(pieces, good)).otherwise(none))
+
+    def placed(pieces: Column, good: Column) -> Column:
+        sizes = F.transform(pieces, lambda p: F.length(p))
+        heads, tails = F.transform(pieces, lambda p: F.left(p, F.lit(window))), F.transform(pieces, lambda p: F.right(p, F.lit(window)))
+        starts = _scan(sizes, "int", lambda at, n: (at + n, F.array(at)))
+        return _let(F.struct(starts.alias("starts"), heads.alias("heads"), tails.alias("tails")), lambda c: F.transform(good, lambda k: span(pieces, c, k)))
+
+    def span(pieces: Column, c: Column, k: Column) -> Column:
+        before = F.right(F.array_join(F.slice(c["tails"], F.greatest(k - reach, F.lit(0)) + 1, F.least(k, F.lit(reach))), ""), F.lit(window))
+        after = F.left(F.array_join(F.slice(c["heads"], k + 2, reach), ""), F.lit(window))
         near = F.lower(F.concat_ws(" ", before, after)).rlike(kind.hint)
-        return F.when(near, F.least(F.lit(1.0), F.lit(kind.base + 0.3))).otherwise(F.lit(kind.base))
+        start = F.get(c["starts"], k)
+        return F.struct(
+            F.lit(kind.name).alias("kind"),
+            start.alias("start"),
+            (start + F.length(F.get(pieces, k))).alias("end"),
+            F.when(near, F.lit(round(min(1.0, kind.base + 0.3), 1))).otherwise(F.lit(kind.base)).alias("score"),
+        )
 
-    return F.transform(spans, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), score(x).alias("score")))
+    return _let(F.split(marked, MARK), spans)
 
 
 def personal_data(documents: DataFrame, text_col: str = "text", window: int = 40, threshold: float = 0.5, into: str = "spans") -> DataFrame:
@@ -130,8 +161,7 @@ def personal_data(documents: DataFrame, text_col: str = "text", window: int = 40
     text = F.coalesce(F.col(text_col), F.lit(""))
     every = None
     for order, kind in enumerate([*BASE, *ADDED]):
-        found = F.filter(_matches(text, kind), lambda x: kind.valid(x["s"]))
-        scored = _scored(text, kind, found, window)
+        scored = _matches(text, kind, window)
         if not kind.trusted:
             scored = F.filter(scored, lambda x: x["score"] >= threshold)
         keyed = F.transform(scored, _keyed(order))
@@ -165,19 +195,19 @@ def joined(spans: Column, kinds: list[str] | None = None) -> Column:
 def masked(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind in angle brackets; of
     overlapping spans the first in order stands."""
-    walked = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, x: F.when(
-            x["start"] >= a["at"],
-            F.struct(
-                x["end"].alias("at"),
-                F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.concat(F.lit("<"), x["kind"], F.lit(">")))).alias("out"),
-            ),
-        ).otherwise(a),
-    )
-    done = F.concat(F.array_join(walked["out"], ""), F.substring(text, walked["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    standing = _scan(spans, "struct<kind:string,start:int,end:int,from:int>", lambda at, x: (F.greatest(at, F.when(x["start"] >= at, x["end"]).otherwise(at)), F.when(x["start"] >= at, F.array(F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), at.alias("from")))).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,from:int>>"))))
+
+    def piece(parts: Column, begin: Column, end: Column) -> Column:
+        first = F.floor(begin / PART).cast("int")
+        several = F.slice(parts, first + 1, F.floor(end / PART).cast("int") - first + 1)
+        return F.substring(F.array_join(several, ""), begin - first * PART + 1, end - begin)
+
+    def done(c: Column) -> Column:
+        changed = F.transform(c["standing"], lambda x: F.concat(piece(c["parts"], x["from"], x["start"]), F.lit("<"), x["kind"], F.lit(">")))
+        return F.concat(F.array_join(changed, ""), piece(c["parts"], F.element_at(c["standing"], -1)["end"], F.length(text)))
+
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), 0)
+    return F.when(F.size(spans) > 0, _let(F.struct(standing.alias("standing"), parts.alias("parts")), done)).otherwise(text)
 
 
 def masked_documents(documents: DataFrame, text_col: str = "text", **options) -> DataFrame:

@@ -48,7 +48,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(read(spark, sf_dir, "documents").select("doc_id", "text"))
     names = [k.name for k in BASE]
     counts = [F.size(of_kinds(F.col("spans"), [n])).cast("long").alias(f"n_{n}") for n in names]
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("spans"), names).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("spans"), names).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.array_join(F.transform("spans", lambda x: F.format_number(x["score"], 1)), ",").alias("scores"))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +137,8 @@ SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM (SELECT
 
 
 def _op3_sql() -> str:
-    from .license_scan import COPYRIGHT_LINE, KNOWN, SPELLINGS
+    from .licence_texts import KNOWN
+    from .license_scan import COPYRIGHT_LINE, SPELLINGS
 
     def form(c: str) -> str:
         out = f"regexp_replace(translate({c}, {UPPER}, {LOWER}), '{COPYRIGHT_LINE}', ' ', 'g')"

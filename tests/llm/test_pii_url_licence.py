@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tallyspark.llm.license_scan import licences
+from tallyspark.llm.license_scan import licences, read_licences
 from tallyspark.llm.pii import joined, masked, personal_data
 from tallyspark.llm.queries import URL_RULES
 from tallyspark.llm.url_filter import judged
@@ -43,6 +43,29 @@ def test_base_spans_against_brute_force(docs):
         assert rows[k] == brute(t), repr(t)[:200]
 
 
+def brute_masked(text, spans):
+    out, at = [], 0
+    for s in spans:
+        if s.start >= at:
+            out += [text[at : s.start], f"<{s.kind}>"]
+            at = s.end
+    return "".join(out) + text[at:]
+
+
+def test_long_texts_with_many_spans(docs):
+    rnd = random.Random(6)
+    bits = ["ip 10.0.0.1 ", "mail a@b.org ", "call 415-555-0100 ", "tel +1 (415) 555-0100 ", "word \U0001f600 ", "12 "]
+    texts = ["".join(rnd.choice(bits) for _ in range(n)) for n in (64, 65, 700, 3000)] + ["ip 10.0.0.1 mail a@b.org " * 60_000]
+    table = docs(texts).withColumn("spans", F.lit("x"))
+    rows = personal_data(table).select("doc_id", "spans", joined(F.col("spans"), [k for k, _ in BASE]).alias("base"), masked(F.col("text"), F.col("spans")).alias("masked")).orderBy("doc_id").collect()
+    for r, t in zip(rows, texts):
+        assert r.base == brute(t) and r.masked == brute_masked(t, r.spans)
+        for s in r.spans[:50]:
+            if s.kind == "ip":  # the context is what stands 40 characters around the span
+                near = re.search(r"\bip\b|server|host|address|login", f"{t[max(0, s.start - 40) : s.start]} {t[s.end : s.end + 40]}")
+                assert s.score == (0.9 if near else 0.6)
+
+
 def test_added_kinds_and_masking(docs):
     texts = ["my iban is DE89 3704 0044 0532 0130 00, thanks", "iban DE89 3704 0044 0532 0130 01", "call 415-555-0100 now", "order 415-555-0100 now", "mail a@b.org!"]
     rows = personal_data(docs(texts)).select("doc_id", F.transform("spans", lambda x: x["kind"]).alias("kinds"), masked(F.col("text"), F.col("spans")).alias("masked"), "spans").orderBy("doc_id").collect()
@@ -100,6 +123,16 @@ def test_licences(spark, docs):
     assert licences(docs([])).count() == 0
 
 
+def test_licence_folder_and_repeated_rows(spark, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("You may do\nas you like. " + "Really. " * 200_000)
+    (tmp_path / "Other%20One.txt").write_text("Do not.")
+    known = read_licences(spark, str(tmp_path))
+    long = "you MAY do as you like " + "really " * 200_000
+    rows = [(1, long, "x"), (1, "do NOT", "x"), (1, "do NOT", "x"), (None, None, "x"), (None, "a\ndo, not!\nb", "x")]
+    got = licences(spark.createDataFrame(rows, "doc_id long, text string, digest string"), known).collect()
+    assert sorted((r.doc_id or 0, r.licence or "", *r.line_licences) for r in got) == [(0, "", "Other One"), (0, "", "Other One"), (1, "Other One", "Other One"), (1, "Other One", "Other One"), (1, "Own-1.0", "Other One")]
+
+
 def test_short_known_notices_are_found_in_lines(spark, docs):
     # the line is shorter than its canonical form, "x and y"
     own = spark.createDataFrame([("X", "x & y")], "licence string, text string")
