@@ -109,3 +109,28 @@ def test_files_hold_documents_in_order(spark, docs):
 
 def test_files_of_nothing(docs):
     assert binary_output.round_trip(docs([]), BYTE).count() == 0
+
+
+def test_escapes_and_documents_by_offset(spark, docs, tmp_path):
+    ids = np.array([5, 2**30, 2**32 - 1, 0, 0, 2**31 + 7, 1], dtype=np.uint32)
+    words, first = binary_output.encode_words(ids, np.array([0, 3, 7]))
+    assert (words >> np.uint64(60) == binary_output.ESCAPE).sum() == 3
+    assert (binary_output.decode_words(words) == ids).all()
+    assert binary_output.decode_document(words, first, 1).tolist() == ids[3:].tolist()
+
+    texts = odd_texts(60, 7)
+    table = docs(texts).selectExpr("cast(if(doc_id = 9, null, doc_id) as smallint) as doc_id", "text", "'x' as words", "1 as offsets")
+    path = f"{tmp_path}/files"
+    binary_output.write_token_files(table.repartition(3), BYTE, path, end_id=2**31 + 3)
+    assert spark.read.parquet(path).agg(F.sum("escapes")).first()[0] == len(texts)
+    whole = {r.doc_id: r.ids for r in binary_output.read_token_files(spark, path).collect()}
+    assert np.frombuffer(whole[4], "<u4").tolist() == library_ids(BYTE, texts[4], 2**31 + 3) and whole[None] is not None
+    wanted = spark.createDataFrame([(3,), (40,), (40,), (999,)], "doc_id smallint")
+    assert {r.doc_id: r.ids for r in binary_output.read_documents(wanted, path).collect()} == {k: whole[k] for k in (3, 40)}
+
+
+def test_repeated_and_null_ids_are_packed_once_each(spark):
+    rows = [(1, "same", "x")] * 3 + [(None, "none", "y"), (None, None, "y")]
+    got = packing.packed(spark.createDataFrame(rows, "doc_id long, text string, ids string"), WORD).collect()
+    assert sorted((r.doc_id or 0) for r in got if r.start == 0) == [0, 0, 1, 1, 1]
+    assert sum(r.length for r in got) == sum(len(library_ids(WORD, t, 2)) for _, t, _ in rows)
