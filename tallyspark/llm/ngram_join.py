@@ -1,7 +1,9 @@
 """Exact n-gram Jaccard join with adaptive multi-match prefixes.
 
-A document is the set of its word shingles. All shingles are counted in a sketch
-of fixed size, which gives one global order, rare shingles first. With ``l`` more
+A document is the set of its word shingles. All shingles are counted in a sketch with
+about a cell for each shingle (2**24 cells at most; past that cells are shared, which
+changes orders and costs but no result), which gives one global order, rare shingles
+first. With ``l`` more
 tokens than a plain prefix needs, two similar documents share at least ``l`` tokens
 of their prefixes; each document chooses the ``l`` whose estimated cost (postings
 read, and candidates verified) is smallest, and a pair must share as many prefix
@@ -38,7 +40,12 @@ from .common import discard, saved
 from .components import components
 
 WORD_TABLE = bytehash.separator_table(lambda b: b == 0x20 or 0x09 <= b <= 0x0D, lower=True)
-CELLS, CHUNKS = 1 << 20, 256
+#: Cells of the sketch: the least and the greatest power of two, and cells sent in one row.
+LEAST_CELLS, MOST_CELLS, CHUNK = 1 << 16, 1 << 24, 1 << 12
+#: Steps of a count's doubling that the sketch tells apart.
+STEPS = 8
+#: Documents of a list that meet in one task at the end, and the tasks that its rows are dealt to before.
+BLOCK, SALTS = 512, 16
 LONGEST_STEP = 6
 VERIFY_COST = 20.0
 NEXT = 4
@@ -57,41 +64,56 @@ def row_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np
         yield first, last, hashes, np.searchsorted(row, np.arange(last - first + 1))
 
 
-def cells(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64(CELLS - 1)).astype(np.int64)
+def cells(hashes: np.ndarray, number: int) -> np.ndarray:
+    return (hashes & np.uint64(number - 1)).astype(np.int64)
 
 
-def sketch(source: DataFrame, k: int) -> np.ndarray:
-    """How many documents hold a shingle of each cell: a fixed-size sketch of all documents."""
-    width = CELLS // CHUNKS
+def sketch(source: DataFrame, k: int, most: int = MOST_CELLS) -> np.ndarray:
+    """How many documents hold a shingle of each cell, one byte a cell: ``STEPS`` times
+    the binary logarithm of the count and one."""
+    size = source.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    number = LEAST_CELLS
+    while number < most and number < size // 6:  # six bytes a word
+        number *= 2
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, dtype=np.int64)
+        total = np.zeros(number, dtype=np.uint32)
         for b in batches:
             for _, _, hashes, _ in row_sets(b.column("_text"), k):
-                total += np.bincount(cells(hashes), minlength=CELLS)
-        parts = total.astype("<u4").reshape(CHUNKS, width)
-        full = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([parts[c].tobytes() for c in full], pa.binary())], names=["chunk", "counts"])
+                cell, often = np.unique(cells(hashes, number), return_counts=True)
+                total[cell] += often.astype(np.uint32)
+        full = np.flatnonzero(total)
+        cuts = np.searchsorted(full, np.arange(0, number + 1, CHUNK))
+        for c in range(number // CHUNK):
+            at = full[cuts[c] : cuts[c + 1]]
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([(at % CHUNK).astype("<u2").tobytes()], pa.binary()), pa.array([total[at].astype("<u4").tobytes()], pa.binary())], names=["chunk", "cells", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for c, counts in zip(b.column("chunk").to_pylist(), b.column("counts").to_pylist()):
-                sums[c] = sums.get(c, 0) + np.frombuffer(counts, "<u4").astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype("<i8").tobytes() for v in sums.values()], pa.binary())], names=["chunk", "counts"])
-
-    rows = source.select("_text").mapInArrow(count, "chunk int, counts binary").repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect()
-    out = np.zeros((CHUNKS, width), dtype=np.int64)
+            for c, at, counts in zip(*(b.column(x).to_pylist() for x in ("chunk", "cells", "counts"))):
+                total = sums.setdefault(c, np.zeros(CHUNK, dtype=np.int64))
+                total[np.frombuffer(at, "<u2")] += np.frombuffer(counts, "<u4")
+        levels = [np.minimum(np.rint(STEPS * np.log2(v + 1.0)), 255).astype(np.uint8).tobytes() for v in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], names=["chunk", "levels"])
+
+    rows = source.select("_text").mapInArrow(count, "chunk int, cells binary, counts binary").repartition("chunk").mapInArrow(add, "chunk int, levels binary").collect()
+    out = np.zeros(number, dtype=np.uint8)
     for r in rows:
-        out[r["chunk"]] += np.frombuffer(r["counts"], "<i8")
-    return out.ravel().astype(np.uint32) if out.max(initial=0) < 2**32 else out.ravel()
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["levels"], np.uint8)
+    return out
+
+
+#: The count that each level of the sketch stands for.
+COUNT_OF = np.exp2(np.arange(256) / STEPS) - 1
 
 
 def excess(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """How many documents hold each shingle, less what strangers put into a usual cell."""
-    mean = float(table.mean())
-    return np.maximum(table[cells(hashes)].astype(np.int64) - mean - 2 * mean**0.5, 0)
+    """How many other documents hold each shingle, less what strangers put into a usual cell."""
+    mean = float(COUNT_OF[table].mean(dtype=np.float64)) if len(table) == MOST_CELLS else 0.0
+    strangers = mean + 2 * mean**0.5 if mean > 1 else 0.0
+    return np.maximum(np.rint(COUNT_OF[table[cells(hashes, len(table))]]) - 1 - strangers, 0)
 
 
 def least_overlap(n: int, num: int, den: int) -> int:
@@ -104,11 +126,11 @@ def common_needed(n: str, m: str, num: int, den: int) -> str:
     return f"cast(ceil({num}D * ({n} + {m}) / {num + den}) as bigint)"
 
 
-def choose_prefix(costs: np.ndarray, n: int, num: int, den: int) -> tuple[int, int]:
+def choose_prefix(costs: np.ndarray, n: int, num: int, den: int, longest: int = LONGEST_STEP) -> tuple[int, int]:
     """(l, prefix length): the cheapest of the prefixes with l = 1, 2, ..."""
     need = least_overlap(n, num, den)
     plain = n - need + 1
-    steps = min(LONGEST_STEP, need)
+    steps = min(longest, need)
     lists = np.cumsum(costs[: plain + steps - 1])[plain - 1 :]
     step = np.arange(1, steps + 1)
     total = lists + VERIFY_COST * lists / step
@@ -116,12 +138,12 @@ def choose_prefix(costs: np.ndarray, n: int, num: int, den: int) -> tuple[int, i
     return best + 1, plain + best
 
 
-def _signatures(counts, k: int, num: int, den: int):
+def _signatures(counts, k: int, num: int, den: int, longest: int = LONGEST_STEP):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
         for b in batches:
             for first, last, hashes, at in row_sets(b.column("_text"), k):
-                often, costs = table[cells(hashes)].astype(np.int64), excess(table, hashes)
+                often, costs = table[cells(hashes, len(table))].astype(np.int64), excess(table, hashes)
                 sizes, marks, steps, prefixes = np.diff(at), [], [], []
                 for x, y in zip(at[:-1], at[1:]):
                     if x == y:
@@ -132,7 +154,7 @@ def _signatures(counts, k: int, num: int, den: int):
                     own = hashes[x:y]
                     marks.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                     order = np.argsort(often[x:y], kind="stable")
-                    step, length = choose_prefix(costs[x:y][order], y - x, num, den)
+                    step, length = choose_prefix(costs[x:y][order], y - x, num, den, longest)
                     steps.append(step)
                     prefixes.append(own[order[:length]].astype("<u8").tobytes())
                 yield pa.RecordBatch.from_arrays(
@@ -265,13 +287,16 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return both.select("a", "b", "_text_a", "_text_b").mapInArrow(_compare(k, num, den), "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", reach: int = 16, rounds: int = 2, hot: int = HOT) -> DataFrame:
-    """One row per document: the id, ``n_shingles`` and ``component_id``."""
+def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", reach: int = 16, rounds: int = 2, hot: int = HOT, longest: int = LONGEST_STEP, report: dict | None = None) -> DataFrame:
+    """One row per document: the id, ``n_shingles`` and ``component_id``.
+
+    ``report`` takes the number of documents by the ``l`` chosen, and of the pairs that passed the prefixes.
+    """
     spark = documents.sparkSession
     num, den = similarity
     source = documents.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     counts = spark.sparkContext.broadcast(sketch(source, shingle))
-    signatures = saved(source.mapInArrow(_signatures(counts, shingle, num, den), "_id long, _n long, _mark binary, _step int, _prefix binary"), "signatures")
+    signatures = saved(source.mapInArrow(_signatures(counts, shingle, num, den, longest), "_id long, _n long, _mark binary, _step int, _prefix binary"), "signatures")
     filled = signatures.filter("_id is not null and _mark is not null")
     classes = saved(filled.groupBy("_mark").agg(F.min("_id").alias("_first")), "classes")
     first = filled.join(classes.select(F.col("_first").alias("_id")).distinct(), "_id", "left_semi")
@@ -290,6 +315,9 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: tuple[in
     # tokens that both hold in long lists were not counted
     more_long = counted.filter(f"not ({sure})").join(in_long.select(F.col("id").alias("a"), F.col("n_long").alias("_la")), "a").join(in_long.select(F.col("id").alias("b"), F.col("n_long").alias("_lb")), "b")
     pairs = saved(counted.filter(sure).select("a", "b", "apart").unionByName(more_long.filter(enough.format("least(_la, _lb)")).select("a", "b", "apart")), "pairs")
+    if report is not None:
+        report["steps"] = {r["_step"]: r["count"] for r in signatures.groupBy("_step").count().collect()}
+        report["pairs"] = pairs.count()
 
     ends = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).union(long.select("id")).distinct()
     texts = saved(source.join(ends, "_id", "left_semi"), "texts")
@@ -306,7 +334,9 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: tuple[in
         for turn in range(rounds + 1):
             held = long.join(groups, "id", "left").select("token", "id", "n", "step", "rest", "place", F.coalesce("component", "id").alias("component"))
             mixed = held.groupBy("token").agg(F.min("component").alias("_x"), F.max("component").alias("_y"), F.count("*").alias("_many")).filter("_x <> _y")
-            open_lists = saved(held.join(mixed.select("token", "_many"), "token"), "open-lists")
+            # a long list's rows are dealt to several tasks, and so is what they meet
+            salts = mixed.select("token", "_many", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+            open_lists = saved(held.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salts, ["token", "_salt"]).drop("_salt"), "open-lists")
             if open_lists.isEmpty():
                 break
             if turn < rounds:  # neighbours in another random order
@@ -318,9 +348,13 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: tuple[in
                 # (such a pair shares nothing in short lists, or it was compared before)
                 by_place = Window.partitionBy("id", "n").orderBy("place")
                 ranked = open_lists.withColumns({"rank": F.row_number().over(by_place), "held": F.count("*").over(Window.partitionBy("id", "n"))})
-                x, y = ranked, ranked.select("token", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "rest", "component", "rank", "held")])
+                # each pair of blocks of a list is a group of its own
+                blocks = F.expr(f"_many div {BLOCK} + 1")
+                placed = ranked.withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+                x = placed.withColumnsRenamed({"own": "left", "other": "right"})
+                y = placed.select("token", F.col("other").alias("left"), F.col("own").alias("right"), *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "rest", "component", "rank", "held")])
                 least_shared = f"greatest({common_needed('n', 'n_b', num, den)} - greatest(rest, rest_b), 1L)"
-                meet = x.join(y, "token").filter(f"component < component_b and {den} * least(n, n_b) >= {num} * greatest(n, n_b) and rank + {least_shared} <= held + 1 and rank_b + {least_shared} <= held_b + 1")
+                meet = x.join(y, ["token", "left", "right"]).filter(f"component < component_b and {den} * least(n, n_b) >= {num} * greatest(n, n_b) and rank + {least_shared} <= held + 1 and rank_b + {least_shared} <= held_b + 1")
                 asked = meet.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
             asked = saved(asked, "pairs")
             more = saved(verified(asked, texts, shingle, num, den), "links")

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tallyspark.llm import ngram_join
@@ -88,6 +89,34 @@ def test_prefix_filter_never_loses_a_pair():
         assert 1 <= step <= need and length == n - need + step <= n
 
 
+def test_longer_prefixes_save_candidates(docs):
+    rnd = random.Random(8)
+    words = [f"w{k}" for k in range(4000)]
+    passages = [" ".join(rnd.choice(words) for _ in range(4)) for _ in range(500)]
+    # unlike texts made of passages that about ten texts hold: each shingle has candidates
+    texts = [" ".join(rnd.sample(passages, rnd.randint(8, 14))) for _ in range(450)]
+    longer, plain = {}, {}
+    a = sorted(tuple(r) for r in near_duplicates(docs(texts), shingle=2, similarity=(60, 100), report=longer).collect())
+    b = sorted(tuple(r) for r in near_duplicates(docs(texts), shingle=2, similarity=(60, 100), longest=1, report=plain).collect())
+    assert a == b == brute(texts, 2, 60, 100)
+    assert set(plain["steps"]) == {1} and sum(n for step, n in longer["steps"].items() if step > 1) > 100
+    assert longer["pairs"] < plain["pairs"]
+
+
+def test_sketch_counts_documents(docs):
+    texts = [f"common words here {k} {k + 1} {k + 2}" for k in range(500)]
+    table = ngram_join.sketch(docs(texts).repartition(3).select(F.col("text").alias("_text")), 3)
+    first = next(ngram_join.row_sets(pa.array(texts[:1]), 3))[2]
+    assert sorted(ngram_join.excess(table, first).tolist())[-1] > 450 and sorted(ngram_join.excess(table, first).tolist())[0] < 3
+
+
+def test_very_long_and_repeated_rows(spark):
+    long = " ".join(f"w{k}" for k in range(60_000))
+    rows = [(1, long, 0), (1, long, 0), (2, long + " end", 1), (3, None, 1)]
+    found = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, _n int")).collect())
+    assert found == [(1, 59_996, 1), (1, 59_996, 1), (2, 59_997, 1), (3, 0, 3)]
+
+
 def test_components(spark):
     rnd = random.Random(3)
     chain = [(k, k + 1) for k in range(60)]
