@@ -55,6 +55,13 @@ def apply_to_counts(counts: DataFrame, hints: DataFrame) -> DataFrame:
     return kept.select("code", "plan", "n").unionByName(new).join(override, ["code", "plan"], "full").select("code", "plan", F.coalesce("over", "n").alias("n"))
 
 
+def apply_spec_patches(fixtures: DataFrame, hints: DataFrame, fields: list[str]) -> DataFrame:
+    """Fixtures (source_key, code, fields) with the fields that users changed; unknown fields do nothing."""
+    patches = hints.filter(F.col("action") == "update_spec").groupBy("source_key", F.col("fixture_code").alias("code")).pivot("place", fields).agg(F.max("value"))
+    renamed = patches.withColumnsRenamed({f: f"_new_{f}" for f in fields})
+    return fixtures.join(renamed, ["source_key", "code"], "left").withColumns({f: F.coalesce(F.col(f"_new_{f}").cast(fixtures.schema[f].dataType), f) for f in fields}).drop(*[f"_new_{f}" for f in fields])
+
+
 def target_stages(corrections: DataFrame) -> DataFrame:
     """Per project the stages to run again: the union over its actions."""
     pairs = [F.struct(F.lit(a).alias("action"), F.array(*map(F.lit, s)).alias("stages")) for a, s in STAGES_OF_ACTION.items()]

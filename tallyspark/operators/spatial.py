@@ -24,33 +24,33 @@ def excluded(x: Column, y: Column, x0: Column, y0: Column, x1: Column, y1: Colum
 def spelled(glyphs: DataFrame, codes: list[str], page: str = "page_id") -> DataFrame:
     """Places where consecutive glyphs of a page spell a code: (page, code, x0, top, x1, size, char_index).
 
-    Each glyph sees those after it by one window over the page's stream, whose sort is
-    shared by all codes; codes are compared by length, so the expressions stay few.
+    One window over the page's stream brings each glyph the one before it and those after
+    it, as far as the longest code needs; only glyphs that begin a code are looked at.
     """
     stream = Window.partitionBy(page).orderBy("char_index")
     longest = max(map(len, codes))
+    one = F.struct("text", "x0", "x1", "top")
+    wide = glyphs.select(page, "char_index", "x0", "top", "size", one.alias("_g0"), F.lag(one, 1).over(stream).alias("_before"), *[F.lead(one, k).over(stream).alias(f"_g{k}") for k in range(1, longest + 1)])
+    seen = wide.filter(F.col("_g0.text").isin(sorted({c[0] for c in codes})))
 
-    def ahead(c: str, k: int) -> Column:
-        return F.lead(c, k).over(stream) if k >= 0 else F.lag(c, -k).over(stream)
-
-    # a step to the next glyph of the same word, and a neighbour that would make the word longer
-    step = (F.lead("x0").over(stream) - F.col("x1")).between(-2, CHAR_GAP) & (F.abs(F.lead("top").over(stream) - F.col("top")) <= CHAR_DY)
-    touch = (F.abs(F.lead("x0").over(stream) - F.col("x1")) < BOUNDARY) & (F.abs(F.lead("top").over(stream) - F.col("top")) < CHAR_DY)
-    alone = F.col("text").rlike(r"^[\p{L}\p{N}]$")
-    marked = glyphs.withColumns({"_step": F.coalesce(step, F.lit(False)), "_touch": F.coalesce(touch, F.lit(False)), "_alnum": alone})
-    wide = {f"_t{k}": ahead("text", k) for k in range(longest)} | {f"_s{k}": ahead("_step", k) for k in range(longest)} | {f"_u{k}": ahead("_touch", k) for k in range(longest)}
-    wide |= {f"_a{k}": ahead("_alnum", k) for k in range(1, longest + 1)} | {f"_e{k}": ahead("x1", k) for k in range(longest)} | {"_before": F.coalesce(ahead("_touch", -1) & ahead("_alnum", -1), F.lit(False))}
-    seen = marked.select(page, "char_index", "x0", "top", "size", *[c.alias(n) for n, c in wide.items()]).filter(~F.col("_before"))
-    out = None
+    def linked(a: str, b: str) -> Column:
+        """The next glyph of the same word."""
+        return F.coalesce((F.col(f"{b}.x0") - F.col(f"{a}.x1")).between(-2, CHAR_GAP) & (F.abs(F.col(f"{b}.top") - F.col(f"{a}.top")) <= CHAR_DY), F.lit(False))
+
+    def longer(a: str, b: str, other: str) -> Column:
+        """A neighbour that would make the word longer."""
+        touch = (F.abs(F.col(f"{b}.x0") - F.col(f"{a}.x1")) < BOUNDARY) & (F.abs(F.col(f"{b}.top") - F.col(f"{a}.top")) < CHAR_DY)
+        return F.coalesce(touch & F.col(f"{other}.text").rlike(r"^[\p{L}\p{N}]$"), F.lit(False))
+
+    out = []
     for size in sorted({len(c) for c in codes}):
-        whole = F.concat(*[F.col(f"_t{k}") for k in range(size)])
-        linked = F.lit(True)
+        whole = F.concat(*[F.col(f"_g{k}.text") for k in range(size)])
+        hit = whole.isin([c for c in codes if len(c) == size])
         for k in range(size - 1):
-            linked = linked & F.col(f"_s{k}")
-        after = F.coalesce(F.col(f"_u{size - 1}") & F.col(f"_a{size}"), F.lit(False))
-        hit = F.when(whole.isin([c for c in codes if len(c) == size]) & linked & ~after, F.struct(whole.alias("code"), F.col(f"_e{size - 1}").alias("x1")))
-        out = [hit] if out is None else [*out, hit]
-    found = seen.withColumn("m", F.explode(F.filter(F.array(*out), lambda m: m.isNotNull())))
+            hit = hit & linked(f"_g{k}", f"_g{k + 1}")
+        last = f"_g{size - 1}"
+        out.append(F.when(hit & ~longer(last, f"_g{size}", f"_g{size}"), F.struct(whole.alias("code"), F.col(f"{last}.x1").alias("x1"))))
+    found = seen.filter(~longer("_before", "_g0", "_before")).withColumn("m", F.explode(F.filter(F.array(*out), lambda m: m.isNotNull())))
     return found.select(page, "m.code", "x0", "top", "m.x1", "size", "char_index")
 
 

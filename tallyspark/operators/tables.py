@@ -113,3 +113,29 @@ def keynotes_of_lines(lines: DataFrame, page: str = "page_id") -> DataFrame:
     body = F.when(F.col("_n").isNotNull(), F.regexp_replace("text", r"^\s*[0-9]{1,2}[.)]?\s+", "")).otherwise(F.col("text"))
     listed = marked.groupBy(page, "_item").agg(F.max("_n").alias("number"), F.array_sort(F.collect_list(F.struct("line_no", F.trim(body).alias("t")))).alias("l"))
     return listed.select(page, F.col("_item").cast("long").alias("item"), "number", F.array_join(F.transform("l", lambda x: x["t"]), " ").alias("text"))
+
+
+def merged_headers(first: Column, second: Column) -> Column:
+    """Two heading rows (arrays of cells) as one: cells that both have text are put together."""
+    return F.transform(F.arrays_zip(first.alias("a"), second.alias("b")), lambda x: F.concat_ws(" ", F.nullif(F.trim(x["a"]), F.lit("")), F.nullif(F.trim(x["b"]), F.lit(""))))
+
+
+def embedded_value(text: Column, field: Column) -> Column:
+    """What a heading cell of a known field holds behind its heading; null if nothing.
+
+    With a line break, what stands behind the first; else what follows the longest of the
+    field's heading words in the cell.
+    """
+    low, out = F.lower(clean_cell(text)), None
+    for name, words in HEADINGS.items():
+        rests = []
+        for order, w in enumerate(words):
+            if len(w) <= 3:
+                rest = F.when(low.startswith(w + " "), F.trim(F.substring(text, len(w) + 1, 10_000))).when(low == w, "")
+            else:
+                rest = F.when(low.contains(w), F.trim(F.substr(text, F.instr(low, w) + len(w))))
+            rests.append(F.when(rest.isNotNull(), F.struct(F.lit(len(w)).alias("size"), F.lit(-order).alias("order"), rest.alias("rest"))))
+        best = F.array_max(F.array(*rests))["rest"]
+        out = F.when(field == name, best) if out is None else out.when(field == name, best)
+    behind = F.trim(F.regexp_extract(text, r"(?s)^[^\n]*\n(.*)$", 1))
+    return F.nullif(F.when(text.contains("\n"), behind).otherwise(out), F.lit(""))
