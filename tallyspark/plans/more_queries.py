@@ -10,7 +10,7 @@ from ..operators import matching, quality, reports, spatial
 from .queries import _CAT, _MINE, CELLS, CORR, FIX, LINES, POINTS, SHEETS, cells, events_as_corrections, fixtures, lines, points, query, sheets, table
 
 _CODES = """fx AS (SELECT p_partkey AS id, substr('ABW', 1 + p_size % 3, 1) || CASE WHEN p_size % 4 = 0 THEN '-' ELSE '' END || (p_partkey % 40) AS code, CASE WHEN p_size % 2 = 0 THEN 'Battery pack lamp' ELSE 'lamp' END AS description, p_size FROM part),
-pc AS (SELECT DISTINCT code FROM (SELECT substr('ABW', 1 + l_linenumber % 3, 1) || CASE WHEN l_partkey % 3 = 0 THEN 'L' ELSE '' END || (l_partkey % 60) || CASE WHEN l_suppkey % 5 = 0 THEN 'E' ELSE '' END AS code FROM lineitem WHERE l_suppkey % 7 < 2))"""
+pc AS (SELECT DISTINCT code FROM (SELECT substr('ABW', 1 + l_linenumber % 3, 1) || CASE WHEN l_partkey % 3 = 0 THEN 'L' ELSE '' END || (l_partkey % 60) || CASE WHEN l_suppkey % 5 = 0 THEN 'E' ELSE '' END AS code FROM lineitem))"""
 
 
 @query(f"""WITH {_CODES}, s AS (SELECT *, replace(code, '-', '') AS clean FROM fx), o AS (SELECT code AS pcode, regexp_extract(code, '([0-9]+[A-Z]*)$', 1) AS d, regexp_extract(code, '^([A-Z]+)', 1) AS l FROM pc),
@@ -20,7 +20,7 @@ SELECT id, code, description, CASE WHEN NOT ends_with(upper(c), 'E') AND c || 'E
 def code_crossref(spark, sf_dir):
     s = F.col("p_size")
     fx = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.substring(F.lit("ABW"), 1 + s % 3, F.lit(1)), F.when(s % 4 == 0, "-").otherwise(""), F.col("p_partkey") % 40).alias("code"), F.when(s % 2 == 0, "Battery pack lamp").otherwise("lamp").alias("description"))
-    rows = table(spark, sf_dir, "lineitem").filter("l_suppkey % 7 < 2")
+    rows = table(spark, sf_dir, "lineitem")
     pc = rows.select(F.concat(F.substring(F.lit("ABW"), (1 + F.col("l_linenumber") % 3).cast("int"), F.lit(1)), F.when(F.col("l_partkey") % 3 == 0, "L").otherwise(""), F.col("l_partkey") % 60, F.when(F.col("l_suppkey") % 5 == 0, "E").otherwise("")).alias("code"))
     return matching.corrected_codes(fx, pc)
 
@@ -97,14 +97,14 @@ def short_code_ratio(spark, sf_dir):
     return a.select("p_brand", F.round("short", 4).alias("short"), F.round("multi", 4).alias("multi"), F.coalesce(F.col("short") > 5 * F.col("multi"), F.lit(False)).alias("suspicious"))
 
 
-@query(f"WITH {SHEETS} SELECT page_id, row_number() OVER (ORDER BY CASE WHEN page_id = 0 THEN 0 ELSE 1 END, page_id) AS ord FROM sheets WHERE page_id = 0 OR contains(lower(title), 'symbol') OR contains(lower(title), 'cover')")
+@query(f"WITH {SHEETS} SELECT page_id, row_number() OVER (PARTITION BY page_id // 500 ORDER BY CASE WHEN page_id % 500 = 0 THEN 0 ELSE 1 END, page_id) AS ord FROM sheets WHERE page_id % 500 = 0 OR contains(lower(title), 'symbol') OR contains(lower(title), 'cover')")
 def page_candidates(spark, sf_dir):
-    """Pages worth searching for an index, the first page in front."""
+    """Pages of each drawing set (500 pages) worth searching for an index, the first page in front."""
     s = sheets(spark, sf_dir)
-    hit = s.filter((F.col("page_id") == 0) | F.lower("title").contains("symbol") | F.lower("title").contains("cover"))
+    hit = s.filter((F.col("page_id") % 500 == 0) | F.lower("title").contains("symbol") | F.lower("title").contains("cover"))
     from pyspark.sql import Window
 
-    return hit.select("page_id", F.row_number().over(Window.orderBy(F.when(F.col("page_id") == 0, 0).otherwise(1), "page_id")).alias("ord"))
+    return hit.select("page_id", F.row_number().over(Window.partitionBy(F.expr("page_id div 500")).orderBy(F.when(F.col("page_id") % 500 == 0, 0).otherwise(1), "page_id")).alias("ord"))
 
 
 @query("SELECT p_partkey, regexp_replace(p_name, '[^A-Za-z0-9]', '_', 'g') || '_' || substr(md5('data/' || p_name), 1, 8) AS source_key FROM part")
@@ -112,18 +112,33 @@ def source_keys(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.source_key(F.concat(F.lit("data/"), "p_name")).alias("source_key"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'F' || p_size WHEN p_size % 3 = 1 THEN 'AL' || p_size ELSE '' END AS code FROM part")
+_CELL = "cl AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN ' ' || substr(p_type, 1, 2 + p_size % 3) || p_size || ' ' || p_partkey % 3000 || ' ' WHEN 1 THEN substr(p_name, 1, 4 + p_size % 12) WHEN 2 THEN 'F' || p_size || '  ' || substr(p_type, 1, p_size % 9) ELSE p_brand || p_size END AS cell FROM part)"
+
+
+@query(f"""WITH {_CELL}, c AS (SELECT p_partkey, trim(cell) AS c FROM cl), f AS (SELECT *, regexp_extract(c, '^(\\S+)', 1) AS first, trim(regexp_extract(c, '^\\S+\\s+(.*)$', 1)) AS rest FROM c)
+SELECT p_partkey, CASE WHEN regexp_full_match(c, '[A-Za-z][A-Za-z0-9./-]{{0,9}}') THEN c WHEN regexp_full_match(first, '[A-Za-z][A-Za-z0-9./-]{{0,9}}') AND rest <> '' AND (length(rest) <= 5 OR regexp_full_match(rest, '[0-9]+')) THEN first ELSE '' END AS code FROM f""")
 def merged_cell_codes(spark, sf_dir):
-    s = F.col("p_size")
-    cell = F.when(s % 3 == 0, F.concat(F.lit(" F"), s, F.lit(" 2 "))).when(s % 3 == 1, F.concat(F.lit("AL"), s)).otherwise(F.concat(F.lit("see note "), s, F.lit(" below")))
+    s, k = F.col("p_size"), F.col("p_partkey")
+    cell = (
+        F.when(k % 4 == 0, F.concat(F.lit(" "), F.expr("substr(p_type, 1, 2 + p_size % 3)"), s, F.lit(" "), k % 3000, F.lit(" ")))
+        .when(k % 4 == 1, F.expr("substr(p_name, 1, 4 + p_size % 12)"))
+        .when(k % 4 == 2, F.concat(F.lit("F"), s, F.lit("  "), F.expr("substr(p_type, 1, p_size % 9)")))
+        .otherwise(F.concat("p_brand", s))
+    )
     return table(spark, sf_dir, "part").select("p_partkey", text.code_of_cell(cell).alias("code"))
 
 
-@query("SELECT n_nationkey, CASE n_nationkey % 6 WHEN 0 THEN 'L' || n_nationkey WHEN 1 THEN 'MEZ' WHEN 2 THEN 'FL' || n_nationkey WHEN 3 THEN 'RF' WHEN 4 THEN 'AB' ELSE 'LOB' END AS label FROM nation")
+_NAMES = ["LEVEL %s ENLARGED LIGHTING PLAN", "Mezzanine %s plan", "%sTH FLOOR LIGHTING PLAN", "Rooftop %s", "Area %s lighting", "Enlarged Lobby lighting plan %s", "Lighting plan", "electrical x %s", "%s mezz level 2", "parking area '%s'"]
+_LABELS = " ".join(f"WHEN regexp_matches(title, '(?i){p.replace(chr(39), chr(39) * 2)}') THEN replace('{label}', '{{0}}', regexp_extract(title, '(?i){p.replace(chr(39), chr(39) * 2)}', 1))" for p, label in text.VIEWPORT_LABELS)
+
+
+@query(f"""WITH n AS (SELECT o_orderkey, replace(([{', '.join("'" + x.replace("'", "''") + "'" for x in _NAMES)}])[1 + o_orderkey % {len(_NAMES)}], '%s', CAST(o_custkey % 40 AS VARCHAR)) AS title FROM orders),
+w AS (SELECT *, list_filter(regexp_split_to_array(trim(title), '\\s+'), lambda x: lower(x) NOT IN ({', '.join(repr(x) for x in text.PLAIN_TITLE_WORDS)}) AND length(x) > 1) AS words FROM n)
+SELECT o_orderkey, CASE {_LABELS} WHEN len(words) > 0 THEN upper(substr(words[1], 1, 3)) ELSE 'VP' END AS label FROM w""")
 def viewport_labels(spark, sf_dir):
-    k = F.col("n_nationkey")
-    title = F.when(k % 6 == 0, F.concat(F.lit("LEVEL "), k, F.lit(" ENLARGED LIGHTING PLAN"))).when(k % 6 == 1, "Mezzanine plan").when(k % 6 == 2, F.concat(k, F.lit("TH FLOOR LIGHTING PLAN"))).when(k % 6 == 3, "Rooftop").when(k % 6 == 4, "Area B lighting").otherwise("Enlarged Lobby lighting plan")
-    return table(spark, sf_dir, "nation").select("n_nationkey", text.viewport_label(title).alias("label"))
+    name = F.get(F.array(*map(F.lit, _NAMES)), (F.col("o_orderkey") % len(_NAMES)).cast("int"))
+    title = F.replace(name, F.lit("%s"), (F.col("o_custkey") % 40).cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.viewport_label(title).alias("label"))
 
 
 @query("WITH k AS (SELECT c_custkey, 'src' || (c_custkey % 20) || ' main' AS name FROM customer) SELECT DISTINCT name, 'Src' || regexp_extract(name, '([0-9]+)', 1) AS source FROM k WHERE CAST(regexp_extract(name, '([0-9]+)', 1) AS INT) BETWEEN 10 AND 19 UNION ALL SELECT DISTINCT name, NULL FROM k WHERE CAST(regexp_extract(name, '([0-9]+)', 1) AS INT) < 10")

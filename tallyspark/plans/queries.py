@@ -155,7 +155,7 @@ def inv_unpivot(spark, sf_dir):
 
 
 _PAIR = """t AS (SELECT l_returnflag || l_linestatus AS plan, substr(p_brand, 7, 1 + p_size % 2) AS code, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <= 2 GROUP BY 1, 2),
-v AS (SELECT l_returnflag || l_linestatus AS plan, substr(p_brand, 7, 1 + p_size % 2) AS code, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber >= 2 AND l_linenumber <= 4 GROUP BY 1, 2)"""
+v AS (SELECT l_returnflag || l_linestatus AS plan, substr(p_brand, 7, 1 + p_size % 2) AS code, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber >= 2 GROUP BY 1, 2)"""
 
 
 @query(f"""WITH {_PAIR} SELECT plan, code, CAST(CASE WHEN length(code) > 1 THEN a WHEN a = 0 AND b > 0 THEN b WHEN abs(b - a) <= 2 THEN greatest(a, b) ELSE a END AS BIGINT) AS n
@@ -163,7 +163,7 @@ v AS (SELECT l_returnflag || l_linestatus AS plan, substr(p_brand, 7, 1 + p_size
 def inv_merge_text_vision(spark, sf_dir):
     parts = table(spark, sf_dir, "part").withColumn("p_brand", F.expr("substr(p_brand, 7, 1 + p_size % 2)"))
     rows = table(spark, sf_dir, "lineitem")
-    return inventory.merge_counts(counts_of(rows.filter("l_linenumber <= 2"), parts), counts_of(rows.filter("l_linenumber between 2 and 4"), parts))
+    return inventory.merge_counts(counts_of(rows.filter("l_linenumber <= 2"), parts), counts_of(rows.filter("l_linenumber >= 2"), parts))
 
 
 _TWO = """a AS (SELECT l_returnflag AS plan, p_brand || p_size AS code, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'O' GROUP BY 1, 2),
@@ -336,14 +336,23 @@ def data_rows(spark, sf_dir):
     return cells(spark, sf_dir).filter(tables.is_data_code(F.trim("text"))).groupBy("table_id").agg(F.count("*").alias("n"))
 
 
+_HEADS = ["Light Fixture Schedule", "Panel A", "Flat panel recessed", "Panelboard", "Notes", "LED panel 2", "panel light", "Motor schedule"]
+
+
 def _kind_cells(spark, sf_dir):
     """Small tables made of parts: a title row and rows of names."""
     p = table(spark, sf_dir, "part")
-    head = F.element_at(F.array(*map(F.lit, ["Light Fixture Schedule", "Panel A", "Flat panel recessed", "Panelboard", "Notes"])), (1 + F.col("p_partkey") % 5).cast("int"))
-    return p.select(F.col("p_partkey").alias("table_id"), F.lit(0).alias("row_idx"), F.lit(0).alias("col_idx"), head.alias("text")).unionByName(p.select(F.col("p_partkey").alias("table_id"), F.lit(1).alias("row_idx"), F.lit(0).alias("col_idx"), F.col("p_name").alias("text")))
+    head = F.get(F.array(*map(F.lit, _HEADS)), (F.col("p_partkey") % len(_HEADS)).cast("int"))
+    return p.select(F.col("p_partkey").alias("table_id"), F.lit(0).alias("row_idx"), F.lit(0).alias("col_idx"), F.concat(head, F.lit(" "), "p_type").alias("text")).unionByName(p.select(F.col("p_partkey").alias("table_id"), F.lit(1).alias("row_idx"), F.lit(0).alias("col_idx"), F.concat("p_name", F.when(F.col("p_size") % 9 == 0, " panel schedule").otherwise("")).alias("text")))
+
 
+def _any_of(words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(t, '{w}')" for w in words) + ")"
 
-@query("SELECT p_partkey AS table_id, p_partkey % 5 NOT IN (1, 3) AS luminaire FROM part")
+
+@query(f"""WITH t AS (SELECT p_partkey AS table_id, lower(([{', '.join(map(repr, _HEADS))}])[1 + p_partkey % {len(_HEADS)}] || ' ' || p_type || ' ' || p_name || CASE WHEN p_size % 9 = 0 THEN ' panel schedule' ELSE '' END) AS t FROM part),
+p AS (SELECT *, regexp_replace(regexp_replace(t, '\\b(flat|led|at)\\s+panel', ' ', 'g'), '\\bpanel\\s+(led|recessed|light|lamp|troffer|luminaire)\\b', ' ', 'g') AS rest FROM t)
+SELECT table_id, CASE WHEN {_any_of(tables.LUMINAIRE)} THEN true WHEN {_any_of(tables.OTHER_TABLES)} THEN false ELSE NOT regexp_matches(rest, '\\bpanel\\s+[a-z0-9]') END AS luminaire FROM p""")
 def luminaire_filter(spark, sf_dir):
     return tables.table_kind(_kind_cells(spark, sf_dir))
 
@@ -354,22 +363,36 @@ def panel_reject(spark, sf_dir):
     return tables.panel_tables(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("table_id"), code.alias("code")))
 
 
-@query("SELECT p_partkey AS table_id, CAST(p_size % 2 AS INT) AS row_idx, CAST(CASE WHEN p_size % 3 = 0 THEN 9 ELSE 6 END AS BIGINT) AS score FROM part")
+_WORDS = ["Mark", "Description", "Voltage", "Type", "Volts", "remarks", "Lamps", "mounting style", "max va", "lamp 4", "Catalog", "277", "color temp", "a very long heading about mounting that is none", "dim"]
+
+
+def _pick(row: int, col: int) -> str:
+    return f"(p_size * {row + 2} + p_partkey * {col + 1} + {row}) % {len(_WORDS)}"
+
+
+def _field_sql(t: str) -> str:
+    one = " ".join(f"WHEN {' OR '.join((f'{t} = {w!r}' if len(w) <= 3 else f'contains({t}, {w!r})') for w in words)} THEN '{f}'" for f, words in tables.HEADINGS.items())
+    return f"CASE WHEN length({t}) > 35 THEN NULL {one} END"
+
+
+@query(f"""WITH c AS ({' UNION ALL '.join(f"SELECT p_partkey AS table_id, {r} AS row_idx, {c} AS col_idx, lower(([{', '.join(map(repr, _WORDS))}])[1 + {_pick(r, c)}]) AS t FROM part" for r in range(3) for c in range(4))}),
+f AS (SELECT *, {_field_sql('t')} AS field FROM c),
+s AS (SELECT table_id, row_idx, count(DISTINCT field) AS n, count(DISTINCT field) FILTER (field IN ({', '.join(map(repr, tables.STRONG))})) AS strong, max(CASE WHEN field = 'code' THEN 1 ELSE 0 END) AS has FROM f WHERE field IS NOT NULL GROUP BY 1, 2)
+SELECT table_id, row_idx, n + 2 * strong AS score FROM s WHERE has = 1 AND n >= 2 QUALIFY row_number() OVER (PARTITION BY table_id ORDER BY n + 2 * strong DESC, row_idx) = 1""")
 def header_pick(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("table_id"), (F.col("p_size") % 2).alias("row_idx"), "p_size")
-    heads = F.when(F.col("p_size") % 3 == 0, F.array(*map(F.lit, ["Mark", "Description", "Voltage"]))).otherwise(F.array(*map(F.lit, ["Type", "Volts", "remarks"])))
-    named = p.select("table_id", "row_idx", F.posexplode(heads).alias("col_idx", "text"))
-    body = p.select("table_id", (F.col("row_idx") + 1).alias("row_idx"), F.posexplode(F.array(F.lit("A1"), F.lit("lamp"), F.lit("120"))).alias("col_idx", "text"))
-    return tables.header_rows(named.unionByName(body))
+    words = F.array(*map(F.lit, _WORDS))
+    rows = [F.struct(F.lit(r).alias("row_idx"), F.lit(c).alias("col_idx"), F.get(words, F.expr(f"cast({_pick(r, c)} as int)")).alias("text")) for r in range(3) for c in range(4)]
+    return tables.header_rows(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("table_id"), F.inline(F.array(*rows))))
 
 
-_TYPED = ["3000K lamp", "120/277", "0-10V dimming", "900 lm", "recessed grid", "32W", "wall mounted fixture with a very long text", "plain words"]
-_KINDS = ["cct", "voltage", "dimming", "lumens", "mounting", "max_va", None, None]
+_TYPED = ["K lamp", "00K LED", " lm", "W", "-10V dimming", " / 277", " recessed", "VA wall", " lumens", " VA with a long text behind it", " words"]
 
 
-@query(f"SELECT p_partkey, ([{', '.join('NULL' if k is None else repr(k) for k in _KINDS)}])[1 + p_partkey % {len(_TYPED)}] AS kind FROM part")
+@query(f"""WITH t AS (SELECT p_partkey, trim(p_size * 71 || ([{', '.join(map(repr, _TYPED))}])[1 + p_partkey % {len(_TYPED)}] || substr(' ' || p_type, 1, p_size % 20)) AS t FROM part)
+SELECT p_partkey, CASE {' '.join(f"WHEN regexp_matches(t, '{p}') THEN {repr(k) if most is None else f'CASE WHEN length(t) < {most} THEN {k!r} END'}" for k, p, most in tables.CELL_KINDS)} END AS kind FROM t""")
 def cell_typing(spark, sf_dir):
-    cell = F.element_at(F.array(*map(F.lit, _TYPED)), (1 + F.col("p_partkey") % len(_TYPED)).cast("int"))
+    words = F.get(F.array(*map(F.lit, _TYPED)), (F.col("p_partkey") % len(_TYPED)).cast("int"))
+    cell = F.concat(F.col("p_size") * 71, words, F.expr("substr(concat(' ', p_type), 1, p_size % 20)"))
     return table(spark, sf_dir, "part").select("p_partkey", tables.cell_kind(cell).alias("kind"))
 
 
@@ -490,13 +513,13 @@ def qa_keynotes(spark, sf_dir):
     return quality.keynote_items(fixtures(spark, sf_dir).withColumnRenamed("id", "number")).withColumn("confidence", F.round("confidence", 4))
 
 
-_INDEX = f"idx AS (SELECT greatest(0, 1 - 0.05 * (SELECT count(DISTINCT code) FROM sheets WHERE page_id < 12 AND code NOT IN (SELECT code FROM sheets WHERE page_id % 2 = 0)) - CASE WHEN (SELECT count(*) FROM sheets WHERE page_id % 2 = 0 AND title = 'Lighting Plan Level 1') = 0 THEN 0.2 ELSE 0 END - 0.0) AS score)"
+_INDEX = f"idx AS (SELECT greatest(0, 1 - 0.05 * (SELECT count(DISTINCT code) FROM (SELECT code || CASE WHEN page_id % 97 = 5 THEN 'X' ELSE '' END AS code FROM sheets) WHERE code NOT IN (SELECT code FROM sheets)) - CASE WHEN (SELECT count(*) FROM sheets WHERE title = 'Lighting Plan Level 1') = 0 THEN 0.2 ELSE 0 END - 0.0) AS score)"
 
 
 def _index_score(spark, sf_dir):
     s = sheets(spark, sf_dir)
-    pages = s.filter("page_id % 2 = 0").select(F.col("code").alias("sheet_code"), rules.first_match(F.col("title"), rules.TYPE_OF_DESCRIPTION).alias("page_type"))
-    return quality.index_score(s.filter("page_id < 12").select(F.col("code").alias("sheet_code")), pages)
+    pages = s.select(F.col("code").alias("sheet_code"), rules.first_match(F.col("title"), rules.TYPE_OF_DESCRIPTION).alias("page_type"))
+    return quality.index_score(s.select(F.concat("code", F.when(F.col("page_id") % 97 == 5, "X").otherwise("")).alias("sheet_code")), pages)
 
 
 @query(f"WITH {SHEETS}, {_INDEX} SELECT round(CAST(score AS DOUBLE), 4) AS score FROM idx")
@@ -591,10 +614,15 @@ def pattern_new(spark, sf_dir):
     return corr.new_patterns(corr.mine_patterns(c), old).select("category", "fixture_code", "source_count")
 
 
-@query("""SELECT * FROM (VALUES ('dpi', '300', 'project'), ('tolerance', '1.7', 'source'), ('use_vision', 'true', 'global'), ('radius', '15', 'default')) t(param, value, scope)""")
+_SCOPES = ["global", "source", "project"]
+
+
+@query(f"""WITH o AS (SELECT 'p' || user_id AS param, ([{', '.join(map(repr, _SCOPES))}])[1 + event_id % 3] AS scope, max('v' || event_id) AS value, 1 + min(event_id % 3) AS rank FROM events WHERE value > 60 GROUP BY 1, 2), d AS (SELECT 'p' || c_custkey AS param, 'default' AS scope, c_mktsegment AS value, 0 AS rank FROM customer)
+SELECT param, value, scope FROM (SELECT * FROM o UNION ALL SELECT * FROM d) QUALIFY row_number() OVER (PARTITION BY param ORDER BY rank DESC) = 1""")
 def params_effective(spark, sf_dir):
-    defaults = spark.createDataFrame([("dpi", "200"), ("tolerance", "1.5"), ("use_vision", "false"), ("radius", "15")], "param string, value string")
-    overrides = spark.createDataFrame([("dpi", "250", "global"), ("dpi", "300", "project"), ("tolerance", "1.7", "source"), ("tolerance", "1.6", "global"), ("use_vision", "true", "global")], "param string, value string, scope string")
+    defaults = table(spark, sf_dir, "customer").select(F.concat(F.lit("p"), "c_custkey").alias("param"), F.col("c_mktsegment").alias("value"))
+    scope = F.get(F.array(*map(F.lit, _SCOPES)), (F.col("event_id") % 3).cast("int"))
+    overrides = table(spark, sf_dir, "events").filter("value > 60").groupBy(F.concat(F.lit("p"), "user_id").alias("param"), scope.alias("scope")).agg(F.max(F.concat(F.lit("v"), "event_id")).alias("value"))
     return corr.effective_params(defaults, overrides)
 
 
@@ -664,10 +692,12 @@ def json_counts(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", found[0]["n"].alias("k"), found[1]["n"].alias("missing"))
 
 
-@query("SELECT event_id, CAST(2 AS INT) AS objects FROM events")
+@query("""WITH t AS (SELECT event_id, '[{"number": ' || event_id || ', "text": "' || event_type || '"}, ' || props || ', {"x": ' || user_id || '}, {"number": 3, "text": "end"}]' AS t FROM events)
+SELECT event_id, CAST(len(list_filter(regexp_extract_all(substr(t, 1, CAST(length(t) - event_id % 75 AS INT)), '\\{[^{}]*\\}'), lambda x: contains(x, '"number"'))) AS INT) AS objects FROM t""")
 def json_recover(spark, sf_dir):
-    cut = F.concat(F.lit('[{"number": 1, "text": "a"}, {"x": 2}, {"number": '), F.col("event_id"), F.lit('}, {"number": 3, "te'))
-    return table(spark, sf_dir, "events").select("event_id", F.size(parsing.recovered_objects(cut)).alias("objects"))
+    whole = F.concat(F.lit('[{"number": '), "event_id", F.lit(', "text": "'), "event_type", F.lit('"}, '), "props", F.lit(', {"x": '), "user_id", F.lit('}, {"number": 3, "text": "end"}]'))
+    cut = F.substring(F.col("t"), F.lit(1), F.length("t") - (F.col("event_id") % 75).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", whole.alias("t")).select("event_id", F.size(parsing.recovered_objects(cut)).alias("objects"))
 
 
 _STATE = "st AS (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'running' WHEN 'signup' THEN 'running' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'error' ELSE 'pending' END AS status FROM events)"
