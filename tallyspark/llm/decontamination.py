@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytehash
-from .common import saved
+from .common import discard, saved
 
 WORD_TABLE = bytehash.separator_table(lambda b: b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F, lower=True)
 
@@ -239,12 +239,15 @@ def contamination(
     out = f"_id {schema['_id'].dataType.simpleString()}, _text string, _words long, _n_hit long, _hits binary, _items array<string>, _longest struct<words:long, at:long, item:string>" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in state.schema if f.name.startswith("_keep"))
     blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)
     block = next(blocks)
+    now = None
     while block:
         after = next(blocks, None)
         index = spark.sparkContext.broadcast(BenchmarkIndex(*block, n))
         state = state.mapInArrow(lambda batches, index=index, keep=after is not None: _block_pass(index.value, keep)(batches), out)
         if after:
-            state = saved(state, "decontamination")
+            last, now = now, saved(state, "decontamination")
+            state = now
+            discard(last)
         block = after
     if keep is not None:
         return state.filter("_n_hit = 0").select(*[F.col(f"_keep{k}").alias(c) for k, c in enumerate(keep)])

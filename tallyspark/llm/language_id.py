@@ -179,11 +179,17 @@ def _predictions(model):
     return run
 
 
-def identified(documents: DataFrame, per_language: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", pred_col: str = "lang_pred", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default: the id) with the predicted language and its score."""
+def identified(documents: DataFrame, per_language: int = 1000, max_languages: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", pred_col: str = "lang_pred", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (default: the id) with the predicted language and its score.
+
+    ``per_language``: rows to learn a language from, on the average, as the model is
+    fitted on a bounded sample; more than ``max_languages`` languages are an error.
+    """
     spark = documents.sparkSession
     fold = documents.filter(learned_from(F.col(id_col)) & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
-    sizes = {r[0]: r[1] for r in fold.groupBy("_lang").count().collect()}
+    sizes = {r[0]: r[1] for r in fold.groupBy("_lang").count().limit(max_languages + 1).collect()}
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than {max_languages} values in {lang_col}: the model learns a machine for each pair within a family on the driver")
     sample = None
     for lang, size in sorted(sizes.items()):
         # a share of the hash range gives the sample's size on the average

@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import saved
+
 #: Sorts after whatever may follow a key.
 AFTER_ALL = "\U0010ffff"
 
@@ -84,6 +86,8 @@ def judged(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     depths = sorted(r[0] for r in rules.select(F.size(F.split(F.coalesce("host", F.lit("")), "[.]"))).distinct().collect())
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     urls = pages.select(F.col(id_col).alias("_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.monotonically_increasing_id().alias("_row"))
+    if blocks > 1:  # rows keep their numbers over all passes
+        urls = saved(urls, "urls")
     labels = F.split("host", "[.]")
     views = [F.when((F.size(labels) >= d) & (F.col("host") != ""), F.concat(reversed_host(F.slice(labels, F.size(labels) - d + 1, F.lit(d))), F.col("path"))) for d in depths]
     covered = F.filter(F.array(F.lit(None).cast("string"), *views), lambda v: v.isNotNull())
