@@ -10,7 +10,8 @@ and the attempt: no two splits have the same borders.
 
 Pairs at or above the threshold link classes: those in the lists, and those that a
 list had no room for, of which each group keeps a star for each of its components.
-A list all of whose entries pass the threshold is saturated and is enlarged to up to
+A group passes on only pairs that can still enter a list: those above the ``floor`` of
+the list as it was before the round. A list all of whose entries pass the threshold is saturated and is enlarged to up to
 ``most`` entries that do. The numbers of links within a component are then made exact
 by comparing its vectors in blocks. An audit compares a bounded sample of vectors, half
 of it linked or nearly linked ones, with all vectors and runs further rounds with longer
@@ -44,6 +45,8 @@ EDGE = pa.schema([("id", pa.int64()), ("near", pa.int64()), ("cosine", pa.float6
 EDGE_SQL = "id long, near long, cosine double, star boolean"
 #: Stands for the cosine of two members of a component that may not be near themselves.
 NOT_COMPARED = -3.0
+#: A floor under every cosine.
+ANY_COSINE = -2.0
 
 
 def unit_rows(vectors: list[bytes]) -> np.ndarray:
@@ -85,7 +88,8 @@ def _first_linked(hit: np.ndarray) -> np.ndarray:
 
 def _best_within(size: int, threshold: float) -> Callable:
     """For each group: every member's best ``size`` fellow members, twice as many where
-    they all pass the threshold, and a star for each of the group's components."""
+    they all pass the threshold, of these the ones above the member's floor, and a star
+    for each of the group's components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, ...]] = []
@@ -103,7 +107,8 @@ def _best_within(size: int, threshold: float) -> Callable:
             cosine = np.take_along_axis(s, best, axis=1)
             order = np.argsort(-cosine, axis=1, kind="stable")
             best, cosine = np.take_along_axis(best, order, axis=1), np.take_along_axis(cosine, order, axis=1)
-            x, y = np.nonzero((np.arange(k) < size)[None, :] | (cosine >= threshold))
+            floor = group.column("floor").to_numpy()[at]
+            x, y = np.nonzero(((np.arange(k) < size)[None, :] | (cosine >= threshold)) & (cosine > floor[:, None]))
             out.append((ids[x], ids[best[x, y]], cosine[x, y], np.zeros(len(x), dtype=bool)))
             rows += len(x)
             hit = s >= threshold
@@ -129,9 +134,9 @@ def _split(members: DataFrame, most: int, salt: int) -> DataFrame:
 
 
 def _compared(members: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Edges from groups (``group``, ``part``, ``id``, ``vector``)."""
+    """Edges from groups (``group``, ``part``, ``id``, ``vector``, ``floor``)."""
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = members.select("group", "part", "id", "vector", F.length("vector").alias("length")).repartition(parts, "group", "part").sortWithinPartitions("group", "part", "length")
+    dealt = members.select("group", "part", "id", "vector", "floor", F.length("vector").alias("length")).repartition(parts, "group", "part").sortWithinPartitions("group", "part", "length")
     return dealt.mapInArrow(_best_within(size, threshold), EDGE_SQL)
 
 
@@ -148,6 +153,17 @@ def _lists(edges: DataFrame, size: int, threshold: float, most: int) -> DataFram
     return listed.unionByName(once.filter("star").select("id", "near", "cosine", "star", F.lit(False).alias("listed")))
 
 
+def _floors(edges: DataFrame, size: int, threshold: float, most: int) -> DataFrame:
+    """(id, floor): a pair must be above it to enter the list of ``id``.
+
+    A list that is not full takes any pair, a full one what beats its worst entry, a
+    saturated one with room also whatever passes the threshold.
+    """
+    lists = edges.filter("listed").groupBy("id").agg(F.count("*").alias("n"), F.min("cosine").alias("worst"))
+    room = F.when(F.col("n") < size, F.lit(ANY_COSINE)).when(F.col("n") < most, F.least("worst", F.lit(threshold - 1e-9))).otherwise(F.col("worst"))
+    return lists.select("id", room.alias("floor"))
+
+
 def by_length(vectors: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     """(places, unit vectors) of each length."""
     sizes = np.array([len(v) for v in vectors])
@@ -258,13 +274,14 @@ def near_duplicate_vectors(
     for attempt in range(tries):
         size = neighbours << attempt
         buckets = vectors.mapInArrow(_hyperplane_buckets(bits, tables << attempt), "id long, group long, vector binary")
-        start = _compared(_split(buckets, most, attempt * (rounds + 1)), size, threshold)
+        start = _compared(_split(buckets, most, attempt * (rounds + 1)).withColumn("floor", F.lit(ANY_COSINE)), size, threshold)
         edges = saved(_lists(start if edges is None else start.unionByName(edges.drop("listed")), size, threshold, most), "neighbours")
         for turn in range(rounds):
             near = edges.filter("listed")
             around = near.select(F.col("id").alias("group"), F.col("near").alias("id")).unionByName(near.select(F.col("near").alias("group"), "id")).distinct()
             own = near.select(F.col("id").alias("group"), "id").distinct()
-            members = _split(around.unionByName(own).distinct(), most, attempt * (rounds + 1) + 1 + turn).join(vectors, "id")
+            with_floor = vectors.join(_floors(edges, size, threshold, most), "id", "left").fillna(ANY_COSINE, ["floor"])
+            members = _split(around.unionByName(own).distinct(), most, attempt * (rounds + 1) + 1 + turn).join(with_floor, "id")
             edges = saved(_lists(_compared(members, size, threshold).unionByName(edges.drop("listed")), size, threshold, most), "neighbours")
         links = edges.filter((F.col("cosine") >= threshold) | F.col("star"))
         groups = components(links, "id", "near")
