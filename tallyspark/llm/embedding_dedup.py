@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 from .components import components
 from .ngram_join import joined_groups
 
@@ -178,7 +178,7 @@ def _hyperplane_buckets(bits: int, tables: int):
                 sides = (m @ planes > 0).reshape(len(m), tables, bits)
                 bucket = (sides << np.arange(bits)).sum(axis=2) + (np.arange(tables)[None, :] << 40)
                 rows = pa.array(np.repeat(at, tables))
-                yield pa.RecordBatch.from_arrays([b.column("id").take(rows), pa.array(bucket.ravel().astype(np.int64)), b.column("vector").take(rows)], names=["id", "group", "vector"])
+                yield pa.RecordBatch.from_arrays([b.column("id").take(rows), pa.array(bucket.ravel().astype(np.int64))], names=["id", "group"])
 
     return run
 
@@ -263,26 +263,28 @@ def near_duplicate_vectors(
                 yield pa.RecordBatch.from_arrays([b.column("_id").take(pa.array(at)), pa.array([r.tobytes() for r in m], pa.binary())], names=["_id", "_key"])
 
     rows = saved(source.filter(usable).mapInArrow(pack, "_id long, _key binary"), "vectors")
-    classes = saved(rows.groupBy(F.col("_key").alias("vector")).agg(F.min("_id").alias("id"), F.count("*").alias("weight")), "vector-classes")
     # an id that repeats with different vectors keeps one number for each vector
-    number = F.xxhash64("vector")
-    classes = saved(classes.select(F.col("id").alias("first_id"), number.alias("id"), "vector", "weight"), "vector-classes")
+    equal = rows.groupBy(F.col("_key").alias("vector")).agg(F.min("_id").alias("first_id"), F.count("*").alias("weight"))
+    classes = saved(equal.select("first_id", F.xxhash64("vector").alias("id"), "vector", "weight"), "vector-classes")
     count = classes.count()
     bits = max(1, int(np.log2(max(count, 2) / 16)))
     vectors = classes.select("id", "vector")
     links = groups = numbers = edges = None
     for attempt in range(tries):
         size = neighbours << attempt
-        buckets = vectors.mapInArrow(_hyperplane_buckets(bits, tables << attempt), "id long, group long, vector binary")
-        start = _compared(_split(buckets, most, attempt * (rounds + 1)).withColumn("floor", F.lit(ANY_COSINE)), size, threshold)
-        edges = saved(_lists(start if edges is None else start.unionByName(edges.drop("listed")), size, threshold, most), "neighbours")
+        buckets = saved(vectors.mapInArrow(_hyperplane_buckets(bits, tables << attempt), "id long, group long"), "buckets")
+        placed = _split(buckets, most, attempt * (rounds + 1)).join(vectors, "id").withColumn("floor", F.lit(ANY_COSINE))
+        start = _compared(placed, size, threshold)
+        last, edges = edges, saved(_lists(start if edges is None else start.unionByName(edges.drop("listed")), size, threshold, most), "neighbours")
+        discard(buckets, last)
         for turn in range(rounds):
             near = edges.filter("listed")
-            around = near.select(F.col("id").alias("group"), F.col("near").alias("id")).unionByName(near.select(F.col("near").alias("group"), "id")).distinct()
-            own = near.select(F.col("id").alias("group"), "id").distinct()
+            ends = F.array(F.struct(F.col("id").alias("group"), F.col("near").alias("id")), F.struct(F.col("near").alias("group"), F.col("id")), F.struct(F.col("id").alias("group"), F.col("id")))
+            around = near.select(F.explode(ends).alias("m")).select("m.group", "m.id").distinct()
             with_floor = vectors.join(_floors(edges, size, threshold, most), "id", "left").fillna(ANY_COSINE, ["floor"])
-            members = _split(around.unionByName(own).distinct(), most, attempt * (rounds + 1) + 1 + turn).join(with_floor, "id")
-            edges = saved(_lists(_compared(members, size, threshold).unionByName(edges.drop("listed")), size, threshold, most), "neighbours")
+            members = _split(around, most, attempt * (rounds + 1) + 1 + turn).join(with_floor, "id")
+            last, edges = edges, saved(_lists(_compared(members, size, threshold).unionByName(edges.drop("listed")), size, threshold, most), "neighbours")
+            discard(last)
         links = edges.filter((F.col("cosine") >= threshold) | F.col("star"))
         groups = components(links, "id", "near")
         numbers = _exact_numbers(groups, classes, threshold, block)
