@@ -144,12 +144,13 @@ def _lists(edges: DataFrame, size: int, threshold: float, most: int) -> DataFram
     """Each class's list of neighbours (``listed``), and its stars.
 
     A list has the best ``size`` neighbours; one whose entries all pass the threshold
-    grows to up to ``most`` that do.
+    grows to up to ``most`` that do. Both halves read all columns, so that Spark makes
+    the edges once for both.
     """
     once = edges.groupBy("id", "near").agg(F.max("cosine").alias("cosine"), F.max("star").alias("star"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "near"))
     ranked = once.filter(F.col("cosine") > NOT_COMPARED).withColumn("rank", rank).filter(F.col("rank") <= max(size, most))
-    listed = ranked.filter((F.col("rank") <= size) | (F.col("cosine") >= threshold)).select("id", "near", "cosine", F.lit(False).alias("star"), F.lit(True).alias("listed"))
+    listed = ranked.filter((F.col("rank") <= size) | (F.col("cosine") >= threshold)).select("id", "near", "cosine", "star", F.lit(True).alias("listed"))
     return listed.unionByName(once.filter("star").select("id", "near", "cosine", "star", F.lit(False).alias("listed")))
 
 
