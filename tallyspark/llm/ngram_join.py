@@ -82,12 +82,11 @@ def sketch(source: DataFrame, k: int, most: int = MOST_CELLS) -> np.ndarray:
             for _, _, hashes, _ in row_sets(b.column("_text"), k):
                 cell, often = np.unique(cells(hashes, number), return_counts=True)
                 total[cell] += often.astype(np.uint32)
-        full = np.flatnonzero(total)
-        cuts = np.searchsorted(full, np.arange(0, number + 1, CHUNK))
         for c in range(number // CHUNK):
-            at = full[cuts[c] : cuts[c + 1]]
+            part = total[c * CHUNK : (c + 1) * CHUNK]
+            at = np.flatnonzero(part)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([(at % CHUNK).astype("<u2").tobytes()], pa.binary()), pa.array([total[at].astype("<u4").tobytes()], pa.binary())], names=["chunk", "cells", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([part[at].astype("<u4").tobytes()], pa.binary())], names=["chunk", "cells", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -109,10 +108,18 @@ def sketch(source: DataFrame, k: int, most: int = MOST_CELLS) -> np.ndarray:
 COUNT_OF = np.exp2(np.arange(256) / STEPS) - 1
 
 
-def excess(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """How many other documents hold each shingle, less what strangers put into a usual cell."""
-    mean = float(COUNT_OF[table].mean(dtype=np.float64)) if len(table) == MOST_CELLS else 0.0
-    strangers = mean + 2 * mean**0.5 if mean > 1 else 0.0
+def strangers_in(table: np.ndarray) -> float:
+    """What strangers put into a usual cell of a full-size sketch; read in pieces, as a
+    table of counts would be eight times as large as the sketch."""
+    if len(table) < MOST_CELLS:
+        return 0.0
+    often = sum(np.bincount(table[x : x + (1 << 16)], minlength=256) for x in range(0, len(table), 1 << 16))
+    mean = float(often @ COUNT_OF) / len(table)
+    return mean + 2 * mean**0.5 if mean > 1 else 0.0
+
+
+def excess(table: np.ndarray, hashes: np.ndarray, strangers: float = 0.0) -> np.ndarray:
+    """How many other documents hold each shingle, less ``strangers``."""
     return np.maximum(np.rint(COUNT_OF[table[cells(hashes, len(table))]]) - 1 - strangers, 0)
 
 
@@ -141,9 +148,10 @@ def choose_prefix(costs: np.ndarray, n: int, num: int, den: int, longest: int =
 def _signatures(counts, k: int, num: int, den: int, longest: int = LONGEST_STEP):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
+        strangers = strangers_in(table)
         for b in batches:
             for first, last, hashes, at in row_sets(b.column("_text"), k):
-                often, costs = table[cells(hashes, len(table))].astype(np.int64), excess(table, hashes)
+                often, costs = table[cells(hashes, len(table))].astype(np.int64), excess(table, hashes, strangers)
                 sizes, marks, steps, prefixes = np.diff(at), [], [], []
                 for x, y in zip(at[:-1], at[1:]):
                     if x == y:
@@ -173,6 +181,8 @@ def _postings(counts, hot: int):
     """One row per prefix token; a token of more than ``hot`` documents is dealt to several lists (salts above 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = counts.value
+        strangers = strangers_in(table)
         for b in batches:
             ids, n, step = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "_n", "_step"))
             prefixes = b.column("_prefix").to_pylist()
@@ -181,7 +191,7 @@ def _postings(counts, hot: int):
             sizes = np.array([len(p) // 8 for p in prefixes])
             tokens = np.frombuffer(b"".join(prefixes), "<i8")
             place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            many = excess(counts.value, tokens.view("<u8")).astype(np.int64)
+            many = excess(table, tokens.view("<u8"), strangers).astype(np.int64)
             mixed = (np.repeat(ids, sizes).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             salt = np.where(many > hot, 1 + mixed.astype(np.int64) % (many // hot + 1), 0)
             yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(salt.astype(np.int32)), pa.array(np.repeat(ids, sizes)), pa.array(np.repeat(n, sizes)), pa.array(np.repeat(step, sizes).astype(np.int32)), pa.array(place.astype(np.int32))], schema=POSTING)
