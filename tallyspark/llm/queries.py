@@ -94,6 +94,25 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical_search import ranked
+
+    return ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroid_clustering import clustered
+
+    return clustered(read(spark, sf_dir, "embeddings"), k=8, rounds=10, size=64, scale=1024, seed="3")
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learned_from, scored
+
+    found = scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", F.coalesce(~learned_from(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -106,6 +125,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_url_filter": op9_url_filter,
         "op10_embedding_dedup": op10_embedding_dedup,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_centroid_clustering": op12_centroid_clustering,
+        "op13_toxicity": op13_toxicity,
     }
 
 
@@ -136,6 +158,30 @@ r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
 SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM (SELECT vec_id, CAST((SELECT count(*) FROM l WHERE x = vec_id) AS BIGINT) AS n_links, least(vec_id, coalesce((SELECT min(y) FROM r WHERE x = vec_id), vec_id)) AS component_id FROM embeddings)"""
 
 
+OP11_SQL = rf"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, {UPPER}, {LOWER}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents WHERE text IS NOT NULL),
+s AS (SELECT count(*) AS big_n, CAST(sum(len(ws)) AS BIGINT) AS big_l FROM d WHERE len(ws) > 0),
+t AS (SELECT item_id, w, count(*) AS c FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, {UPPER}, {LOWER}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark WHERE text IS NOT NULL) GROUP BY 1, 2),
+p AS (SELECT doc_id, n, w, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS w FROM d) SEMI JOIN t USING (w) GROUP BY 1, 2, 3),
+f AS (SELECT w, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, s GROUP BY w, big_n),
+x AS (SELECT item_id, doc_id, CAST(sum(c * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l)))) AS BIGINT) AS score FROM t JOIN p USING (w) JOIN f USING (w), s GROUP BY 1, 2)
+SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM x WHERE score > 0) WHERE k <= 20"""
+
+
+def _op12_sql(k: int = 8, rounds: int = 10, size: int = 64, scale: int = 1024, seed: str = "3") -> str:
+    """Every round as three common tables: distances, choices, means."""
+    steps = [
+        f"x AS MATERIALIZED (SELECT vec_id, list_transform(embedding, c -> CAST(floor({scale} * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, c -> c IS NOT NULL AND isfinite(c))) = {size})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS cluster, v FROM (SELECT sha256('{seed}:' || vec_id) AS h, v FROM x ORDER BY h LIMIT {k}))",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, v, cluster, d FROM (SELECT x.vec_id, x.v, c.cluster, CAST(list_sum(list_transform(list_zip(x.v, c.v), z -> (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d, row_number() OVER (PARTITION BY x.vec_id ORDER BY d, c.cluster) AS k FROM x, c{r} c) WHERE k = 1)")
+        if r < rounds:
+            steps.append(f"m{r} AS (SELECT cluster, list(m ORDER BY i) AS v FROM (SELECT cluster, i, CAST(floor(CAST(sum(e) AS DOUBLE) / count(*)) AS BIGINT) AS m FROM (SELECT cluster, unnest(v) AS e, unnest(range(1, {size} + 1)) AS i FROM a{r}) GROUP BY 1, 2) GROUP BY 1)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c{r}.cluster, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} USING (cluster))")
+    last = f"SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} c USING (cluster)"
+    return "WITH " + ",\n".join(steps) + "\n" + last
+
+
 def _op3_sql() -> str:
     from .licence_texts import KNOWN
     from .license_scan import COPYRIGHT_LINE, SPELLINGS
@@ -169,4 +215,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_ngram_join": OP5_SQL,
         "op9_url_filter": _op9_sql(),
         "op10_embedding_dedup": OP10_SQL,
+        "op11_lexical_search": OP11_SQL,
+        "op12_centroid_clustering": _op12_sql(),
     }

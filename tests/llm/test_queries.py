@@ -18,6 +18,9 @@ TYPES = {
     "op8_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op9_url_filter": "page_id bigint, host string, path string, rule string, verdict string",
     "op10_embedding_dedup": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
+    "op11_lexical_search": "item_id bigint, rank int, doc_id bigint, score bigint",
+    "op12_centroid_clustering": "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string",
+    "op13_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
 }
 
 
@@ -37,7 +40,15 @@ def test_contract(spark, name):
             pieces = sorted((r.start, r.length) for r in rows if r.doc_id == k)
             assert all(a + n == b for (a, n), (b, _) in zip(pieces, pieces[1:])) and sum(n for _, n in pieces) == next(r.doc_tokens for r in rows if r.doc_id == k)
         return
+    if name == "op11_lexical_search":
+        items = {r.item_id for r in rows}
+        assert items and all([r.rank for r in sorted(rows, key=lambda r: (r.item_id, -r.score, r.doc_id)) if r.item_id == k] == [*range(1, 21)] for k in items)
+        return
     assert sorted(r[0] for r in rows) == ids
+    if name == "op12_centroid_clustering":
+        assert {r.inertia for r in rows} == {sum(r.distance for r in rows)} and {r.cluster for r in rows} <= set(range(8))
+    if name == "op13_toxicity":
+        assert all(r.held_out == (crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     if name == "op4_pii":
         assert all(r.n_email + r.n_ip + r.n_card + r.n_phone <= (r.spans.count(",") + 1 if r.spans else 0) == (r.scores.count(",") + 1 if r.scores else 0) for r in rows)
     if name == "op6_binary_output":
