@@ -8,7 +8,8 @@ one line). Lines whose canonical length no known licence has are dropped before
 the join, which Spark plans by the tables' sizes.
 
 Defined results: null, empty and punctuation-only texts have no digest and no
-licence; rows that share an id share the licences found; repeated known texts
+licence; rows are judged one by one, whatever their ids, as the lines' licences are joined
+back by the digest of the raw text, of which they are a function; repeated known texts
 count once (smallest name); other columns of the input are not read; empty tables give empty results or no licences.
 """
 
@@ -37,6 +38,7 @@ SPELLINGS = [
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright( \(c\)| ©)?|\(c\)|©) [^\n]*$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+
 def canonical(text: Column) -> Column:
     form = F.translate(text, UPPER, LOWER)
     form = F.regexp_replace(form, COPYRIGHT_LINE, " ")
@@ -70,20 +72,19 @@ def licences(documents: DataFrame, known: DataFrame | None = None, id_col: str =
     table = known.select("licence", canonical(F.col("text")).alias("_form")).filter("_form is not null").groupBy(digest(F.col("_form")).alias("_known"), F.length("_form").alias("_size")).agg(F.min("licence").alias("licence"))
     least = table.agg(F.min("_size")).first()[0] or 0
     sizes = [r[0] for r in table.select("_size").distinct().limit(10_000).collect()]
-    source = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    source = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.sha2(F.col(text_col).cast("binary"), 256).alias("_raw"))
     # a canonical form has at most five letters for one of the text ("&" becomes " and ")
-    long_enough = source.select("_id", F.explode(F.split("_text", "\n")).alias("_line")).filter(F.length("_line") * 5 >= least)
-    lines = long_enough.select("_id", canonical(F.col("_line")).alias("_form"))
+    long_enough = source.select("_raw", F.explode(F.split("_text", "\n")).alias("_line")).filter(F.length("_line") * 5 >= least)
+    lines = long_enough.select("_raw", canonical(F.col("_line")).alias("_form"))
     lines = lines.filter(F.length("_form").isin(sizes) if len(sizes) < 10_000 else F.length("_form") >= least)
     found = (
-        lines.select("_id", digest(F.col("_form")).alias("_known"))
+        lines.select("_raw", digest(F.col("_form")).alias("_known"))
         .join(table.select("_known", "licence"), "_known")
-        .groupBy("_id")
+        .groupBy("_raw")
         .agg(F.array_sort(F.collect_set("licence")).alias("_lines"))
-        .withColumnRenamed("_id", "_found")
     )
-    whole = source.select("_id", digest(canonical(F.col("_text"))).alias("_digest"))
+    whole = source.select("_id", "_raw", digest(canonical(F.col("_text"))).alias("_digest"))
     # texts without a digest have a key each, so that a shuffled join does not gather them
     key = F.coalesce("_digest", F.concat(F.lit("none "), F.xxhash64("_id")))
-    out = whole.withColumn("_key", key).join(table.select(F.col("_known").alias("_key"), "licence"), "_key", "left").join(found, F.col("_id").eqNullSafe(F.col("_found")), "left")
+    out = whole.withColumn("_key", key).join(table.select(F.col("_known").alias("_key"), "licence"), "_key", "left").join(found, "_raw", "left")
     return out.select(F.col("_id").alias(id_col), F.col("_digest").alias("digest"), "licence", F.coalesce("_lines", F.array().cast("array<string>")).alias("line_licences"))

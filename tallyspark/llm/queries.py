@@ -170,11 +170,11 @@ SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_nu
 def _op12_sql(k: int = 8, rounds: int = 10, size: int = 64, scale: int = 1024, seed: str = "3") -> str:
     """Every round as three common tables: distances, choices, means."""
     steps = [
-        f"x AS MATERIALIZED (SELECT vec_id, list_transform(embedding, c -> CAST(floor({scale} * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, c -> c IS NOT NULL AND isfinite(c))) = {size})",
+        f"x AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor({scale} * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = {size})",
         f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS cluster, v FROM (SELECT sha256('{seed}:' || vec_id) AS h, v FROM x ORDER BY h LIMIT {k}))",
     ]
     for r in range(rounds + 1):
-        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, v, cluster, d FROM (SELECT x.vec_id, x.v, c.cluster, CAST(list_sum(list_transform(list_zip(x.v, c.v), z -> (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d, row_number() OVER (PARTITION BY x.vec_id ORDER BY d, c.cluster) AS k FROM x, c{r} c) WHERE k = 1)")
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, v, cluster, d FROM (SELECT x.vec_id, x.v, c.cluster, CAST(list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d, row_number() OVER (PARTITION BY x.vec_id ORDER BY d, c.cluster) AS k FROM x, c{r} c) WHERE k = 1)")
         if r < rounds:
             steps.append(f"m{r} AS (SELECT cluster, list(m ORDER BY i) AS v FROM (SELECT cluster, i, CAST(floor(CAST(sum(e) AS DOUBLE) / count(*)) AS BIGINT) AS m FROM (SELECT cluster, unnest(v) AS e, unnest(range(1, {size} + 1)) AS i FROM a{r}) GROUP BY 1, 2) GROUP BY 1)")
             steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c{r}.cluster, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} USING (cluster))")

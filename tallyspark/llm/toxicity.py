@@ -70,7 +70,7 @@ class Lexicon:
 
     @staticmethod
     def of(counts: list[tuple[str, int, int]], clean: int, toxic: int) -> Lexicon:
-        odds = lambda t, c, tn, cn: math.log((t + 0.5) / (tn + 1)) - math.log((c + 0.5) / (cn + 1))
+        odds = lambda t, c, tn, cn: math.log((max(t, 0) + 0.5) / (tn + 1)) - math.log((max(c, 0) + 0.5) / (cn + 1))
         return Lexicon({f: odds(t, c, toxic, clean) for f, c, t in counts}, ({f: odds(t, c - 1, toxic, clean - 1) for f, c, t in counts}, {f: odds(t - 1, c, toxic - 1, clean) for f, c, t in counts}))
 
 
@@ -220,7 +220,7 @@ def trained(documents: DataFrame, labels: DataFrame, most: int = 16_000, entries
     described = saved(sample.mapInArrow(_described(lexicon, True), "_toxic int, _calibrates boolean, _features array<double>"), "described")
     discard(sample)
     rows = described.withColumn("_vector", array_to_vector("_features"))
-    fit = lambda df: GBTClassifier(featuresCol="_vector", labelCol="_toxic", predictionCol="_prediction", rawPredictionCol="_raw", probabilityCol="_probability", maxIter=rounds, maxDepth=depth, stepSize=0.15, maxBins=64, minInstancesPerNode=3, seed=7).fit(df)
+    fit = lambda df: GBTClassifier(featuresCol="_vector", labelCol="_toxic", predictionCol="_prediction", maxIter=rounds, maxDepth=depth, stepSize=0.15, maxBins=64, minInstancesPerNode=3, seed=7).setRawPredictionCol("_raw").setProbabilityCol("_probability").fit(df)
     part = {(r._calibrates, r._toxic) for r in described.groupBy("_calibrates", "_toxic").count().filter("count >= 5").collect()}
     calibration = None
     if len(part) == 4:  # enough of both labels on both sides

@@ -130,7 +130,13 @@ def test_licence_folder_and_repeated_rows(spark, tmp_path):
     long = "you MAY do as you like " + "really " * 200_000
     rows = [(1, long, "x"), (1, "do NOT", "x"), (1, "do NOT", "x"), (None, None, "x"), (None, "a\ndo, not!\nb", "x")]
     got = licences(spark.createDataFrame(rows, "doc_id long, text string, digest string"), known).collect()
-    assert sorted((r.doc_id or 0, r.licence or "", *r.line_licences) for r in got) == [(0, "", "Other One"), (0, "", "Other One"), (1, "Other One", "Other One"), (1, "Other One", "Other One"), (1, "Own-1.0", "Other One")]
+    assert sorted((r.doc_id or 0, r.licence or "", *r.line_licences) for r in got) == [(0, ""), (0, "", "Other One"), (1, "Other One", "Other One"), (1, "Other One", "Other One"), (1, "Own-1.0", "Own-1.0")]
+
+
+def test_licences_of_rows_without_or_with_the_same_id(spark):
+    rows = [(None, "hello"), (None, None), (None, "Released under the MIT licence!"), (1, "hello"), (1, "x\nReleased under the MIT License"), (1, None)]
+    got = licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.licence or "", *r.line_licences) for r in got) == [(0, ""), (0, ""), (0, "MIT", "MIT"), (1, ""), (1, ""), (1, "", "MIT")]
 
 
 def test_short_known_notices_are_found_in_lines(spark, docs):
