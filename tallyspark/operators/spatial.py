@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +19,8 @@ def excluded(x: Column, y: Column, x0: Column, y0: Column, x1: Column, y1: Colum
 
 
 def spelled(glyphs: DataFrame, codes: list[str], page: str = "page_id") -> DataFrame:
-    """Places where consecutive glyphs of a page spell a code: (page, code, x0, top, x1, size, char_index).
+    """Places where consecutive glyphs of a page spell a code: (page, code, x0, top, x1, size, char_index),
+    and the first glyph's bottom where glyphs have one.
 
     One window over the page's stream brings each glyph the one before it and those after
     it, as far as the longest code needs; only glyphs that begin a code are looked at.
@@ -30,7 +28,8 @@ def spelled(glyphs: DataFrame, codes: list[str], page: str = "page_id") -> DataF
     stream = Window.partitionBy(page).orderBy("char_index")
     longest = max(map(len, codes))
     one = F.struct("text", "x0", "x1", "top")
-    wide = glyphs.select(page, "char_index", "x0", "top", "size", one.alias("_g0"), F.lag(one, 1).over(stream).alias("_before"), *[F.lead(one, k).over(stream).alias(f"_g{k}") for k in range(1, longest + 1)])
+    more = ["bottom"] if "bottom" in glyphs.columns else []
+    wide = glyphs.select(page, "char_index", "x0", "top", "size", *more, one.alias("_g0"), F.lag(one, 1).over(stream).alias("_before"), *[F.lead(one, k).over(stream).alias(f"_g{k}") for k in range(1, longest + 1)])
     seen = wide.filter(F.col("_g0.text").isin(sorted({c[0] for c in codes})))
 
     def linked(a: str, b: str) -> Column:
@@ -51,7 +50,7 @@ def spelled(glyphs: DataFrame, codes: list[str], page: str = "page_id") -> DataF
         last = f"_g{size - 1}"
         out.append(F.when(hit & ~longer(last, f"_g{size}", f"_g{size}"), F.struct(whole.alias("code"), F.col(f"{last}.x1").alias("x1"))))
     found = seen.filter(~longer("_before", "_g0", "_before")).withColumn("m", F.explode(F.filter(F.array(*out), lambda m: m.isNotNull())))
-    return found.select(page, "m.code", "x0", "top", "m.x1", "size", "char_index")
+    return found.select(page, "m.code", "x0", "top", "m.x1", "size", "char_index", *more)
 
 
 def of_modal_size(matches: DataFrame, page: str = "page_id") -> DataFrame:
@@ -64,12 +63,12 @@ def of_modal_size(matches: DataFrame, page: str = "page_id") -> DataFrame:
     return both.filter((F.col("modal") <= 0) | (rounded.between(F.col("modal") / reach, F.col("modal") * reach))).drop("modal")
 
 
-def isolated(matches: DataFrame, glyphs: DataFrame, page: str = "page_id") -> DataFrame:
+def isolated(matches: DataFrame, glyphs: DataFrame, page: str = "page_id", reach: float = ISOLATION) -> DataFrame:
     """One-letter matches without another glyph near in their row: glyphs lie in rows
     of 3 points, and a match looks two rows up and down."""
     rows = glyphs.select(page, F.col("char_index").alias("_ci"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.explode(F.sequence(F.floor(F.col("top") / 3) - 2, F.floor(F.col("top") / 3) + 2)).alias("_row"))
     asked = matches.withColumn("_row", F.floor(F.col("top") / 3))
-    near = (F.col("_ci") != F.col("char_index")) & (F.col("_x1") > F.col("x0") - ISOLATION) & (F.col("_x0") < F.col("x1") + ISOLATION)
+    near = (F.col("_ci") != F.col("char_index")) & (F.col("_x1") > F.col("x0") - reach) & (F.col("_x0") < F.col("x1") + reach)
     return asked.join(rows.withColumnRenamed(page, "_p"), (F.col(page) == F.col("_p")) & (asked["_row"] == rows["_row"]) & near, "left_anti").drop("_row")
 
 
@@ -102,30 +101,6 @@ def enclosing_quadrants(numbers: DataFrame, segments: DataFrame, keys: list[str]
     return bits.select(*keys, id_col, F.bit_count("bits").cast("int").alias("quadrants"))
 
 
-def greedy_apart(points: DataFrame, keys: list[str], distance: float = NEAR_SAME) -> DataFrame:
-    """Points in order of (y, x), kept where no kept point is nearer than ``distance``.
-
-    The decision depends on those before it, so each page and code is one small group.
-    """
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x"], kind="stable")
-        kept: list[tuple[float, float]] = []
-        cells: dict[tuple[int, int], list[tuple[float, float]]] = {}
-        chosen = []
-        for x, y in zip(pdf["x"], pdf["y"]):
-            c = (int(x // distance), int(y // distance))
-            close = (p for i in (-1, 0, 1) for j in (-1, 0, 1) for p in cells.get((c[0] + i, c[1] + j), ()))
-            ok = not any((x - a) ** 2 + (y - b) ** 2 < distance * distance for a, b in close)
-            chosen.append(ok)
-            if ok:
-                kept.append((x, y))
-                cells.setdefault(c, []).append((x, y))
-        return pdf[chosen]
-
-    return points.groupBy(*keys).applyInPandas(keep, points.schema)
-
-
 def lines_of_words(words: DataFrame, page: str, tolerance: float) -> DataFrame:
     """Adds ``line``: words sorted by (top, x0); a new line where the top moves by more than ``tolerance``."""
     order = Window.partitionBy(page).orderBy("top", "x0", "word_index")

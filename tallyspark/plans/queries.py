@@ -447,11 +447,6 @@ def spatial_reject(spark, sf_dir):
     return spatial.without_rejected(p.select("vec_id", "label", "x", "y"), rejected, ["label"], "vec_id").select("vec_id")
 
 
-@query()
-def spatial_dedup_greedy(spark, sf_dir):
-    return spatial.greedy_apart(points(spark, sf_dir).select("vec_id", "label", "x", "y"), ["label"]).select("vec_id", "label")
-
-
 @query(f"""WITH {POINTS}, seg AS (SELECT * FROM pts WHERE (x - x2) * (x - x2) + (y - y2) * (y - y2) >= 9), e AS (SELECT label, x AS rx, y AS ry FROM seg UNION ALL SELECT label, x2, y2 FROM seg),
 q AS (SELECT p.vec_id, CASE WHEN rx >= p.x THEN CASE WHEN ry <= p.y THEN 1 ELSE 2 END ELSE CASE WHEN ry > p.y THEN 3 ELSE 4 END END AS quadrant FROM pts p JOIN e ON e.label = p.label AND (p.x - rx) * (p.x - rx) + (p.y - ry) * (p.y - ry) < 10000 AND (p.x - rx) * (p.x - rx) + (p.y - ry) * (p.y - ry) > 4)
 SELECT vec_id, CAST(count(DISTINCT quadrant) AS INT) AS quadrants FROM q GROUP BY 1""")

@@ -50,11 +50,6 @@ def test_zones(spark):
     assert [r.e for r in pts.select(spatial.excluded(F.col("x"), F.col("y"), z, z, k, k).alias("e")).collect()] == [True, True, False, True, False]
 
 
-def test_greedy_distance(spark):
-    pts = spark.createDataFrame([("A", 100.0, 100.0), ("A", 150.0, 100.0), ("A", 300.0, 100.0), ("B", 100.0, 100.0)], "code string, x double, y double")
-    assert spatial.greedy_apart(pts, ["code"]).count() == 3
-
-
 def test_enclosure(spark):
     n = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, 100.0, 0.0)], "page int, id int, x double, y double")
     s = spark.createDataFrame([(1, -5.0, -5.0, 5.0, -5.0), (1, 5.0, 5.0, 6.0, 5.0), (1, 5.0, 5.0, -5.0, 5.0), (1, 105.0, 0.0, 95.0, 0.0)], "page int, ax double, ay double, bx double, by double")
