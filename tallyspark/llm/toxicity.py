@@ -198,7 +198,7 @@ def _margins(trees, calibration, rows: DataFrame) -> DataFrame:
     return out.withColumn("_score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "_score"))).drop("_vector", "_raw", "_probability", "_prediction", "_margin")
 
 
-def trained(documents: DataFrame, labels: DataFrame, most: int = 16_000, entries: int = 1_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rounds: int = 40, depth: int = 4) -> Model:
+def trained(documents: DataFrame, labels: DataFrame, most: int = 16_000, entries: int = 1_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rounds: int = 25, depth: int = 3) -> Model:
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_toxic")).filter("_id IS NOT NULL AND _toxic IN (0, 1)").filter(learned_from(F.col("_id"))).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     place = F.pmod(F.xxhash64("_id", F.lit(13)), F.lit(1 << 20))
     n = known.count()
@@ -220,7 +220,7 @@ def trained(documents: DataFrame, labels: DataFrame, most: int = 16_000, entries
     described = saved(sample.mapInArrow(_described(lexicon, True), "_toxic int, _calibrates boolean, _features array<double>"), "described")
     discard(sample)
     rows = described.withColumn("_vector", array_to_vector("_features"))
-    fit = lambda df: GBTClassifier(featuresCol="_vector", labelCol="_toxic", predictionCol="_prediction", maxIter=rounds, maxDepth=depth, stepSize=0.15, maxBins=64, minInstancesPerNode=3, seed=7).setRawPredictionCol("_raw").setProbabilityCol("_probability").fit(df)
+    fit = lambda df: GBTClassifier(featuresCol="_vector", labelCol="_toxic", predictionCol="_prediction", maxIter=rounds, maxDepth=depth, stepSize=0.2, maxBins=64, minInstancesPerNode=3, seed=7).setRawPredictionCol("_raw").setProbabilityCol("_probability").fit(df)
     part = {(r._calibrates, r._toxic) for r in described.groupBy("_calibrates", "_toxic").count().filter("count >= 5").collect()}
     calibration = None
     if len(part) == 4:  # enough of both labels on both sides
