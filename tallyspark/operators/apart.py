@@ -35,7 +35,7 @@ def apart(points: DataFrame, keys: list[str], order: list[str], distance: float,
     """The rows of ``points`` that stand, each group of ``keys`` for itself.
 
     ``order`` decides who comes first and must tell all rows of a group apart, or rows that
-    agree in it stand or go together. Coordinates that are null or no numbers are near
+    agree in it stand or go together. Coordinates that are null, infinite or no numbers are near
     nothing; null keys are a group like others; an empty table stays empty. ``points`` is
     read twice: pass a table, not a long plan.
     """
@@ -43,7 +43,8 @@ def apart(points: DataFrame, keys: list[str], order: list[str], distance: float,
     names = [f"_o{k}" for k in range(len(order))]
     rank = [F.col(c).alias(n) for c, n in zip(order, names)]
     at = F.col(x).cast("double"), F.col(y).cast("double")
-    known = F.coalesce(~F.isnan(at[0]) & ~F.isnan(at[1]), F.lit(False))
+    finite = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+    known = finite(at[0]) & finite(at[1])
     # one column tells the groups apart, also where a key is null
     group = F.to_json(F.struct(*[F.col(k) for k in keys]), {"ignoreNullFields": "false"}) if keys else F.lit("")
     state = written(points.filter(known).select(group.alias("_g"), *rank, at[0].alias("_x"), at[1].alias("_y")), "undecided")

@@ -45,14 +45,18 @@ def overlay(*layers: DataFrame) -> DataFrame:
 
 
 def apply_to_counts(counts: DataFrame, hints: DataFrame) -> DataFrame:
-    """(code, plan, n) without removed codes, with added ones, and with overridden counts."""
-    removed = hints.filter("action = 'remove'").select(F.col("fixture_code").alias("code"))
-    added = hints.filter("action = 'add'").select(F.col("fixture_code").alias("code")).distinct()
-    plans = counts.agg(F.collect_set("plan").alias("plans"))  # one row: the plans of a project are few
-    kept = counts.join(removed, "code", "left_anti")
-    new = added.join(counts.select("code").distinct(), "code", "left_anti").crossJoin(plans).select("code", F.explode("plans").alias("plan"), F.lit(0).cast("long").alias("n"))
-    override = hints.filter("action = 'count_override'").groupBy(F.col("fixture_code").alias("code"), F.col("place").alias("plan")).agg(F.max("value").alias("over")).join(removed, "code", "left_anti")
-    return kept.select("code", "plan", "n").unionByName(new).join(override, ["code", "plan"], "full").select("code", "plan", F.coalesce("over", "n").alias("n"))
+    """(source_key, code, plan, n) without removed codes, with added ones on every plan of their
+    source, and with overridden counts. Tables without ``source_key`` are of one source."""
+    key = ["source_key"] if "source_key" in counts.columns else []
+    code = [*key, "code"]
+    said = hints.withColumnRenamed("fixture_code", "code")
+    removed = said.filter("action = 'remove'").select(*code).distinct()
+    added = said.filter("action = 'add'").select(*code).distinct().join(counts.select(*code).distinct(), code, "left_anti")
+    plans = counts.select(*key, "plan").distinct()
+    new = (added.join(plans, key) if key else added.crossJoin(F.broadcast(plans))).select(*code, "plan", F.lit(0).cast("long").alias("n"))  # the plans of one source are few
+    over = said.filter("action = 'count_override'").groupBy(*code, F.col("place").alias("plan")).agg(F.max("value").alias("_over")).join(removed, code, "left_anti")
+    kept = counts.join(removed, code, "left_anti").select(*code, "plan", "n")
+    return kept.unionByName(new).join(over, [*code, "plan"], "full").select(*code, "plan", F.coalesce("_over", "n").alias("n"))
 
 
 def apply_spec_patches(fixtures: DataFrame, hints: DataFrame, fields: list[str]) -> DataFrame:

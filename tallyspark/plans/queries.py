@@ -314,13 +314,17 @@ def index_lines(spark, sf_dir):
 
 
 _HARVEST = "regexp_extract_all(text, '\\b([A-Za-z]{1,3}[0-9]+[A-Za-z]?)\\b', 1)"
+_NOTED = "noted AS (SELECT o_orderkey AS page_id, 'SEE E' || o_custkey % 300 || ', a' || o_orderkey % 40 || 'x and LP' || o_custkey % 5 || ' (' || chr(65 + o_orderkey % 26) || o_custkey % 9 || '). fe' || o_custkey || ' 2x4 ' || o_orderstatus || ' N1234567' AS text FROM orders)"
 
 
-@query(f"SELECT doc_id, code FROM (SELECT DISTINCT doc_id, upper(unnest({_HARVEST})) AS code FROM documents) WHERE length(code) <= 6 AND NOT regexp_matches(code, '^(FE|SS|TR|JR|LP|CS|DP|VFD|UPS)[0-9]')")
+@query(f"WITH {_NOTED} SELECT page_id, code FROM (SELECT DISTINCT page_id, upper(unnest({_HARVEST})) AS code FROM noted) WHERE length(code) <= 6 AND NOT regexp_matches(code, '^(FE|SS|TR|JR|LP|CS|DP|VFD|UPS)[0-9]')")
 def plan_code_harvest(spark, sf_dir):
-    ascii_words = r"(?<![A-Za-z0-9_])([A-Za-z]{1,3}[0-9]+[A-Za-z]?)(?![A-Za-z0-9_])"
-    found = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(ascii_words), 1), lambda c: F.upper(c)))
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.filter(found, lambda c: (F.length(c) <= 6) & ~c.rlike(text.NOT_A_CODE))).alias("code"))
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    noted = F.concat(F.lit("SEE E"), c % 300, F.lit(", a"), o % 40, F.lit("x and LP"), c % 5, F.lit(" ("), F.char(65 + o % 26), c % 9, F.lit("). fe"), c, F.lit(" 2x4 "), "o_orderstatus", F.lit(" N1234567"))
+    found = table(spark, sf_dir, "orders").select(o.alias("page_id"), noted.alias("text"))
+    words = r"(?<![A-Za-z0-9_])([A-Za-z]{1,3}[0-9]+[A-Za-z]?)(?![A-Za-z0-9_])"
+    codes = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(words), 1), lambda x: F.upper(x)))
+    return found.select("page_id", F.explode(F.filter(codes, lambda x: (F.length(x) <= 6) & ~x.rlike(text.NOT_A_CODE))).alias("code"))
 
 
 # --- tables in texts
@@ -396,19 +400,40 @@ def cell_typing(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", tables.cell_kind(cell).alias("kind"))
 
 
-@query("SELECT l_orderkey AS table_id, count(*) AS records FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY 1")
+_MARKS = ["A1", "NO", "EX-2", "LIGHTING", "b6", "12", "a code that is far too long", "F3 1"]
+
+
+def _schedule_sql() -> str:
+    fields = {0: {"code": 0, "description": 1, "voltage": 2}, 1: {"code": 1, "description": 0, "voltage": None}, 2: {"code": 1, "description": None, "voltage": None}}
+    pick = lambda f: "CASE h " + " ".join(f"WHEN {h} THEN {'NULL' if m[f] is None else f'c{m[f]}'}" for h, m in fields.items()) + " END"
+    return f"""WITH r AS (SELECT p_partkey // 5 AS table_id, 1 + p_partkey % 5 AS row_idx, p_partkey // 5 % 3 AS h, ([{', '.join(map(repr, _MARKS))}])[1 + p_partkey % {len(_MARKS)}] AS m, '  ' || p_type || '   lamp ' AS t, CAST(100 + p_size AS VARCHAR) AS v FROM part),
+c AS (SELECT table_id, row_idx, h, CASE WHEN h = 0 THEN m ELSE t END AS c0, CASE WHEN h = 0 THEN t ELSE m END AS c1, v AS c2 FROM r),
+f AS (SELECT table_id, row_idx, trim(regexp_replace({pick('code')}, '\\s+', ' ', 'g')) AS code, trim(regexp_replace({pick('description')}, '\\s+', ' ', 'g')) AS description, {pick('voltage')} AS voltage FROM c)
+SELECT * FROM f WHERE length(code) <= 15 AND regexp_matches(code, '^[A-Za-z0-9][A-Za-z0-9./-]*$') AND NOT regexp_matches(code, '^[A-Za-z]{{4,}}$') AND upper(rtrim(code, '.')) NOT IN ('NO', 'QTY', 'CKT')"""
+
+
+@query(_schedule_sql())
 def schedule_records(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").alias("row_idx")).distinct()
-    body = rows.select("table_id", "row_idx", F.posexplode(F.array(F.concat(F.lit("A"), "row_idx"), F.lit(" wide   lamp "), F.lit("277"))).alias("col_idx", "text"))
-    head = rows.select("table_id").distinct().select("table_id", F.lit(0).alias("row_idx"), F.posexplode(F.array(F.lit("Mark"), F.lit("Description"), F.lit("Voltage"))).alias("col_idx", "text"))
-    every = head.unionByName(body)
-    found = tables.records(every, tables.header_rows(every), ["code", "description", "voltage"])
-    return found.filter("description = 'wide lamp'").groupBy("table_id").agg(F.count("*").alias("records"))
+    """Tables of five rows below one of three heading rows; the columns differ by table."""
+    k = F.col("p_partkey")
+    h = F.floor(k / 5) % 3
+    mark, name = F.get(F.array(*map(F.lit, _MARKS)), (k % len(_MARKS)).cast("int")), F.concat(F.lit("  "), "p_type", F.lit("   lamp "))
+    row = F.array(F.when(h == 0, mark).otherwise(name), F.when(h == 0, name).otherwise(mark), (100 + F.col("p_size")).cast("string"))
+    body = table(spark, sf_dir, "part").select(F.floor(k / 5).alias("table_id"), (1 + k % 5).alias("row_idx"), h.alias("h"), row.alias("row"))
+    heads = F.get(F.array(*[F.array(*map(F.lit, v)) for v in (["Mark", "Description", "Volts"], ["Description", "TYPE", "Lamps"], ["x", "Symbol", "Mounting"])]), F.col("h").cast("int"))
+    every = body.select("table_id", "row_idx", F.posexplode("row").alias("col_idx", "text")).unionByName(body.select("table_id", "h").distinct().select("table_id", F.lit(0).cast("long").alias("row_idx"), F.posexplode(heads).alias("col_idx", "text")))
+    return tables.records(every, tables.header_rows(every), ["code", "description", "voltage"])
+
 
+_NOTES = "notes AS (SELECT o_orderkey AS doc_id, i - 1 AS line_no, ([o_orderpriority, '1. Provide ' || o_orderstatus, CASE WHEN o_custkey % 2 = 0 THEN ' goes on ' || o_custkey ELSE '' END, o_custkey % 30 || ') Second ' || o_orderstatus, 'a line', '   ', '3 third', CASE WHEN o_custkey % 3 = 0 THEN '123 no number' ELSE '4.' END])[i] AS text FROM orders, (SELECT unnest(range(1, 9)) AS i))"
 
-@query(f"WITH {LINES}, m AS (SELECT *, regexp_extract(text, '^\\s*([0-9]{{1,2}})[.)]?\\s+\\S', 1) AS n FROM doc_lines), g AS (SELECT *, sum(CASE WHEN n <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS item FROM m) SELECT doc_id, CAST(item AS BIGINT) AS item, max(n) AS number, string_agg(trim(CASE WHEN n <> '' THEN regexp_replace(text, '^\\s*[0-9]{{1,2}}[.)]?\\s+', '') ELSE text END), ' ' ORDER BY line_no) AS text FROM g WHERE item > 0 AND trim(text) <> '' GROUP BY 1, 2")
+
+@query(f"WITH {_NOTES}, m AS (SELECT *, regexp_extract(text, '^\\s*([0-9]{{1,2}})[.)]?\\s+\\S', 1) AS n FROM notes), g AS (SELECT *, sum(CASE WHEN n <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS item FROM m) SELECT doc_id, CAST(item AS BIGINT) AS item, max(n) AS number, string_agg(trim(CASE WHEN n <> '' THEN regexp_replace(text, '^\\s*[0-9]{{1,2}}[.)]?\\s+', '') ELSE text END), ' ' ORDER BY line_no) AS text FROM g WHERE item > 0 AND trim(text) <> '' GROUP BY 1, 2")
 def keynote_assembly(spark, sf_dir):
-    return tables.keynotes_of_lines(lines(spark, sf_dir), "doc_id")
+    c = F.col("o_custkey")
+    rows = F.array(F.col("o_orderpriority"), F.concat(F.lit("1. Provide "), "o_orderstatus"), F.when(c % 2 == 0, F.concat(F.lit(" goes on "), c)).otherwise(""), F.concat(c % 30, F.lit(") Second "), "o_orderstatus"), F.lit("a line"), F.lit("   "), F.lit("3 third"), F.when(c % 3 == 0, "123 no number").otherwise("4."))
+    notes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(rows).alias("line_no", "text"))
+    return tables.keynotes_of_lines(notes, "doc_id")
 
 
 # --- glyphs, words, points
@@ -570,20 +595,18 @@ def corr_overlay(spark, sf_dir):
     return best.select("fixture_code", F.col("b.action").alias("action"), "place", F.col("b.value").alias("value"))
 
 
-_COUNTS = "base AS (SELECT 'F' || (CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 25) AS code, 'S' || (event_id % 3) AS plan, count(*) AS n FROM events GROUP BY 1, 2)"
+_COUNTS = "base AS (SELECT user_id AS source_key, 'F' || (CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 25) AS code, 'S' || (event_id % 3) AS plan, count(*) AS n FROM events GROUP BY 1, 2, 3)"
 
 
-@query(f"""WITH {CORR}, {FOLD}, {_COUNTS}, h AS (SELECT * FROM folded WHERE source_key = (SELECT min(source_key) FROM folded)), gone AS (SELECT fixture_code AS code FROM h WHERE action = 'remove'),
-a AS (SELECT DISTINCT fixture_code AS code FROM h WHERE action = 'add' AND fixture_code NOT IN (SELECT code FROM base)),
-o AS (SELECT fixture_code AS code, place AS plan, max(value) AS v FROM h WHERE action = 'count_override' AND fixture_code NOT IN (SELECT code FROM gone) GROUP BY 1, 2),
-b AS (SELECT code, plan, n FROM base WHERE code NOT IN (SELECT code FROM gone) UNION ALL SELECT a.code, p.plan, 0 FROM a CROSS JOIN (SELECT DISTINCT plan FROM base) p)
-SELECT code, plan, CAST(coalesce(o.v, b.n) AS BIGINT) AS n FROM b FULL JOIN o USING (code, plan)""")
+@query(f"""WITH {CORR}, {FOLD}, {_COUNTS}, h AS (SELECT source_key, action, fixture_code AS code, place, value FROM folded), gone AS (SELECT source_key, code FROM h WHERE action = 'remove'),
+a AS (SELECT DISTINCT source_key, code FROM h ANTI JOIN base USING (source_key, code) WHERE action = 'add'),
+o AS (SELECT source_key, code, place AS plan, max(value) AS v FROM h ANTI JOIN gone USING (source_key, code) WHERE action = 'count_override' GROUP BY 1, 2, 3),
+b AS (SELECT source_key, code, plan, n FROM base ANTI JOIN gone USING (source_key, code) UNION ALL SELECT a.source_key, a.code, p.plan, 0 FROM a JOIN (SELECT DISTINCT source_key, plan FROM base) p USING (source_key))
+SELECT source_key, code, plan, CAST(coalesce(o.v, b.n) AS BIGINT) AS n FROM b FULL JOIN o USING (source_key, code, plan)""")
 def corr_apply(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    base = e.groupBy(F.concat(F.lit("F"), F.regexp_extract("props", "([0-9]+)", 1).cast("long") % 25).alias("code"), F.concat(F.lit("S"), F.col("event_id") % 3).alias("plan")).agg(F.count("*").alias("n"))
-    hints = corr.fold(events_as_corrections(spark, sf_dir))
-    first = hints.agg(F.min("source_key").alias("source_key"))
-    return corr.apply_to_counts(base, hints.join(first, "source_key", "left_semi"))
+    base = e.groupBy(F.col("user_id").alias("source_key"), F.concat(F.lit("F"), F.regexp_extract("props", "([0-9]+)", 1).cast("long") % 25).alias("code"), F.concat(F.lit("S"), F.col("event_id") % 3).alias("plan")).agg(F.count("*").alias("n"))
+    return corr.apply_to_counts(base, corr.fold(events_as_corrections(spark, sf_dir)))
 
 
 @query(f"""WITH {CORR}, s AS (SELECT source_key, bool_or(action = 'reclassify_page') AS whole, bool_or(action IN ('add', 'remove', 'update_spec')) AS s2, bool_or(action IN ('add', 'remove', 'count_override')) AS s3 FROM corr GROUP BY 1)
@@ -680,6 +703,14 @@ def sim_topk_filtered(spark, sf_dir):
     return similarity.nearest(v, v.filter("vec_id % 100 = 0"), filter_col="label")
 
 
+@query("""WITH d AS (SELECT q.vec_id AS query_id, q.label AS ql, v.label AS vl, v.vec_id, sqrt(list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: (CAST(v.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE)) * (CAST(v.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE))))) AS distance FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)
+SELECT query_id, vec_id, round(distance, 4) AS distance, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS k FROM d) WHERE k <= 5 AND vl % 4 <> ql % 4""")
+def sim_other_sources(spark, sf_dir):
+    """Similar rows without those of the own source; four labels are one source."""
+    v = table(spark, sf_dir, "embeddings").withColumn("source", F.col("label") % 4)
+    return similarity.from_other_sources(v, v.filter("vec_id % 100 = 0"), "source")
+
+
 @query("SELECT event_id, CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS INT) AS k, CAST(0 AS INT) AS missing FROM events")
 def json_counts(spark, sf_dir):
     answer = F.concat(F.lit("Here it is:\n```json\n"), "props", F.lit("\n```"))

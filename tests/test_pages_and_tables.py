@@ -80,7 +80,7 @@ def test_headerless_records(spark):
     tables = {
         1: [["LIGHT FIXTURE SCHEDULE", "", ""], ["F1 1", "277", "2x4 recessed troffer with a lens", "3000K", "RM-4/FL"], ["A1", " ", None], ["WALL", "x"], ["B2", "recessed", "surface", "0-10V dimm and 277 volts or more", "40 W", "12-34-56", "AB-CD-EF"]],
         2: [["A1", "277", "nothing of the kind"]],
-        3: [["led light", "x"], ["", "A1", "y"], ["C1", "120 V for all of the fixtures", "900 lm"]],
+        3: [["led lights", "x"], ["", "A1", "y"], ["C1", "120 V for all of the fixtures", "900 lm"]],
     }
     got = {(r.table_id, r.row_idx): r for r in table_roles.headerless_records(cells_of(spark, tables)).collect()}
     assert sorted(got) == [(1, 1), (1, 4), (3, 2)]
@@ -93,7 +93,7 @@ def test_headerless_records(spark):
 
 def test_sheet_index(spark):
     tables = {
-        1: [["No", "Sheet No", "Rev", "Title", "Sheet Name"], ["1", "E101", "a", "Lighting plan", "z"], ["2", "e1.1a", "", " Power \n plan ", ""], ["3", "bad code", "", "x", ""], ["4", "E1\nE2", "", "One\nTwo", ""], ["5", "E3\nE4", "", "One", ""]],
+        1: [["No", "Sheet No", "Rev", "Title", "Size"], ["1", "E101", "a", "Lighting plan", "z"], ["2", "e1.1a", "", " Power \n plan ", ""], ["3", "bad code", "", "x", ""], ["4", "E1\nE2", "", "One\nTwo", ""], ["5", "E3\nE4", "", "One", ""]],
         2: [["E100", "Cover sheet of the project"], ["E200", "Lighting plan of level one"]],
         3: [["", ""], ["x", "y"]],
         4: [["only", "one row"]],
