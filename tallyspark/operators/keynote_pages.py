@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.written import written
 from . import keynotes, spatial
 from .counting import VIEW, views_of
 
@@ -91,8 +92,9 @@ def symbols(words: DataFrame, segments: DataFrame, numbers: DataFrame, pages: Da
     inside = (F.col("view") == "") | (F.col("x").between(F.col("vx0"), F.col("vx1")) & F.col("y").between(F.col("vy0"), F.col("vy1")))
     drawn = (F.col("x") <= F.col("vx0") + (F.col("vx1") - F.col("vx0")) * DRAWING_RIGHT) & (F.col("y") <= F.col("vy0") + (F.col("vy1") - F.col("vy0")) * DRAWING_BOTTOM)
     candidates = known.join(boxes, "page_id").filter(inside & drawn).select(*VIEW, F.col("_t").alias("number"), "word_index", "x", "y", F.bround(F.col("bottom") - F.col("top"), 1).alias("high"))
+    candidates = written(candidates, "candidates")  # few of the words, read by each step below
     each = candidates.select("page_id", "word_index", "x", "y").distinct()
-    sides = spatial.enclosing_quadrants(each, segments, ["page_id"], "word_index")
+    sides = written(spatial.enclosing_quadrants(each, segments, ["page_id"], "word_index"), "sides")
     many = segments.groupBy("page_id").agg((F.count("*") > dense).alias("_dense")).filter("_dense")
     length = (F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2
     outlines = segments.join(many, "page_id", "left_semi").filter(length.between(9.0, 400.0))
@@ -114,7 +116,7 @@ def all_keynotes(words: DataFrame, segments: DataFrame, pages: DataFrame, views:
     Views of a page share its panel, so their text is read once from the whole page and their
     symbols are counted in each view; a page without views is its own only view.
     """
-    found = entries(sections(words, pages), ["page_id"])
+    found = written(entries(sections(words, pages), ["page_id"]), "entries")
     seen = symbols(words, segments, found, pages, views).groupBy(*VIEW, "number").agg(F.count("*").alias("n"))
     every = found.join(views_of(pages, views).select(*VIEW), "page_id").join(seen, [*VIEW, "number"], "left")
     counted = every.groupBy("page_id", "number").agg(F.first("text").alias("text"), F.first("at").alias("at"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("view", F.coalesce("n", F.lit(0)).alias("n"))))).alias("counts"))

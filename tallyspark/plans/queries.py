@@ -314,7 +314,7 @@ def index_lines(spark, sf_dir):
 
 
 _HARVEST = "regexp_extract_all(text, '\\b([A-Za-z]{1,3}[0-9]+[A-Za-z]?)\\b', 1)"
-_NOTED = "noted AS (SELECT o_orderkey AS page_id, 'SEE E' || o_custkey % 300 || ', a' || o_orderkey % 40 || 'x and LP' || o_custkey % 5 || ' (' || chr(65 + o_orderkey % 26) || o_custkey % 9 || '). fe' || o_custkey || ' 2x4 ' || o_orderstatus || ' N1234567' AS text FROM orders)"
+_NOTED = "noted AS (SELECT o_orderkey AS page_id, 'SEE E' || o_custkey % 300 || ', a' || o_orderkey % 40 || 'x and LP' || o_custkey % 5 || ' (' || chr(CAST(65 + o_orderkey % 26 AS INT)) || o_custkey % 9 || '). fe' || o_custkey || ' 2x4 ' || o_orderstatus || ' N1234567' AS text FROM orders)"
 
 
 @query(f"WITH {_NOTED} SELECT page_id, code FROM (SELECT DISTINCT page_id, upper(unnest({_HARVEST})) AS code FROM noted) WHERE length(code) <= 6 AND NOT regexp_matches(code, '^(FE|SS|TR|JR|LP|CS|DP|VFD|UPS)[0-9]')")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..operators import corrections as corr
 from ..operators import counting, dedup, keynote_pages, quality, table_roles, tables
+from ..sources.written import written
 from .stages import StageTables
 
 FIELDS = ["description", "fixture_style", "voltage", "mounting", "lumens", "cct", "dimming", "max_va"]
@@ -35,11 +36,12 @@ class Takeoff:
     def run(self, version: int, before: dict[str, int] | None = None) -> dict[str, int]:
         """The version of each table. With the versions of an earlier run only what the corrections
         make stale is computed; without any correction nothing but the quality is."""
-        stale = None
-        if before is not None:
-            found = corr.target_stages(self.events).first()
-            stale = {t for s in ([int(x) for x in found.stages.split(",")] if found else [5]) for t in TABLES[s]}
-        return self.stages.run(version, stale, before)
+        return self.stages.run(version, None if before is None else self.stale(), before)
+
+    def stale(self) -> set[str]:
+        """The tables that the corrections make stale."""
+        found = corr.target_stages(self.events).first()
+        return {t for s in ([int(x) for x in found.stages.split(",")] if found else [5]) for t in TABLES[s]}
 
     def table(self, name: str, versions: dict[str, int]) -> DataFrame:
         return self.stages.table(name, versions)
@@ -61,11 +63,12 @@ class Takeoff:
         on = done["page_types"].filter("page_type IN ('schedule', 'lighting_plan')").select("page_id")
         cells = self.inputs["cells"].join(on, "page_id", "left_semi").drop("page_id")
         lights = tables.table_kind(cells).filter("luminaire").select("table_id")
-        cells = cells.join(lights, "table_id", "left_semi")
-        heads = tables.header_rows(cells)
+        cells = written(cells.join(lights, "table_id", "left_semi"), "cells")
+        heads = written(tables.header_rows(cells), "heads")
         headed = tables.records(cells, heads, ["code", *FIELDS])
         bare = table_roles.headerless_records(cells.join(heads, "table_id", "left_anti"))
         every = headed.select("table_id", "row_idx", "code", *FIELDS).unionByName(bare.select("table_id", "row_idx", "code", *FIELDS))
+        every = written(every, "records")
         panels = tables.panel_tables(every)
         every = every.join(panels, "table_id", "left_anti").withColumn("seq", F.struct("table_id", "row_idx"))
         best = dedup.keep_most_complete(every, "code", FIELDS, "seq").withColumn("source_key", F.lit("one")).select("source_key", "code", *[F.coalesce(f, F.lit("")).alias(f) for f in FIELDS])

@@ -14,7 +14,7 @@ def inputs(spark):
         (1, 10): [["Sheet No", "Title"], ["E200", "Lighting plan level 1"], ["E201", "Lighting plan roof"], ["E600", "Schedules"]],
         (2, 20): [["Light fixture schedule", "", ""], ["Mark", "Description", "Voltage"], ["A1", "Recessed troffer", "277"], ["B2", "Wall light", ""], ["NOTES", "x", ""]],
         (2, 21): [["Fixture schedule", ""], ["C3 1", "Recessed downlight of six inches", "120"], ["A1", "x", ""]],
-        (3, 30): [["Mark", "Lamp", "Voltage"], ["a", "b", "c"]],
+        (3, 30): [["Mark", "Lamp", "Voltage"], ["", "b", "c"]],
     }
     placed = [(3, "A1", 100, 100), (3, "A1", 600, 100), (3, "B2", 100, 300), (3, "A1", 310, 510), (4, "A1", 100, 100), (4, "C3", 200, 200), (2, "A1", 500, 500)]
     words = words_of(4, PANEL, 720.0, top=20.0) + [(4, 5000, "1", 97.0, 103.0, 396.0, 404.0)]
@@ -35,9 +35,15 @@ def held(takeoff, versions):
     return {t: sorted(map(str, takeoff.table(t, versions).collect())) for t in versions}
 
 
-def test_whole_run(spark, inputs, tmp_path):
-    takeoff = Takeoff(spark, f"file://{tmp_path}", inputs)
-    versions = takeoff.run(1)
+@pytest.fixture(scope="module")
+def first(spark, inputs, tmp_path_factory):
+    root = f"file://{tmp_path_factory.mktemp('takeoff')}"
+    takeoff = Takeoff(spark, root, inputs)
+    return root, takeoff, takeoff.run(1)
+
+
+def test_whole_run(first):
+    _, takeoff, versions = first
     assert {r.code: r.page_type for r in takeoff.table("page_types", versions).collect()}["E201"] == "lighting_plan"  # from the index
     assert {r.code: (r.description, r.voltage) for r in takeoff.table("fixtures", versions).collect()} == {"A1": ("Recessed troffer", "277"), "B2": ("Wall light", ""), "C3": ("Recessed downlight of six inches", "120")}
     got = {(r.plan, r.code): r.n for r in takeoff.table("counts", versions).collect()}
@@ -45,23 +51,27 @@ def test_whole_run(spark, inputs, tmp_path):
     assert {(r.page_id, r.number): r.total for r in takeoff.table("keynotes", versions).collect()} == {(4, "1"): 1, (4, "2"): 0}
     row = takeoff.table("quality", versions).first()
     assert (row.fixture_types, row.total_fixtures, row.lighting_plans, row.keynotes) == (3, 5, 2, 2) and 0.8 < row.overall_confidence < 1
-    assert takeoff.run(2, versions) == {**versions, "quality": 2}  # nothing else is stale
 
 
 @pytest.mark.parametrize(
     "events, again",
     [
-        ([("remove", "B2", None, None, None, None), ("add", "X9", None, None, None, None)], {"fixtures", "positions", "counts", "quality"}),
-        ([("count_override", "A1", "E200-L", None, "7", None), ("count_override", "A1", "E200-L", None, "4", None)], {"positions", "counts", "quality"}),
+        ([("remove", "B2", None, None, None, None), ("add", "X9", None, None, None, None), ("count_override", "A1", "E200-L", None, "7", None)], {"fixtures", "positions", "counts", "quality"}),
         ([("update_spec", "A1", None, "voltage", "120", None)], {"fixtures", "quality"}),
-        ([("reclassify_page", "4", None, None, None, "detail")], None),
     ],
 )
-def test_partial_reruns_equal_full_ones(spark, inputs, tmp_path, events, again):
-    first = Takeoff(spark, f"file://{tmp_path}", inputs)
-    before = first.run(1)
+def test_partial_reruns_equal_full_ones(spark, inputs, first, events, again):
+    root, _, before = first
     changes = spark.createDataFrame([(k, *e) for k, e in enumerate(events)], "seq long, action string, fixture_code string, sheet string, field string, value string, page_type string")
-    takeoff = Takeoff(spark, f"file://{tmp_path}", inputs, changes)
+    takeoff = Takeoff(spark, root, inputs, changes)
+    assert takeoff.stale() == again
     partly, whole = takeoff.run(2, before), takeoff.run(3)
-    assert {t for t, v in partly.items() if v == 2} == (again or set(partly))
+    assert {t for t, v in partly.items() if v == 2} == again
     assert held(takeoff, partly) == held(takeoff, whole) != held(takeoff, before)
+
+
+def test_stale_tables(spark, inputs):
+    event = lambda *e: Takeoff(spark, "file:///none", inputs, spark.createDataFrame([(1, *e)], "seq long, action string, fixture_code string")).stale()
+    assert event("reclassify_page", "4") == {"page_types", "fixtures", "positions", "counts", "keynotes", "quality"}
+    assert event("keynote_count_override", "1") == {"keynotes", "quality"}
+    assert Takeoff(spark, "file:///none", inputs).stale() == {"quality"}
