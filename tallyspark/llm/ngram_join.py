@@ -28,6 +28,7 @@ a null id has no component; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -405,10 +406,24 @@ def joined_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
     return saved(known.join(moved, "component", "left").select("id", F.coalesce("_to", "component").alias("component")), "components")
 
 
-def one_of_each_group(documents: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def one_of_each_group(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that are the smallest id of their component; all columns stay.
 
-    A document with a null id is a group of its own and stays.
+    Ids cannot tell rows apart that share one or have none. Of those, a row whose words are
+    those of another kept row goes, whatever their ids; what has no words stays.
     """
-    others = near_duplicates(documents, id_col=id_col, **options).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_other"))
-    return documents.join(others.distinct(), F.col(id_col) == F.col("_other"), "left_anti")
+    others = near_duplicates(documents, id_col=id_col, text_col=text_col, **options).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_other"))
+    kept = documents.join(others.distinct(), F.col(id_col) == F.col("_other"), "left_anti")
+    unsure = saved(documents.groupBy(F.col(id_col).alias("_unsure")).count().filter("count > 1 OR _unsure IS NULL").select("_unsure"), "unsure-ids")
+    if unsure.isEmpty():
+        discard(unsure)
+        return kept
+    # words as the join reads them
+    words = F.trim(F.regexp_replace(F.translate(text_col, string.ascii_uppercase, string.ascii_lowercase), r"[\x20\x09-\x0D]+", " "))
+    marked = kept.withColumn("_words", F.sha2(F.nullif(words, F.lit("")).cast("binary"), 256))
+    sure = marked.join(unsure, F.col(id_col) == F.col("_unsure"), "left_anti").filter(F.col(id_col).isNotNull())
+    loose = marked.join(unsure, F.col(id_col).eqNullSafe(F.col("_unsure")), "left_semi")
+    first = Window.partitionBy("_words").orderBy(F.asc_nulls_last(id_col))  # the limit below is kept by each task before rows move
+    copies = loose.filter("_words IS NOT NULL").withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k")
+    fresh = copies.join(sure.select("_words"), "_words", "left_anti")
+    return sure.unionByName(fresh).unionByName(loose.filter("_words IS NULL")).select(*documents.columns)
