@@ -60,6 +60,8 @@ CUES = re.compile(
 )
 #: Marks of the page's header; an article's own header holds its title and stays.
 HEADER_CUES = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
+#: Words that a cue may stand with in the name of a box.
+BOXES = frozenset("area bar block box button buttons container form inner links list outer post posts section slot unit wrap wrapper".split())
 #: Words that tell how a page is laid out or filed, not what an element is.
 ABOUT = re.compile(r"(?:no|has|with|without|hide|show|category|cat|tag|topic|format|type|status)-", re.I)
 #: Entire words that mark even an ``article`` or ``main`` as none.
@@ -73,13 +75,17 @@ MAIN = frozenset(["article", "main"])
 def is_cue(name: str, words: list[str], in_main: bool) -> bool:
     """Whether the words of class, id and role mark the element as no article.
 
-    A cue between hyphens counts for neither an ``article`` nor a content block.
+    A cue between hyphens counts for neither an ``article`` nor a content block. Within the
+    article only an entire word does, or one made of nothing but cues and boxes: a section on
+    ``side-effects`` is part of the article, a ``share-buttons`` box is not.
     """
     if name in MAIN:
         return any(w.lower() in NO_ARTICLE for w in words)
     if not in_main and any(w.lower() in CONTENT for w in words):
         return any("-" not in w and (CUES.fullmatch(w) or HEADER_CUES.fullmatch(w)) for w in words)
-    return any(CUES.search(w) or (not in_main and HEADER_CUES.search(w)) for w in words)
+    if in_main:
+        return any(CUES.fullmatch(w) or all(x.lower() in BOXES or CUES.fullmatch(x) for x in parts) and any(CUES.fullmatch(x) for x in parts) for w in words for parts in [re.split("[-_]+", w.strip("-_"))])
+    return any(CUES.search(w) or HEADER_CUES.search(w) for w in words)
 
 
 def blocks(html: str) -> list[tuple[str, bool, bool]]:

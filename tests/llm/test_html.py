@@ -167,3 +167,13 @@ def test_copied_articles_stay_whole(spark):
 def test_columns_of_the_input_with_the_result_s_names(spark):
     table = spark.createDataFrame([(1, "http://h.org/", "<p>one</p>", "x", 5)], SCHEMA + ", text string, n_words int")
     assert [tuple(r) for r in main_text(table).collect()] == [(1, "http://h.org/", "one", 0, 1)]
+
+
+def test_article_parts_named_with_a_cue_between_hyphens_stay():
+    from tallyspark.llm.html_text import blocks
+
+    for part in ('<div class="side-effects">x</div>', '<p class="share-price">x</p>', '<section id="search-engines">x</section>', '<ul class="menu-items"><li>x</ul>', '<div class="reply-brief">x</div>', '<table class="comment-table"><tr><td>x</table>'):
+        for outer in ("article", "main"):
+            assert [b[0] for b in blocks(f"<{outer}>{part}</{outer}>") if not b[2]] == ["x"]
+    boxes = '<div class="ad-slot">a</div><div class="comments">b</div><div class="social-share">c</div><div class="comment-list">d</div><ul class="menu">e</ul>'
+    assert [b[0] for b in blocks(f"<article><p>text</p>{boxes}</article>") if not b[2]] == ["text"]
