@@ -26,8 +26,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of near copies.
 
-    Rows with a null id stay, each on its own; rows that share an id are one document and
-    stay or go together; documents too short for a shingle stay unless another one has
+    Rows with a null id stay unless a kept row has the same words; of rows that share an id
+    and have the same words one stays; documents too short for a shingle stay unless another one has
     the same words; an empty table stays empty.
     """
     from tallyspark.llm.ngram_join import one_of_each_group
