@@ -1,8 +1,8 @@
 """Ranked lexical search with max trees over document ranges.
 
 The index is a table of shards. A shard holds the postings of a range of documents and, for
-every term, a tree over ever smaller ranges of them: each node stores the largest
-contribution that the term makes to any document of its range. A search starts at the
+every term, a tree over ever smaller ranges of them: each node stores the largest share of its
+weight that the term contributes to any document of its range. A search starts at the
 shard's root and always opens the node with the highest sum of its terms' maxima; it ends
 when no open node reaches the worst of the ``k`` best documents so far. Nodes that just
 reach it are opened too, as they may hold a document of equal score and smaller id.
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -42,6 +43,10 @@ from .common import discard, saved
 TERMS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in bytes(range(256)).lower())
 
 
+#: Documents whose postings are gathered at once.
+SLICE = 256
+
+
 def terms(text: bytes | None) -> list[bytes]:
     return text.translate(TERMS).split() if text else []
 
@@ -51,17 +56,22 @@ def _postings(number: dict[bytes, int]) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, at, flat, tfs = [], [0], [], []
-            for text in batch.column("_text"):
-                words = terms(text.as_py())
-                found = Counter(map(number.get, words))
-                found.pop(None, None)
-                sizes.append(len(words))
-                flat += found.keys()
-                tfs += found.values()
-                at.append(len(flat))
-            offsets = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(tfs, pa.int32()))], names=["_id", "n", "terms", "tfs"])
+            for first in range(0, batch.num_rows, SLICE):
+                yield described(batch.slice(first, SLICE))
+
+    def described(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sizes, at, flat, tfs = [], [0], array("i"), array("i")
+        for text in batch.column("_text"):
+            words = terms(text.as_py())
+            found = Counter(map(number.get, words))
+            found.pop(None, None)
+            sizes.append(len(words))
+            flat.extend(found.keys())
+            tfs.extend(found.values())
+            at.append(len(flat))
+        offsets = pa.array(at, pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.array(x, np.int32))) for x in (flat, tfs)]
+        return pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sizes, pa.int64()), *lists], names=["_id", "n", "terms", "tfs"])
 
     return run
 
@@ -112,7 +122,7 @@ def best_first(levels: list[tuple], weight: np.ndarray, k: int, floor: int, leaf
     return [(score, -at) for score, at in top]
 
 
-def _shards(weight: np.ndarray, documents: int, length: int, shard_postings: int, leaf: int, fan: int, id_type: pa.DataType) -> Callable:
+def _shards(documents: int, length: int, shard_postings: int, leaf: int, fan: int, id_type: pa.DataType) -> Callable:
     """Rows of postings to rows of shards. Documents of a shard go by id."""
 
     def shard(number: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -122,8 +132,8 @@ def _shards(weight: np.ndarray, documents: int, length: int, shard_postings: int
         starts = np.r_[0, np.cumsum(pc.list_value_length(of).to_numpy(zero_copy_only=False))].astype(np.int64)
         term, tf = of.flatten().to_numpy().astype(np.int32), tfs.flatten().to_numpy().astype(np.int64)
         m = np.array([75 + 25 * n * documents // length for n in table.column("n").to_pylist()], np.int64)
-        best = weight[term] * ((1_000_000_000 * tf) // (1000 * tf + 12 * np.repeat(m, np.diff(starts))))
-        levels = [{"starts": s.astype("<i8").tobytes(), "terms": t.astype("<i4").tobytes(), "best": b.astype("<i8").tobytes()} for s, t, b in max_tree(starts, term, best, leaf, fan)]
+        best = ((1_000_000_000 * tf) // (1000 * tf + 12 * np.repeat(m, np.diff(starts)))).astype(np.int32)  # below 10**6
+        levels = [{"starts": s.astype("<i8").tobytes(), "terms": t.astype("<i4").tobytes(), "best": b.astype("<i4").tobytes()} for s, t, b in max_tree(starts, term, best, leaf, fan)]
         level = pa.struct([("starts", pa.binary()), ("terms", pa.binary()), ("best", pa.binary())])
         ids = pa.array([table.column("_id").to_pylist()], pa.list_(id_type))
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), ids, pa.array([levels], pa.list_(level)), pa.array([levels[-1]["terms"]]), pa.array([levels[-1]["best"]])], names=["shard", "ids", "levels", "root_terms", "root_best"])
@@ -148,7 +158,7 @@ def _shards(weight: np.ndarray, documents: int, length: int, shard_postings: int
     return run
 
 
-def _roots(items: list[tuple[np.ndarray, np.ndarray]], size: int) -> Callable:
+def _roots(items: list[tuple[np.ndarray, np.ndarray]], size: int) -> Callable:  # items: (terms, weight of each in the item)
     """Each item's best shard of a task: (item, bound, shard)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +166,7 @@ def _roots(items: list[tuple[np.ndarray, np.ndarray]], size: int) -> Callable:
         weight = np.zeros(size, np.int64)
         for batch in batches:
             for shard, t, b in zip(*(batch.column(c).to_pylist() for c in ("shard", "root_terms", "root_best"))):
-                weight[np.frombuffer(t, "<i4")] = np.frombuffer(b, "<i8")
+                weight[np.frombuffer(t, "<i4")] = np.frombuffer(b, "<i4")
                 for q, (number, count) in enumerate(items):
                     if (bound := int((weight[number] * count).sum())) > best.get(q, (0, 0))[0]:
                         best[q] = (bound, shard)
@@ -173,7 +183,7 @@ def _search(items: list[tuple[np.ndarray, np.ndarray]], size: int, first: dict[i
         weight = np.zeros(size, np.int64)
         for batch in batches:
             for shard, ids, packed in zip(*(batch.column(c) for c in ("shard", "ids", "levels"))):
-                shard, levels = shard.as_py(), [(np.frombuffer(x["starts"], "<i8"), np.frombuffer(x["terms"], "<i4"), np.frombuffer(x["best"], "<i8")) for x in packed.as_py()]
+                shard, levels = shard.as_py(), [(np.frombuffer(x["starts"], "<i8"), np.frombuffer(x["terms"], "<i4"), np.frombuffer(x["best"], "<i4")) for x in packed.as_py()]
                 qs, at, scores = [], [], []
                 for q, (number, count) in enumerate(items):
                     if q not in first or (first[q] == shard) != (floors is None):
@@ -189,7 +199,7 @@ def _search(items: list[tuple[np.ndarray, np.ndarray]], size: int, first: dict[i
     return run
 
 
-def ranked(documents: DataFrame, items: DataFrame, k: int = 20, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", block_bytes: int = 16 << 20, shard_postings: int = 1 << 18, leaf: int = 32, fan: int = 8) -> DataFrame:
+def ranked(documents: DataFrame, items: DataFrame, k: int = 20, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", block_bytes: int = 16 << 20, shard_postings: int = 1 << 16, leaf: int = 32, fan: int = 8) -> DataFrame:
     """(item, rank, id, score): the ``k`` documents of highest score above 0 for each item."""
     docs = documents.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
     asked = items.select(F.col(item_col).alias("_item"), F.col(text_col).cast("binary").alias("_text")).filter("_text IS NOT NULL")
@@ -223,7 +233,8 @@ def _block_ranked(docs: DataFrame, rows: list[tuple], item_type: str, k: int, sh
     documents, length = postings.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
     holding = {r[0]: r[1] for r in postings.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}
     weight = np.array([math.floor(1000 * math.log((2 * documents + 2) / (2 * holding[t] + 1))) if t in holding else 0 for t in range(size)], np.int64)
-    index = saved(postings.mapInArrow(_shards(weight, documents, length, shard_postings, leaf, fan, arrow_id), f"shard long, ids array<{id_type}>, levels array<struct<starts binary, terms binary, best binary>>, root_terms binary, root_best binary"), "index")
+    items = [(t, n * weight[t]) for t, n in items]
+    index = saved(postings.mapInArrow(_shards(documents, length, shard_postings, leaf, fan, arrow_id), f"shard long, ids array<{id_type}>, levels array<struct<starts binary, terms binary, best binary>>, root_terms binary, root_best binary"), "index")
     discard(postings)
     roots = index.select("shard", "root_terms", "root_best").mapInArrow(_roots(items, size), "q int, bound long, shard long")
     first = {r.q: r.top.shard for r in roots.groupBy("q").agg(F.max(F.struct("bound", "shard")).alias("top")).collect()}
