@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 HEADERS = [r"KEY\s*NOTES\s*:", r"KEY\s*NOTES\b", r"KEYED\s+SHEET\s+NOTES?\s*:", r"KEYED\s+SHEET\s+NOTES?\b", r"KEYED\s+PLAN\s+NOTES?\s*:", r"KEYED\s+PLAN\s+NOTES?\b", r"KEYED\s+NOTES\s*:", r"KEYED\s+NOTES\b", r"KEYNOTES\s*:", r"KEYNOTES\b"]
 #: Lines that end the section; fixed values.
 ENDS = [r'^\d+/\d+"\s*=', r"^\s*[A-Z]{2,}\s+[A-Z]{2,}\s+[A-Z]{2,}\s+(LEVEL|PLAN|LAYOUT)", r"^\s*N\s+\d+$", r"^\s*OF$"]
+#: A numbered entry and a fixture named in a text; fixed patterns.
 ENTRY = r"^\s*(\d+)\s*[.):\-]?\s+([A-Z].+)"
 FIXTURE_REFERENCE = r"(?i)(?:TYPE\s+|FIXTURE\s+)?([A-Z]{1,2}\d{1,2})\b"
 

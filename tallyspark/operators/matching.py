@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed values.
 EMERGENCY = ["EMERGENCY", "BATTERY PACK", "BATTERY BACKUP"]
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Fields that a fixture should have, and the weights of the stages.
 IMPORTANT = ["voltage", "mounting", "lumens", "cct"]
 WEIGHTS = {"sheet_index": 0.15, "schedule_extraction": 0.30, "fixture_counting": 0.40, "keynote_extraction": 0.15}
 # Words that are table headings, never codes.

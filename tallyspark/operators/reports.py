@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed values.
 PAGE_TYPES = ["symbols_legend", "lighting_plan", "demolition_plan", "power_plan", "schedule", "detail", "cover", "site_plan", "fire_alarm", "riser", "other"]
 # What a category says of a code.
 SAYINGS = {

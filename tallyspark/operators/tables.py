@@ -20,14 +20,15 @@ HEADINGS = {
 STRONG = ["code", "description", "voltage", "mounting", "lumens"]
 LUMINAIRE = ["luminaire schedule", "light fixture schedule", "lighting schedule", "fixture schedule", "ceiling fan schedule", "fan schedule"]
 OTHER_TABLES = ["lighting control", "control device", "override switch", "floorbox", "poke thru", "panel schedule", "panelboard", "branch panel", "breaker function", "breaker schedule", "motor schedule", "equipment schedule", "equipment connection", "mechanical equipment", "branch circuit", "panel totals", "connected load", "revision", "energy compliance", "circuit description"]
+# Fixed patterns: a panel's name, and what the cells of tables without headings hold.
 PANEL = r"(?<!\bflat\s)(?<!\bled\s)(?<!\bat\s)\bpanel\s+(?!led\b|recessed\b|light\b|lamp\b|troffer\b|luminaire\b)[a-z0-9]"
 CELL_KINDS = [
-    ("cct", r"(?i)(\b\d{4}\s*K\b|\b(30|35|40|50)00\s*(K|LED)\b)", None),
-    ("voltage", r"(?i)(^|\b)(120|277|120/277|347|480|347/600|universal|univ)(\b|$)", 20),
-    ("dimming", r"(?i)\b(dimm|0-10\s*V|DALI|ELV|triac|non[- ]?dim|lutron)\b", None),
-    ("lumens", r"(?i)\b(lumen|lum|lumens)\b|\b\d+\s*lm\b", None),
-    ("mounting", r"(?i)\b(recessed|surface|pendant|wall|ceiling|lay[- ]?in|grid|stem|chain|track|pole|bracket|flush)\b", 30),
-    ("max_va", r"(?i)\b\d+\s*(VA|W|watts?|watt)\b", 15),
+    ("cct", r"(?i)(?:\b\d{4}\s*K\b|\b(?:30|35|40|50)00\s*(?:K|LED)\b)", None),
+    ("voltage", r"(?i)(?:^|\b)(?:120|277|120/277|347|480|347/600|universal|univ)(?:\b|$)", 20),
+    ("dimming", r"(?i)\b(?:dimm|0-10\s*V|DALI|ELV|triac|non[- ]?dim|lutron)\b", None),
+    ("lumens", r"(?i)\b(?:lumen|lum|lumens)\b|\b\d+\s*lm\b", None),
+    ("mounting", r"(?i)\b(?:recessed|surface|pendant|wall|ceiling|lay[- ]?in|grid|stem|chain|track|pole|bracket|flush)\b", 30),
+    ("max_va", r"(?i)\b\d+\s*(?:VA|W|watts?|watt)\b", 15),
 ]
 
 
