@@ -29,6 +29,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
@@ -38,15 +39,23 @@ from pyspark.sql import functions as F
 
 from .common import discard, saved
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Bytes of lower-cased words: ASCII letters and what lies beyond ASCII; all else is a space.
+LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
+SPACES = bytes(32 if b in b"\t\n\v\f\r" else b for b in range(256))
+#: Signs beyond ASCII that are no letters: Latin-1 signs, general punctuation, wide punctuation.
+SIGNS = re.compile(rb"\xc2[\x80-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf]|\xc3[\x97\xb7]|\xe2[\x80-\xaf][\x80-\xbf]|\xe3\x80[\x80-\xbf]|\xef\xbc[\x81-\x8f]")
+#: Bytes that may stand for a letter or cut a word.
+MASK = np.isin(np.arange(256), list(b"0123456789@$!|+*._#%^~-"))
+LETTER = (np.arange(256) >= 97) & (np.arange(256) <= 122)
 RUN = re.compile(r"(.)\1\1+")
-SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){2,}[^\W\d_](?![^\W_])")
-PUNCTUATION = re.compile(r"[!-/:-@\[-`{-~]")
-LOUD = re.compile(r"[!?]")
+LOUD = re.compile(r"\b[A-Z]{2,}\b")
+#: A longer token is not looked at for masks.
+LONGEST = 40
 #: What stands for which letter.
 MASKS = str.maketrans("0134578@$!|+", "oieastbasiit", "*._-#%^~'\"")
 #: Pronouns of the second person, as fixed values.
-YOU = frozenset("you your yours yourself du dich dir dein deine deinen deiner ihr euch euer tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros os".split())
+YOU = frozenset(w.encode() for w in "you your yours yourself du dich dir dein deine deinen deiner ihr euch euer tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros os".split())
+PUNCTUATION = [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]
 NEAR = 6
 FEATURES = ("hits", "hit_words", "strength", "strongest", "hits_per_word", "strength_per_word", "masked_hits", "masked_per_word", "near_you", "you_per_word", "capitals", "loud_words", "exclaimed", "punctuation", "masked_words", "repeats", "digits", "words", "distinct", "word_length")
 
@@ -74,53 +83,73 @@ class Lexicon:
         return Lexicon({f: odds(t, c, toxic, clean) for f, c, t in counts}, ({f: odds(t, c - 1, toxic, clean - 1) for f, c, t in counts}, {f: odds(t - 1, c, toxic - 1, clean) for f, c, t in counts}))
 
 
+def signless(text: str) -> bytes:
+    """Lower-cased bytes with the signs beyond ASCII as spaces."""
+    low = text.lower().encode(errors="replace")
+    return low if text.isascii() else SIGNS.sub(b" ", low)
+
+
 class Describer:
     """Features of texts under one set of weights."""
 
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
-        self.known: dict[str, float] = {}
+        self.known: dict[bytes, float] = {}
 
-    def weight(self, word: str) -> float:
+    def weight(self, word: bytes) -> float:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) >= 1_000_000:
+            if len(self.known) >= 500_000:
                 self.known.clear()
-            found = self.known[word] = max((self.weights.get(f, 0.0) for f in fragments(word)), default=0.0)
+            found = self.known[word] = max(self.weights.get(f, 0.0) for f in fragments(word.decode(errors="replace")))
         return found
 
-    def masked(self, text: str) -> tuple[int, int]:
+    def masked(self, low: bytes, words: list[bytes], count: Counter, starts: np.ndarray) -> tuple[int, int]:
         """(words that hide letters, those of them in the lexicon)."""
-        words = hits = 0
-        for token, n in Counter(text.split()).items():
-            core = token.strip(".,;:!?\"'()[]{}<>|-_*#%&$~")
-            if core.isalpha():
-                plain = RUN.sub(r"\1", core) if len(core) > 3 else core
-                if plain == core:
-                    continue
-            elif not any(c.isalpha() for c in core) or "://" in core or len(core) > 40:
+        low = low.translate(SPACES)
+        tokens: dict[int, bytes] = {}
+        for at in starts.tolist():
+            first = low.rfind(b" ", max(0, at - LONGEST), at + 1) + 1
+            last = low.find(b" ", at, at + LONGEST)
+            last = len(low) if last < 0 and at + LONGEST >= len(low) else last
+            if (first or at < LONGEST) and 0 < last - first <= LONGEST:
+                tokens[first] = low[first:last]
+        seen = hits = 0
+        for token in tokens.values():
+            core = token.decode(errors="replace").strip(".,;:!?\"'()[]{}<>|-_*#%&$~")
+            if "://" in core or "@" in core and "." in core.rpartition("@")[2]:
+                continue
+            plain = RUN.sub(r"\1", core.translate(MASKS))
+            if not plain.isalpha() or plain == core:
                 continue
-            else:
-                plain = RUN.sub(r"\1", core.translate(MASKS))
-                if not plain.isalpha():
-                    continue
-            words += n
-            if self.weight(plain) > 0 and not any(self.weight(w) > 0 for w in WORD.findall(token)):
-                hits += n
-        for run in SPACED.findall(text):
-            words += 1
-            hits += self.weight("".join(WORD.findall(run))) > 0
-        return words, hits
+            seen += 1
+            hits += self.weight(plain.encode()) > 0 and not any(self.weight(w) > 0 for w in token.translate(LETTERS).split())
+        if sum(c for w, c in count.items() if len(w) == 1) < 3:
+            return seen, hits
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        single = np.flatnonzero(np.diff(np.r_[0, size == 1, 0]))
+        for first, last in zip(single[::2].tolist(), single[1::2].tolist()):
+            if last - first >= 3:
+                seen += 1
+                hits += self.weight(b"".join(words[first : min(last, first + LONGEST)])) > 0
+        return seen, hits
 
     def features(self, raw: str | None) -> list[float]:
         raw = raw or ""
-        text = raw.lower()
-        words = WORD.findall(text)
+        low = signless(raw)
+        words = low.translate(LETTERS).split()
         n, length = max(1, len(words)), max(1, len(raw))
         count = Counter(words)
-        hit = {w: (self.weight(w), c) for w, c in count.items() if self.weight(w) > 0}
+        known, weight = self.known.get, self.weight
+        hit = {}
+        for w, c in count.items():
+            x = known(w)
+            if x is None:
+                x = weight(w)
+            if x:
+                hit[w] = (x, c)
         hits, strength = sum(c for _, c in hit.values()), sum(w * c for w, c in hit.values())
-        you = sum(c for w, c in count.items() if w in YOU)
+        you = sum(count[w] for w in YOU & count.keys())
         near = 0
         if hits and you:
             at = [k for k, w in enumerate(words) if w in YOU]
@@ -128,13 +157,22 @@ class Describer:
                 if w in hit:
                     p = bisect_left(at, k - NEAR)
                     near += p < len(at) and at[p] <= k + NEAR
-        hidden, hidden_hits = self.masked(text)
-        letters = sum(map(len, words))
-        upper = sum(c.isupper() for c in raw) if raw != text else 0
-        loud = sum(w.isupper() and len(w) > 1 for w in WORD.findall(raw)) if upper else 0
+        bytes_ = np.frombuffer(raw.encode(errors="replace"), np.uint8)
+        of = np.bincount(bytes_, minlength=256)
+        capitals = int(of[65:91].sum())
+        letters = capitals + int(of[97:123].sum() + of[0xC3:].sum())
+        if of[0xC3]:
+            capitals += int(((bytes_[:-1] == 0xC3) & (bytes_[1:] >= 0x80) & (bytes_[1:] <= 0x9E) & (bytes_[1:] != 0x97)).sum())
+        loud = len(LOUD.findall(raw)) if capitals > 1 else 0
+        b = np.frombuffer(low, np.uint8)
+        letter, equal = LETTER[b], b[1:] == b[:-1]
+        same = equal[1:] & equal[:-1] & letter[2:]
+        same[1:] &= ~same[:-1].copy()  # the first place of each run
+        runs = np.flatnonzero(same)
+        hidden, hidden_hits = self.masked(low, words, count, np.concatenate([runs, np.flatnonzero(MASK[b[:-1]] & letter[1:])]))
         return [
             float(hits), float(len(hit)), strength, max((w for w, _ in hit.values()), default=0.0), hits / n, strength / n, float(hidden_hits), hidden_hits / n, near / max(1, hits), you / n,
-            upper / max(1, letters), loud / n, len(LOUD.findall(raw)) / n, len(PUNCTUATION.findall(raw)) / length, hidden / n, sum(1 for _ in RUN.finditer(text)) / n, sum(c.isdigit() for c in raw) / length, math.log1p(len(words)), len(count) / n, letters / n,
+            capitals / max(1, letters), loud / n, int(of[33] + of[63]) / n, int(of[PUNCTUATION].sum()) / length, hidden / n, len(runs) / n, int(of[48:58].sum()) / length, math.log1p(len(words)), len(count) / n, letters / n,
         ]
 
 
@@ -147,7 +185,7 @@ def _fragment_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     held: dict[str, list[int]] = {}
     for batch in batches:
         for text, toxic in zip(batch.column("_text"), batch.column("_toxic").to_pylist()):
-            for f in {f for w in set(WORD.findall((text.as_py() or "").lower())) for f in fragments(w)}:
+            for f in {f for w in set(signless(text.as_py() or "").translate(LETTERS).split()) for f in fragments(w.decode(errors="replace"))}:
                 held.setdefault(f, [0, 0])[toxic] += 1
             if len(held) > 300_000:
                 yield flushed(held)
