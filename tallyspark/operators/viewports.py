@@ -32,14 +32,29 @@ def titles_of_words(words: DataFrame, page: str, width: float, tolerance: float
     return named.filter(F.col("text").rlike(LIGHTING) | F.col("text").rlike(NON_LIGHTING)).select(page, "text", "cx", "cy", (~F.col("text").rlike(NON_LIGHTING)).alias("lighting"))
 
 
+def cropped_titles(words: DataFrame, page: str, width: float, height: float) -> DataFrame:
+    """(page, region, text, cx, cy, lighting): titles of the bottom band and of the page left of
+    the notes, each read from the words that lie wholly in it, so that a word outside does not join
+    a line inside."""
+    within = (F.col("x0") >= 0) & (F.col("top") >= 0) & (F.col("bottom") <= height)
+    band = within & (F.col("x1") <= width * BAND_RIGHT) & (F.col("top") >= height * BAND_TOP) & (F.col("bottom") <= height * BAND_BOTTOM)
+    whole = within & (F.col("x1") <= width * WHOLE_RIGHT)
+    regions = F.filter(F.array(F.when(band, "band"), F.when(whole, "whole")), lambda r: r.isNotNull())
+    keyed = words.withColumn("region", F.explode(regions)).withColumn("_pr", F.struct(page, "region"))
+    return titles_of_words(keyed, "_pr", width).select(f"_pr.{page}", "_pr.region", "text", "cx", "cy", "lighting")
+
+
 def split_pages(titles: DataFrame, page: str, width: float, height: float) -> DataFrame:
     """Adds ``grid`` to the titles of pages with two lighting titles or more that lie apart.
 
     The titles in the bottom band are taken if two of them are lighting; else those of
-    the whole page left of the notes that carry a qualifier (``grid``).
+    the whole page left of the notes that carry a qualifier (``grid``). Titles with a
+    ``region`` are of the region that they were read from, others of those that hold their centre.
     """
     in_band = (F.col("cx") <= width * BAND_RIGHT) & F.col("cy").between(height * BAND_TOP, height * BAND_BOTTOM)
     on_page = (F.col("cx") <= width * WHOLE_RIGHT) & F.col("text").rlike(QUALIFIER)
+    if "region" in titles.columns:
+        in_band, on_page = F.col("region") == "band", (F.col("region") == "whole") & F.col("text").rlike(QUALIFIER)
     per_page = Window.partitionBy(page)
     counted = titles.withColumns({"_b": in_band, "_p": on_page}).withColumns({"_nb": F.count_if(F.col("_b") & F.col("lighting")).over(per_page), "_np": F.count_if(F.col("_p") & F.col("lighting")).over(per_page)})
     chosen = counted.filter(F.when(F.col("_nb") >= 2, F.col("_b")).otherwise((F.col("_np") >= 2) & F.col("_p"))).withColumn("grid", F.col("_nb") < 2)

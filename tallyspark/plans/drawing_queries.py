@@ -63,6 +63,29 @@ def viewport_boxes(spark, sf_dir):
     return boxes.select("page_id", "text", *[F.round(c, 4).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
+_OF_WORDS = f"""{_TITLES}, w AS (SELECT page_id, n * 100 + j - 1 AS word_index, string_split(text, ' ')[j] AS text, x + (j - 1) * 30 AS x0, x + (j - 1) * 30 + 25 AS x1, y AS top, y + 10 AS bottom FROM (SELECT *, unnest(range(1, len(string_split(text, ' ')) + 1)) AS j FROM tt)),
+wr AS (SELECT *, unnest(list_filter([CASE WHEN x1 <= 750 AND top >= 820 AND bottom <= 970 THEN 'band' END, CASE WHEN x1 <= 650 AND bottom <= 1000 THEN 'whole' END], lambda r: r IS NOT NULL)) AS region FROM w),
+wa AS (SELECT *, CASE WHEN abs(top - lag(top) OVER (PARTITION BY page_id, region ORDER BY top, x0, word_index)) > 5 THEN 1 ELSE 0 END AS jump FROM wr),
+wb AS (SELECT *, sum(jump) OVER (PARTITION BY page_id, region ORDER BY top, x0, word_index) AS line FROM wa),
+wc AS (SELECT *, CASE WHEN x0 - lag(x1) OVER (PARTITION BY page_id, region, line ORDER BY x0, word_index) > 30 THEN 1 ELSE 0 END AS cut FROM wb),
+wd AS (SELECT *, sum(cut) OVER (PARTITION BY page_id, region, line ORDER BY x0, word_index) AS seg FROM wc),
+we AS (SELECT page_id, region, string_agg(text, ' ' ORDER BY x0, word_index) AS text, avg((x0 + x1) / 2) AS cx, avg((top + bottom) / 2) AS cy FROM wd GROUP BY page_id, region, line, seg),
+m AS (SELECT page_id, text, cx, cy, NOT regexp_matches(text, {_OTHER}) AS lighting, region = 'band' AS b, region = 'whole' AND regexp_matches(text, 'level|floor|area|enlarged|partial|basement|mezzanine|roof|penthouse|garage|upper|lower|main', 'i') AS p FROM we WHERE regexp_matches(text, {_LIGHT}) OR regexp_matches(text, {_OTHER})),
+k AS """ + _ENDS.partition("\nk AS ")[2]
+
+
+@query(f"""WITH {_OF_WORDS}, en AS (SELECT page_id, r, min(cx) AS f, max(cx) AS z FROM li GROUP BY 1, 2)
+SELECT page_id, text, round(coalesce((l + cx) / 2, ((SELECT max(q.cx) FROM rw q WHERE q.page_id = li.page_id AND q.r = li.r AND NOT q.lighting AND q.grid AND q.cx < en.f) + cx) / 2, 0), 4) AS x0, round(coalesce(he.y0, 0), 4) AS y0,
+ round(coalesce((cx + nx) / 2, (cx + (SELECT min(q.cx) FROM rw q WHERE q.page_id = li.page_id AND q.r = li.r AND NOT q.lighting AND q.cx > en.z)) / 2, 1000), 4) AS x1, round(coalesce(he.y1, 1000), 4) AS y1
+FROM li JOIN he USING (page_id, r) JOIN en USING (page_id, r)""")
+def viewport_boxes_of_words(spark, sf_dir):
+    """From the words of a page to its viewports."""
+    rows = placed_titles(spark, sf_dir).select("page_id", "n", "x", "y", F.posexplode(F.split("text", " ")).alias("j", "text"))
+    words = rows.select("page_id", (F.col("n") * 100 + F.col("j")).alias("word_index"), "text", (F.col("x") + F.col("j") * 30).alias("x0"), (F.col("x") + F.col("j") * 30 + 25).alias("x1"), F.col("y").alias("top"), (F.col("y") + 10).alias("bottom"))
+    titles = viewports.split_pages(viewports.cropped_titles(words, "page_id", 1000.0, 1000.0), "page_id", 1000.0, 1000.0)
+    return viewports.boxes_of_titles(titles, "page_id", 1000.0, 1000.0).select("page_id", "text", *[F.round(c, 4).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
 # --- texts of pages with a keynotes section, from orders
 
 _SECTION = """pg AS (SELECT o_orderkey AS page_id, 'General text' || chr(10) || ([' KEY NOTES:', 'KEYED SHEET NOTES', 'Key  Notes', 'KEYED NOTES: all', 'NOTES'])[1 + o_orderkey % 5] || chr(10) ||

@@ -19,7 +19,7 @@ def with_status(events: DataFrame, event: str = "event_type") -> DataFrame:
 
 
 def final_state(events: DataFrame, key: str, seq: str) -> DataFrame:
-    """Batch form: per key the first ending status, else the last status, and the number of events up to it."""
+    """Batch form: per key the first ending status, else the last status, and the number of all its events."""
     s = with_status(events)
     ended = F.min(F.when(F.col("status").isin(FINAL), F.col(seq)))
     per = s.groupBy(key).agg(ended.alias("_end"), F.min_by("status", F.when(F.col("status").isin(FINAL), F.col(seq))).alias("_ending"), F.max_by("status", seq).alias("_last"), F.count("*").alias("events"))
