@@ -57,7 +57,6 @@ def test_whole_run(first):
     "events, again",
     [
         ([("remove", "B2", None, None, None, None), ("add", "X9", None, None, None, None), ("count_override", "A1", "E200-L", None, "7", None)], {"fixtures", "positions", "counts", "quality"}),
-        ([("update_spec", "A1", None, "voltage", "120", None)], {"fixtures", "quality"}),
     ],
 )
 def test_partial_reruns_equal_full_ones(spark, inputs, first, events, again):
@@ -74,4 +73,5 @@ def test_stale_tables(spark, inputs):
     event = lambda *e: Takeoff(spark, "file:///none", inputs, spark.createDataFrame([(1, *e)], "seq long, action string, fixture_code string")).stale()
     assert event("reclassify_page", "4") == {"page_types", "fixtures", "positions", "counts", "keynotes", "quality"}
     assert event("keynote_count_override", "1") == {"keynotes", "quality"}
+    assert event("update_spec", "A1") == {"fixtures", "quality"}
     assert Takeoff(spark, "file:///none", inputs).stale() == {"quality"}
