@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
@@ -49,3 +50,12 @@ def discard(*tables: DataFrame | None) -> None:
             spark = df.sparkSession
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget_pieces() -> None:
+    """Drops the pieces that a tokenizing task has left in this Python worker.
+
+    Spark gives its workers to the next stage; a task that does not tokenize needs the memory itself.
+    """
+    if tokens := sys.modules.get("tallyspark.llm.tokens"):
+        tokens._encoders.clear()

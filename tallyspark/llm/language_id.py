@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytehash
+from .common import forget_pieces
 
 BITS = 15
 #: Families of languages, as fixed values; a language without an entry is its own family.
@@ -60,6 +61,7 @@ def learned_from(id_col: Column) -> Column:
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Trigram counts of each text as (features, counts)."""
+    forget_pieces()
     for batch in batches:
         for first, last, raw, rows in bytehash.slices(batch.column("_text")):
             feature, at = trigrams(raw, rows)
@@ -165,6 +167,7 @@ def predict(model: Model | None, raw: np.ndarray, rows: np.ndarray) -> tuple[np.
 
 def _predictions(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_pieces()
         for batch in batches:
             texts = batch.column("_text")
             for first, last, raw, rows in bytehash.slices(texts):
