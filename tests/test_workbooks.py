@@ -29,3 +29,10 @@ def test_titles_are_read_from_cropped_words(spark):
     df = spark.createDataFrame([(p, k, t, a, b, 500.0, 510.0) for p, k, t, a, b in words], "page_id int, word_index int, text string, x0 double, x1 double, top double, bottom double")
     assert [(r.region, r.text) for r in viewports.cropped_titles(df, "page_id", 1000.0, 1000.0).collect()] == [("whole", "LIGHTING PLAN")]
     assert [r.text for r in viewports.titles_of_words(df, "page_id", 1000.0).collect()] == ["LIGHTING PLAN AREA NOTE"]
+
+
+def test_no_join_passes_the_driver(spark):
+    """Headings, ends and figures grow with the workbooks: no join sends them to every executor."""
+    cells = spark.range(40).selectExpr("concat('B', id div 4) AS workbook", "'Fixture Inventory' AS sheet", "cast(id % 2 AS int) AS row_idx", "cast(id div 2 % 2 AS int) AS col_idx", "'Type' AS text")
+    for df in (workbooks.fixtures(cells), workbooks.fixture_counts(cells), workbooks.dashboard_index(cells)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
