@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.written import written
+
 # Fixed values, in points or as parts of the page.
 CHAR_GAP, CHAR_DY, BOUNDARY = 6.0, 3.0, 5.0
 BORDER, LEGEND_X, TITLE_X, TITLE_Y = 0.02, 0.85, 0.80, 0.85
@@ -30,7 +34,43 @@ def spelled(glyphs: DataFrame, codes: list[str], page: str = "page_id") -> DataF
     one = F.struct("text", "x0", "x1", "top")
     more = ["bottom"] if "bottom" in glyphs.columns else []
     wide = glyphs.select(page, "char_index", "x0", "top", "size", *more, one.alias("_g0"), F.lag(one, 1).over(stream).alias("_before"), *[F.lead(one, k).over(stream).alias(f"_g{k}") for k in range(1, longest + 1)])
-    seen = wide.filter(F.col("_g0.text").isin(sorted({c[0] for c in codes})))
+    return _spelled_from(wide.filter(F.col("_g0.text").isin(sorted({c[0] for c in codes}))), codes, page, more)
+
+
+def spelled_in_runs(runs: DataFrame, codes: list[str], page: str = "page_id", glyph: Callable[[Column], Column] | None = None) -> DataFrame:
+    """As ``spelled``, from runs (page, glyphs): arrays of the glyphs (char_index, text, x0, x1, top,
+    size and perhaps bottom) of a stretch of the page's stream, in their order.
+
+    Where a glyph follows from its place, runs may have ``texts``, an array of characters, instead, and
+    ``glyph`` gives the glyph at a place (from 0). A run is whole: no glyph of it touches one of another run, as with lines of text. Its
+    glyphs do not move, only those that begin a code become rows.
+    """
+    longest, firsts = max(map(len, codes)), sorted({c[0] for c in codes})
+    if glyph is None:
+        runs, glyph = runs.withColumn("texts", F.transform("glyphs", lambda g: g["text"])), lambda i: F.get("glyphs", i)
+    texts = runs.filter(F.size("texts") > 0)
+
+    def begins(i: Column) -> Column:
+        hit = F.lit(False)
+        for code in codes:
+            same = F.get("texts", i) == code[0]
+            for k, c in enumerate(code[1:], 1):
+                same = same & (F.get("texts", i + k) == c)
+            hit = hit | same
+        return F.get("texts", i).isin(firsts) & hit
+
+    def around(i: Column) -> Column:
+        held = lambda k: F.when((i + k >= 0) & (i + k < F.size("texts")), glyph(i + k))
+        return F.struct(held(-1).alias("_before"), *[held(k).alias(f"_g{k}") for k in range(longest + 1)])
+
+    placed = texts.withColumn("_at", F.filter(F.sequence(F.lit(0), F.size("texts") - 1), begins))
+    seen = placed.select(page, F.inline(F.transform("_at", around)))
+    more = ["bottom"] if "bottom" in seen.schema["_g0"].dataType.names else []
+    return _spelled_from(seen.select("*", *[F.col(f"_g0.{c}").alias(c) for c in ("char_index", "x0", "top", "size", *more)]), codes, page, more)
+
+
+def _spelled_from(seen: DataFrame, codes: list[str], page: str, more: list[str]) -> DataFrame:
+    """The codes that begin at the glyphs ``_g0``, each with the one before it and those after it."""
 
     def linked(a: str, b: str) -> Column:
         """The next glyph of the same word."""
@@ -65,23 +105,27 @@ def of_modal_size(matches: DataFrame, page: str = "page_id") -> DataFrame:
 
 def isolated(matches: DataFrame, glyphs: DataFrame, page: str = "page_id", reach: float = ISOLATION) -> DataFrame:
     """One-letter matches without another glyph near in their row: glyphs lie in rows
-    of 3 points, and a match looks two rows up and down."""
-    rows = glyphs.select(page, F.col("char_index").alias("_ci"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.explode(F.sequence(F.floor(F.col("top") / 3) - 2, F.floor(F.col("top") / 3) + 2)).alias("_row"))
-    asked = matches.withColumn("_row", F.floor(F.col("top") / 3))
+    of 3 points, and a match looks two rows up and down. The matches, few of the glyphs, are
+    sent to these rows; a glyph goes to its own row only."""
+    found = written(matches, "matches")  # read twice
+    rows = glyphs.select(F.col(page).alias("_p"), F.col("char_index").alias("_ci"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.floor(F.col("top") / 3).alias("_r"))
+    asked = found.select(page, "char_index", "x0", "x1", "top", F.explode(F.sequence(F.floor(F.col("top") / 3) - 2, F.floor(F.col("top") / 3) + 2)).alias("_row"))
     near = (F.col("_ci") != F.col("char_index")) & (F.col("_x1") > F.col("x0") - reach) & (F.col("_x0") < F.col("x1") + reach)
-    return asked.join(rows.withColumnRenamed(page, "_p"), (F.col(page) == F.col("_p")) & (asked["_row"] == rows["_row"]) & near, "left_anti").drop("_row")
+    crowded = asked.join(rows, (F.col(page) == F.col("_p")) & (F.col("_row") == F.col("_r")) & near, "left_semi")
+    return found.join(crowded.select(page, "char_index", "x0", "x1", "top"), [page, "char_index", "x0", "x1", "top"], "left_anti").select(*matches.columns)
 
 
-def cells_around(x: Column, y: Column, size: float) -> Column:
-    """The nine grid cells at and around a point."""
-    cx, cy = F.floor(x / size), F.floor(y / size)
-    return F.flatten(F.transform(F.sequence(cx - 1, cx + 1), lambda a: F.transform(F.sequence(cy - 1, cy + 1), lambda b: F.struct(a.alias("cx"), b.alias("cy")))))
+def cells_around(x: Column, y: Column, radius: float, size: float) -> Column:
+    """The grid cells that points nearer than ``radius`` lie in: one to four where a cell is larger than twice that."""
+    reach = lambda v: F.sequence(F.floor((v - radius) / size), F.floor((v + radius) / size))
+    return F.flatten(F.transform(reach(x), lambda a: F.transform(reach(y), lambda b: F.struct(a.alias("cx"), b.alias("cy")))))
 
 
 def near_pairs(left: DataFrame, right: DataFrame, radius: float, keys: list[str]) -> DataFrame:
     """Rows of ``left`` (x, y) with rows of ``right`` (rx, ry) nearer than ``radius``: an equi-join on grid cells."""
-    a = left.withColumn("_c", F.struct(F.floor(F.col("x") / radius).alias("cx"), F.floor(F.col("y") / radius).alias("cy")))
-    b = right.withColumn("_c", F.explode(cells_around(F.col("rx"), F.col("ry"), radius)))
+    size = 3 * radius  # a right row goes to 2.8 cells on average
+    a = left.withColumn("_c", F.struct(F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy")))
+    b = right.withColumn("_c", F.explode(cells_around(F.col("rx"), F.col("ry"), radius, size)))
     square = (F.col("x") - F.col("rx")) ** 2 + (F.col("y") - F.col("ry")) ** 2
     return a.join(b, [*keys, "_c"]).withColumn("square", square).filter(F.col("square") < radius * radius).drop("_c")
 
@@ -94,14 +138,14 @@ def without_rejected(points: DataFrame, rejected: DataFrame, keys: list[str], id
 def enclosing_quadrants(numbers: DataFrame, segments: DataFrame, keys: list[str], id_col: str, low: float = 2.0, high: float = 10.0, least: float = 3.0) -> DataFrame:
     """(keys, id, quadrants): in how many of the four quadrants around a number's centre a segment ends."""
     long = segments.filter((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2 >= least * least)
-    ends = long.select(*keys, F.col("ax").alias("rx"), F.col("ay").alias("ry")).unionByName(long.select(*keys, F.col("bx").alias("rx"), F.col("by").alias("ry")))
+    ends = long.select(*keys, F.inline(F.array(F.struct(F.col("ax").alias("rx"), F.col("ay").alias("ry")), F.struct(F.col("bx").alias("rx"), F.col("by").alias("ry")))))
     near = near_pairs(numbers, ends, high, keys).filter(F.col("square") > low * low)
     quadrant = F.when(F.col("rx") >= F.col("x"), F.when(F.col("ry") <= F.col("y"), 1).otherwise(2)).otherwise(F.when(F.col("ry") > F.col("y"), 4).otherwise(8))
     bits = near.groupBy(*keys, id_col).agg(F.bit_or(quadrant).alias("bits"))
     return bits.select(*keys, id_col, F.bit_count("bits").cast("int").alias("quadrants"))
 
 
-def lines_of_words(words: DataFrame, page: str, tolerance: float) -> DataFrame:
+def lines_of_words(words: DataFrame, page: str | list[str], tolerance: float) -> DataFrame:
     """Adds ``line``: words sorted by (top, x0); a new line where the top moves by more than ``tolerance``."""
     order = Window.partitionBy(page).orderBy("top", "x0", "word_index")
     jump = F.when(F.abs(F.col("top") - F.lag("top").over(order)) > tolerance, 1).otherwise(0)
