@@ -98,12 +98,14 @@ def pointed_to(matches: DataFrame, words: DataFrame, pointers: Sequence[str], dx
     return matches.join(said, same & left, "left_semi")
 
 
-def positions(glyphs: DataFrame, pages: DataFrame, codes: Sequence[str], views: DataFrame | None = None, schedules: DataFrame | None = None, words: DataFrame | None = None, sheet_codes: Sequence[str] = (), rejected: DataFrame | None = None, added: DataFrame | None = None, pointers: Sequence[str] = POINTERS, settings: Settings = Settings()) -> DataFrame:
+def positions(glyphs: DataFrame, pages: DataFrame, codes: Sequence[str], views: DataFrame | None = None, schedules: DataFrame | None = None, words: DataFrame | None = None, sheet_codes: Sequence[str] = (), rejected: DataFrame | None = None, added: DataFrame | None = None, pointers: Sequence[str] = POINTERS, settings: Settings = Settings(), runs: DataFrame | None = None) -> DataFrame:
     """(page_id, view, code, cx, cy, size, char_index, user_added): what counts. Added rows
-    have size 0 and char_index -1."""
+    have size 0 and char_index -1. ``runs``: the same glyphs as arrays (``spatial.spelled_in_runs``),
+    which spares sorting the pages' streams."""
     s, codes = settings, list(dict.fromkeys(codes))
     at = F.coalesce(*[F.when(F.col("code") == c, k) for k, c in enumerate(codes)]).alias("code_at")
-    found = spatial.spelled(glyphs, codes).select("page_id", "code", at, "x0", "x1", "top", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("top") + F.col("bottom")) / 2).alias("cy"), "size", "char_index")
+    spelled = spatial.spelled(glyphs, codes) if runs is None else spatial.spelled_in_runs(runs, codes)
+    found = spelled.select("page_id", "code", at, "x0", "x1", "top", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("top") + F.col("bottom")) / 2).alias("cy"), "size", "char_index")
     single = [c for c in codes if len(c) == 1]
     if single:
         alone = spatial.isolated(found.filter(F.col("code").isin(single)), glyphs, reach=s.isolation)
