@@ -40,19 +40,25 @@ def section(text: Column) -> Column:
     return F.when(rest.isNotNull(), F.array_join(F.concat(F.slice(lines, 1, 1), walked["out"]), "\n"))
 
 
-def header_x(words: DataFrame, page: str) -> DataFrame:
-    """(page, x0): where the first header stands: one word, or KEY or KEYED with NOTES
-    within three words on its line, each less than 30 behind it."""
-    order = Window.partitionBy(page).orderBy("word_index")
+def with_header_x(words: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``_hx``, where the first header of the word's page stands: one word, or KEY or KEYED
+    with NOTES within three words on its line, each less than 30 behind it; null without one."""
+    order = Window.partitionBy(*keys).orderBy("word_index")
     one = F.struct(F.upper(F.trim("text")).alias("t"), "x0", "top")
-    ahead = words.select(page, "word_index", "x0", "x1", "top", F.upper(F.trim("text")).alias("t"), *[F.lead(one, k).over(order).alias(f"_n{k}") for k in (1, 2, 3)])
+    ahead = words.withColumns({"_t": F.upper(F.trim("text")), **{f"_n{k}": F.lead(one, k).over(order) for k in (1, 2, 3)}})
     hit, so_far = F.lit(False), F.lit(True)
     for k in (1, 2, 3):
         n = F.col(f"_n{k}")
         so_far = so_far & F.coalesce((F.abs(n["top"] - F.col("top")) < 5) & (n["x0"] - F.col("x1") < 30), F.lit(False))
         hit = hit | (so_far & F.coalesce(n["t"].contains("NOTE"), F.lit(False)))
-    found = ahead.filter(F.col("t").isin("KEYNOTES", "KEYNOTES:") | (F.col("t").isin("KEY", "KEYED") & hit))
-    return found.groupBy(page).agg(F.min_by("x0", "word_index").alias("x0"))
+    first = F.when(F.col("_t").isin("KEYNOTES", "KEYNOTES:") | (F.col("_t").isin("KEY", "KEYED") & hit), F.struct("word_index", "x0"))
+    marked = ahead.withColumn("_h", first).withColumn("_hx", F.min("_h").over(Window.partitionBy(*keys))["x0"])
+    return marked.select(*words.columns, "_hx")
+
+
+def header_x(words: DataFrame, page: str) -> DataFrame:
+    """(page, x0): where the first header of each page that has one stands."""
+    return with_header_x(words, [page]).filter("_hx IS NOT NULL").groupBy(page).agg(F.first("_hx").alias("x0"))
 
 
 def references(text: Column) -> Column:
