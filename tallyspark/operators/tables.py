@@ -76,10 +76,15 @@ def field_of_heading(text: Column) -> Column:
 def header_rows(cells: DataFrame, rows: int = 10) -> DataFrame:
     """(table_id, row_idx, score): the row with the best heading score of the first ones; it must name a code and two fields."""
     named = cells.filter(F.col("row_idx") < rows).withColumn("field", field_of_heading(F.col("text"))).filter("field is not null")
-    scored = named.groupBy("table_id", "row_idx").agg(F.countDistinct("field").alias("fields"), F.countDistinct(F.when(F.col("field").isin(STRONG), F.col("field"))).alias("strong"), F.max((F.col("field") == "code").cast("int")).alias("has_code"))
-    ok = scored.filter("has_code = 1 and fields >= 2").withColumn("score", F.col("fields") + 2 * F.col("strong"))
-    best = F.row_number().over(Window.partitionBy("table_id").orderBy(F.col("score").desc(), "row_idx"))
-    return ok.withColumn("_k", best).filter("_k = 1").select("table_id", "row_idx", "score")
+    bit = F.coalesce(*[F.when(F.col("field") == f, F.lit(1 << k)) for k, f in enumerate(HEADINGS)])
+    # dealt out by table first: a task that reads cells would hold a row of nearly each of them, as none repeats
+    dealt = named.select("table_id", "row_idx", bit.alias("_bit")).repartition("table_id")
+    held = dealt.groupBy("table_id", "row_idx").agg(F.bit_or("_bit").alias("_b"))
+    strong = sum(1 << k for k, f in enumerate(HEADINGS) if f in STRONG)
+    ok = held.withColumn("_n", F.bit_count("_b").cast("long")).filter((F.col("_b").bitwiseAND(1 << list(HEADINGS).index("code")) != 0) & (F.col("_n") >= 2))
+    scored = ok.select("table_id", "row_idx", (F.col("_n") + 2 * F.bit_count(F.col("_b").bitwiseAND(strong))).alias("score"))
+    best = scored.groupBy("table_id").agg(F.max(F.struct("score", (-F.col("row_idx")).alias("_at"), "row_idx")).alias("_s"))
+    return best.select("table_id", "_s.row_idx", "_s.score")
 
 
 def column_fields(cells: DataFrame, headers: DataFrame) -> DataFrame:
@@ -90,10 +95,11 @@ def column_fields(cells: DataFrame, headers: DataFrame) -> DataFrame:
 
 def records(cells: DataFrame, headers: DataFrame, fields: list[str]) -> DataFrame:
     """One row per data row below the header, one column per field."""
-    mapped = column_fields(cells, headers)
-    body = cells.join(headers.select("table_id", F.col("row_idx").alias("_head")), "table_id").filter("row_idx > _head")
-    named = body.join(mapped, ["table_id", "col_idx"])
-    wide = named.groupBy("table_id", "row_idx").pivot("field", fields).agg(F.first(clean_cell(F.col("text"))))
+    columns = column_fields(cells, headers).groupBy("table_id").agg(F.map_from_entries(F.collect_list(F.struct("col_idx", "field"))).alias("_fields"))
+    # one row a table: its heading and the field of each column; rows move by table and are put together there
+    known = headers.select("table_id", F.col("row_idx").alias("_head")).join(columns, "table_id")
+    named = cells.join(known.hint("merge"), "table_id").filter("row_idx > _head").select("table_id", "row_idx", F.col("_fields")[F.col("col_idx")].alias("field"), clean_cell(F.col("text")).alias("_t")).filter("field IS NOT NULL")
+    wide = named.groupBy("table_id", "row_idx").agg(*[F.first(F.when(F.col("field") == f, F.col("_t")), ignorenulls=True).alias(f) for f in fields])
     return wide.filter(is_data_code(F.col("code")) if "code" in fields else F.lit(True))
 
 
