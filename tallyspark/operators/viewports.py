@@ -15,21 +15,22 @@ BAND_RIGHT, BAND_TOP, BAND_BOTTOM = 0.75, 0.82, 0.97
 WHOLE_RIGHT, TITLE_GAP, APART, ROW_DY = 0.65, 0.03, 0.10, 0.03
 
 
-def titles_of_words(words: DataFrame, page: str, width: float, tolerance: float = 5.0) -> DataFrame:
+def titles_of_words(words: DataFrame, page: str | list[str], width: float, tolerance: float = 5.0) -> DataFrame:
     """(page, text, cx, cy, lighting): segments of word lines that name a plan.
 
     ``words``: page, word_index, text, x0, x1, top, bottom. A segment that names a
     lighting plan and another one counts as the other.
     """
-    lined = lines_of_words(words, page, tolerance)
-    order = Window.partitionBy(page, "line").orderBy("x0", "word_index")
+    keys = [page] if isinstance(page, str) else page
+    lined = lines_of_words(words, keys, tolerance)
+    order = Window.partitionBy(*keys, "line").orderBy("x0", "word_index")
     cut = F.when(F.col("x0") - F.lag("x1").over(order) > width * TITLE_GAP, 1).otherwise(0)
     parts = lined.withColumn("_cut", cut).withColumn("segment", F.sum("_cut").over(order))
-    listed = parts.groupBy(page, "line", "segment").agg(
+    listed = parts.groupBy(*keys, "line", "segment").agg(
         F.array_sort(F.collect_list(F.struct("x0", "word_index", "text"))).alias("_w"), F.avg((F.col("x0") + F.col("x1")) / 2).alias("cx"), F.avg((F.col("top") + F.col("bottom")) / 2).alias("cy")
     )
-    named = listed.select(page, F.array_join(F.transform("_w", lambda w: w["text"]), " ").alias("text"), "cx", "cy")
-    return named.filter(F.col("text").rlike(LIGHTING) | F.col("text").rlike(NON_LIGHTING)).select(page, "text", "cx", "cy", (~F.col("text").rlike(NON_LIGHTING)).alias("lighting"))
+    named = listed.select(*keys, F.array_join(F.transform("_w", lambda w: w["text"]), " ").alias("text"), "cx", "cy")
+    return named.filter(F.col("text").rlike(LIGHTING) | F.col("text").rlike(NON_LIGHTING)).select(*keys, "text", "cx", "cy", (~F.col("text").rlike(NON_LIGHTING)).alias("lighting"))
 
 
 def cropped_titles(words: DataFrame, page: str, width: float, height: float) -> DataFrame:
@@ -40,8 +41,9 @@ def cropped_titles(words: DataFrame, page: str, width: float, height: float) ->
     band = within & (F.col("x1") <= width * BAND_RIGHT) & (F.col("top") >= height * BAND_TOP) & (F.col("bottom") <= height * BAND_BOTTOM)
     whole = within & (F.col("x1") <= width * WHOLE_RIGHT)
     regions = F.filter(F.array(F.when(band, "band"), F.when(whole, "whole")), lambda r: r.isNotNull())
-    keyed = words.withColumn("region", F.explode(regions)).withColumn("_pr", F.struct(page, "region"))
-    return titles_of_words(keyed, "_pr", width).select(f"_pr.{page}", "_pr.region", "text", "cx", "cy", "lighting")
+    # dealt out by page once, which serves every window and grouping up to the boxes
+    keyed = words.repartition(page).withColumn("region", F.explode(regions))
+    return titles_of_words(keyed, [page, "region"], width).select(page, "region", "text", "cx", "cy", "lighting")
 
 
 def split_pages(titles: DataFrame, page: str, width: float, height: float) -> DataFrame:
@@ -74,10 +76,10 @@ def boxes_of_titles(titles: DataFrame, page: str, width: float, height: float) -
     down = Window.partitionBy(page).orderBy("cy", "cx", "text")
     jump = F.when(F.col("grid") & (F.col("cy") - F.lag("cy").over(down) > height * ROW_DY), 1).otherwise(0)
     rows = titles.withColumn("_jump", jump).withColumn("row", F.sum("_jump").over(down))
-    centres = rows.groupBy(page, "row").agg(F.avg("cy").alias("_c"), F.bool_or("grid").alias("_g"))
-    by_row = Window.partitionBy(page).orderBy("row")
-    heights = centres.select(page, "row", *[F.when(F.col("_g"), (f("_c").over(by_row) + F.col("_c")) / 2).alias(n) for f, n in ((F.lag, "_y0"), (F.lead, "_y1"))])
     in_row = Window.partitionBy(page, "row")
+    rows = rows.withColumns({"_c": F.avg("cy").over(in_row), "_g": F.bool_or("grid").over(in_row)})
+    by_row = Window.partitionBy(page).orderBy("row")  # rows count up by one
+    rows = rows.withColumns({n: F.when(F.col("_g"), (F.first("_c").over(by_row.rangeBetween(k, k)) + F.col("_c")) / 2) for k, n in ((-1, "_y0"), (1, "_y1"))})
     light = F.when(F.col("lighting"), F.col("cx"))
     ends = rows.withColumns({"_first": F.min(light).over(in_row), "_last": F.max(light).over(in_row)})
     other = F.when(~F.col("lighting"), F.col("cx"))
@@ -89,4 +91,4 @@ def boxes_of_titles(titles: DataFrame, page: str, width: float, height: float) -
         return (F.col(a) + F.col(b)) / 2
 
     boxes = shown.withColumns({"x0": F.coalesce(half("_l", "cx"), half("_before", "cx"), F.lit(0.0)), "x1": F.coalesce(half("cx", "_r"), half("cx", "_after"), F.lit(width))})
-    return boxes.join(heights, [page, "row"]).select(page, "text", "x0", F.coalesce("_y0", F.lit(0.0)).alias("y0"), "x1", F.coalesce("_y1", F.lit(height)).alias("y1"))
+    return boxes.select(page, "text", "x0", F.coalesce("_y0", F.lit(0.0)).alias("y0"), "x1", F.coalesce("_y1", F.lit(height)).alias("y1"))
