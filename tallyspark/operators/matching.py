@@ -64,10 +64,13 @@ def resolved_source(names: DataFrame, known: DataFrame) -> DataFrame:
 
 def page_references(messages: DataFrame, pages: DataFrame, id_col: str, pattern: str) -> DataFrame:
     """(id, page): the distinct pages that a message's references name by number or code."""
-    hits = messages.select(id_col, F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(pattern), 1), lambda x: F.upper(x)))).alias("ref"))
-    by_code = hits.join(pages.select(F.upper("code").alias("ref"), "page_id"), "ref")
-    by_number = hits.join(pages.select(F.col("page_id").cast("string").alias("ref"), "page_id"), "ref")
-    return by_code.unionByName(by_number).select(id_col, "page_id").distinct()
+    said = messages.select(id_col, F.explode(F.transform(F.regexp_extract_all("text", F.lit(pattern), 1), lambda x: F.upper(x))).alias("ref"))
+    named = pages.select("page_id", F.explode(F.array(F.upper("code"), F.col("page_id").cast("string"))).alias("ref")).filter("ref IS NOT NULL")
+    # both sides know all their names, so that a pair counts at the first one that it shares: pairs,
+    # as many as pages of a code times messages that name it, are not gathered to be told apart
+    hits = said.groupBy(id_col).agg(F.array_sort(F.collect_set("ref")).alias("_refs")).select(id_col, "_refs", F.explode("_refs").alias("ref"))
+    names = named.groupBy("page_id").agg(F.collect_set("ref").alias("_names")).select("page_id", "_names", F.explode("_names").alias("ref"))
+    return hits.join(names, "ref").filter(F.array_min(F.array_intersect("_refs", "_names")) == F.col("ref")).select(id_col, "page_id")
 
 
 def neighbours(plans: DataFrame, group: str, order: str) -> DataFrame:
