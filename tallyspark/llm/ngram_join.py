@@ -14,10 +14,12 @@ and read as streams: every document of a list meets the ``reach`` documents befo
 which are all of a list of up to ``reach + 1``, and a few in longer lists; a list of more
 than ``hot`` documents is dealt to several tasks. Next neighbours are compared first, then the
 pairs that these comparisons left in different components. What longer lists still hold is asked
-for only between documents that are not yet in one component: some rounds in other
-random orders join the large groups, and then all remaining pairs of different
-components are compared. So large groups of copies never expand to all pairs, and no
-link between different components is lost.
+for only between documents that are not yet in one component, and only at rows that can
+be a pair's first common token: each document and the one of its list with the fewest rare
+shingles, then some rounds in other random orders join the large groups, and then all
+remaining pairs of different components are compared, of which one at least is outside its
+list's largest component. So large groups of copies never expand to all pairs, and no link
+between different components is lost.
 
 Ids are integers. Defined results: texts that are null, empty or without words have no
 shingles, are linked with nothing and form their own component; fewer words than a
@@ -342,36 +344,42 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: tuple[in
     discard(counted, pairs, links, open_pairs, more)
 
     if not long.isEmpty():
-        for turn in range(rounds + 1):
-            held = long.join(groups, "id", "left").select("token", "id", "n", "step", "rest", "place", F.coalesce("component", "id").alias("component"))
-            mixed = held.groupBy("token").agg(F.min("component").alias("_x"), F.max("component").alias("_y"), F.count("*").alias("_many")).filter("_x <> _y")
-            # a long list's rows are dealt to several tasks, and so is what they meet
-            salts = mixed.select("token", "_many", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-            open_lists = saved(held.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salts, ["token", "_salt"]).drop("_salt"), "open-lists")
+        asking = askers(long, groups, num, den)
+        for turn in range(rounds + 2):
+            held = asking.join(groups, "id", "left").select("token", "id", "n", "step", "rest", "place", "rank", "held", F.coalesce("component", "id").alias("component"))
+            # the row with the fewest rare tokens before it is most like the others of its list
+            like = F.min(F.struct((F.col("place") - F.col("rank")).alias("rare"), F.xxhash64("id", "token").alias("h"), "id", "n", "component")).alias("_like")
+            parts = held.groupBy("token", "component").agg(F.count("*").alias("_rows"), like)
+            mixed = parts.groupBy("token").agg(F.count("*").alias("_parts"), F.sum("_rows").alias("_many"), F.max("_rows").alias("_most"), F.max_by("component", "_rows").alias("_main"), F.min("_like").alias("_like")).filter("_parts > 1")
+            open_lists = saved(dealt_out(held, mixed.select("token", "_many", (F.col("_many") - F.col("_most")).alias("_others"), "_main", "_like")), "open-lists")
             if open_lists.isEmpty():
+                discard(open_lists)
                 break
-            if turn < rounds:  # neighbours in another random order
-                dealt = open_lists.withColumns({"_order": F.xxhash64("id", F.lit(turn)), "salt": F.expr(f"cast(pmod(xxhash64({turn}, id), _many div {hot} + 1) as int)")})
+            if turn == 0:  # each document and the likeliest of its first lists
+                near = open_lists.filter(f"rank <= {NEXT} and component <> _like.component and {den} * least(n, _like.n) >= {num} * greatest(n, _like.n)")
+                asked = near.select(F.least("id", "_like.id").alias("a"), F.greatest("id", "_like.id").alias("b")).distinct()
+            elif turn <= rounds:  # neighbours in another random order
+                dealt = open_lists.withColumns({"_order": F.xxhash64("id", F.lit(turn - 1)), "salt": F.expr(f"cast(pmod(xxhash64({turn - 1}, id), _many div {hot} + 1) as int)")})
                 again = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token", "salt")
                 near = again.sortWithinPartitions("token", "salt", "_order").select("token", "salt", "id", "n", "step", "place").mapInArrow(_meetings(num, den, min(reach, NEXT)), MEETING_SQL).filter("kind = 0").select("a", "b").distinct()
                 asked = across(near, groups)
             else:  # all pairs of different components, met at what can be their first common token
-                # (such a pair shares nothing in short lists, or it was compared before)
-                by_place = Window.partitionBy("id", "n").orderBy("place")
-                ranked = open_lists.withColumns({"rank": F.row_number().over(by_place), "held": F.count("*").over(Window.partitionBy("id", "n"))})
-                # each pair of blocks of a list is a group of its own
-                blocks = F.expr(f"_many div {BLOCK} + 1")
-                placed = ranked.withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-                x = placed.withColumnsRenamed({"own": "left", "other": "right"})
-                y = placed.select("token", F.col("other").alias("left"), F.col("own").alias("right"), *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "rest", "component", "rank", "held")])
+                # of such a pair one at least is outside the list's largest component; each pair of blocks is a group of its own
+                wide, narrow = F.expr(f"_many div {BLOCK} + 1"), F.expr(f"_others div {BLOCK} + 1")
+                every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+                x = open_lists.filter("component <> _main").withColumn("left", F.pmod(F.xxhash64("id"), narrow)).withColumn("right", every(wide))
+                y = open_lists.withColumn("right", F.pmod(F.xxhash64("id"), wide)).withColumn("left", every(narrow))
+                y = y.select("token", "left", "right", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "rest", "component", "rank", "held")])
                 least_shared = f"greatest({common_needed('n', 'n_b', num, den)} - greatest(rest, rest_b), 1L)"
-                meet = x.join(y, ["token", "left", "right"]).filter(f"component < component_b and {den} * least(n, n_b) >= {num} * greatest(n, n_b) and rank + {least_shared} <= held + 1 and rank_b + {least_shared} <= held_b + 1")
+                apart = "component <> component_b and (component_b = _main or component < component_b)"
+                meet = x.join(y, ["token", "left", "right"]).filter(f"{apart} and {den} * least(n, n_b) >= {num} * greatest(n, n_b) and rank + {least_shared} <= held + 1 and rank_b + {least_shared} <= held_b + 1")
                 asked = meet.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
             asked = saved(asked, "pairs")
             more = saved(verified(asked, texts, shingle, num, den), "links")
             if not more.isEmpty():
                 groups = joined_groups(groups, more)
             discard(asked, more, open_lists)
+        discard(asking)
     discard(texts, met)
     # rows that share an id join the classes of their texts
     by_id = signatures.filter("_id is not null").groupBy("_id").agg(F.min("_mark").alias("_low"), F.max("_mark").alias("_high"), F.count("_mark").alias("_filled"), F.count("*").alias("_rows"))
@@ -390,6 +398,29 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: tuple[in
     return joined.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.coalesce("_component", "_id")).alias("component_id"))
 
 
+def dealt_out(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """The rows of the lists, with what is known of their list; a long list's rows are dealt to several tasks, and so is what they meet."""
+    salts = lists.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salts, ["token", "_salt"]).drop("_salt")
+
+
+def askers(long: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of long lists at which a pair of different components can first meet.
+
+    Such a pair shares nothing in short lists, or it was compared before, so it must share as many tokens of long
+    lists as both leave open. A row too near the end of its document's (``rank`` of ``held``) cannot be the first
+    of that many, whatever set of its list the other is.
+    """
+    held = long.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    lists = held.groupBy("token").agg(F.min("component").alias("_x"), F.max("component").alias("_y"), F.min("n").alias("_least"), F.max("rest").alias("_rest")).filter("_x <> _y").drop("_x", "_y")
+    by_place = Window.partitionBy("id", "n")
+    ranked = dealt_out(held, lists).withColumns({"rank": F.row_number().over(by_place.orderBy("place")), "held": F.count("*").over(by_place)})
+    smallest = f"greatest(_least, cast(ceil({num}D * n / {den}) as bigint))"
+    # a set linked with n tokens needs n of its own at most, and leaves one less behind its prefix
+    least_shared = f"greatest({common_needed('n', smallest, num, den)} - greatest(rest, least(_rest, n - 1)), 1L)"
+    return saved(ranked.filter(f"rank + {least_shared} <= held + 1").select(*long.columns, "rank", "held"), "askers")
+
+
 def across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """The pairs (a, b) that are not in one component."""
     of_a, of_b = (groups.select(F.col("id").alias(c), F.col("component").alias(f"_c{c}")) for c in "ab")

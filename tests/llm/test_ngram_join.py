@@ -60,6 +60,39 @@ def test_against_brute_force(docs):
         assert got == brute(texts, 4, 85, 100), (seed, reach, hot)
 
 
+def copies_of_one(size):
+    rnd = random.Random(size)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(148)]
+    texts = []
+    for k in range(size):
+        w = list(base)
+        for at in rnd.sample(range(148), k % 7):  # from 4 on mostly strangers
+            w[at] = f"e{rnd.randrange(100_000)}"
+        texts.append(" ".join(w))
+    return texts
+
+
+def test_large_group_of_near_copies_does_not_grow_with_its_square(docs, monkeypatch):
+    written = []
+    saved = ngram_join.saved
+
+    def kept(df, name):
+        written.append((name, saved(df, name)))
+        return written[-1][1]
+
+    monkeypatch.setattr(ngram_join, "saved", kept)
+    monkeypatch.setattr(ngram_join, "discard", lambda *tables: None)
+    asked = {}
+    for size in (300, 900):
+        written.clear()
+        texts = copies_of_one(size)
+        got = sorted(tuple(r) for r in near_duplicates(docs(texts), similarity=(80, 100)).collect())
+        assert got == brute(texts, 5, 80, 100)
+        long = [name for name, _ in written].index("open-lists")
+        asked[size] = sum(df.count() for name, df in written[long:] if name == "pairs")
+    assert asked[900] < 5 * asked[300] and asked[900] < 12 * 900, asked
+
+
 def test_kept_documents_and_clashing_columns(docs):
     texts = ["a b c d e f g"] * 3 + ["x y", None, ""]
     table = docs(texts).withColumn("component_id", F.lit("mine")).withColumn("token", F.lit(0))
