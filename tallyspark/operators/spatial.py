@@ -48,8 +48,6 @@ def spelled_in_runs(runs: DataFrame, codes: list[str], page: str = "page_id", gl
     longest, firsts = max(map(len, codes)), sorted({c[0] for c in codes})
     if glyph is None:
         runs, glyph = runs.withColumn("texts", F.transform("glyphs", lambda g: g["text"])), lambda i: F.get("glyphs", i)
-    texts = runs.filter(F.size("texts") > 0)
-
     def begins(i: Column) -> Column:
         hit = F.lit(False)
         for code in codes:
@@ -63,8 +61,10 @@ def spelled_in_runs(runs: DataFrame, codes: list[str], page: str = "page_id", gl
         held = lambda k: F.when((i + k >= 0) & (i + k < F.size("texts")), glyph(i + k))
         return F.struct(held(-1).alias("_before"), *[held(k).alias(f"_g{k}") for k in range(longest + 1)])
 
-    placed = texts.withColumn("_at", F.filter(F.sequence(F.lit(0), F.size("texts") - 1), begins))
-    seen = placed.select(page, F.inline(F.transform("_at", around)))
+    # of a run without glyphs the place 0 begins nothing; inline_outer, since Spark filters runs before an
+    # inline by the size of what it spells, and so would spell them twice
+    placed = runs.withColumn("_at", F.filter(F.sequence(F.lit(0), F.greatest(F.size("texts") - 1, F.lit(0))), begins))
+    seen = placed.select(page, F.inline_outer(F.transform("_at", around))).filter("_g0 IS NOT NULL")
     more = ["bottom"] if "bottom" in seen.schema["_g0"].dataType.names else []
     return _spelled_from(seen.select("*", *[F.col(f"_g0.{c}").alias(c) for c in ("char_index", "x0", "top", "size", *more)]), codes, page, more)
 
@@ -106,13 +106,20 @@ def of_modal_size(matches: DataFrame, page: str = "page_id") -> DataFrame:
 def isolated(matches: DataFrame, glyphs: DataFrame, page: str = "page_id", reach: float = ISOLATION) -> DataFrame:
     """One-letter matches without another glyph near in their row: glyphs lie in rows
     of 3 points, and a match looks two rows up and down. The matches, few of the glyphs, are
-    sent to these rows; a glyph goes to its own row only."""
+    sent to these rows; a glyph goes to its own row only.
+
+    ``glyphs`` may be stretches, as words are: glyphs of one top from ``char_index`` to ``last_index``,
+    each nearer than ``reach`` to the one before, with the x0 of the first and the x1 of the last. A window
+    that meets a stretch then meets one of its glyphs, and a match in a longer stretch is not alone.
+    """
     found = written(matches, "matches")  # read twice
-    rows = glyphs.select(F.col(page).alias("_p"), F.col("char_index").alias("_ci"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.floor(F.col("top") / 3).alias("_r"))
+    last = F.col("last_index" if "last_index" in glyphs.columns else "char_index")
+    rows = glyphs.select(F.col(page).alias("_p"), F.col("char_index").alias("_ci"), last.alias("_li"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.floor(F.col("top") / 3).alias("_r"))
     asked = found.select(page, "char_index", "x0", "x1", "top", F.explode(F.sequence(F.floor(F.col("top") / 3) - 2, F.floor(F.col("top") / 3) + 2)).alias("_row"))
-    near = (F.col("_ci") != F.col("char_index")) & (F.col("_x1") > F.col("x0") - reach) & (F.col("_x0") < F.col("x1") + reach)
-    crowded = asked.join(rows, (F.col(page) == F.col("_p")) & (F.col("_row") == F.col("_r")) & near, "left_semi")
-    return found.join(crowded.select(page, "char_index", "x0", "x1", "top"), [page, "char_index", "x0", "x1", "top"], "left_anti").select(*matches.columns)
+    near = ((F.col("_ci") != F.col("char_index")) | (F.col("_li") != F.col("char_index"))) & (F.col("_x1") > F.col("x0") - reach) & (F.col("_x0") < F.col("x1") + reach)
+    # merge: by its estimate, that of the file they are read from, a table of glyphs may look small enough to be sent whole through the driver
+    crowded = asked.join(rows.hint("merge"), (F.col(page) == F.col("_p")) & (F.col("_row") == F.col("_r")) & near, "left_semi")
+    return found.join(crowded.select(page, "char_index", "x0", "x1", "top").hint("merge"), [page, "char_index", "x0", "x1", "top"], "left_anti").select(*matches.columns)
 
 
 def cells_around(x: Column, y: Column, radius: float, size: float) -> Column:
@@ -122,12 +129,14 @@ def cells_around(x: Column, y: Column, radius: float, size: float) -> Column:
 
 
 def near_pairs(left: DataFrame, right: DataFrame, radius: float, keys: list[str]) -> DataFrame:
-    """Rows of ``left`` (x, y) with rows of ``right`` (rx, ry) nearer than ``radius``: an equi-join on grid cells."""
+    """Rows of ``left`` (x, y) with rows of ``right`` (rx, ry) nearer than ``radius``: an equi-join on grid cells.
+
+    Both sides grow with the pages, so neither is sent whole, however small its files are."""
     size = 3 * radius  # a right row goes to 2.8 cells on average
     a = left.withColumn("_c", F.struct(F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy")))
     b = right.withColumn("_c", F.explode(cells_around(F.col("rx"), F.col("ry"), radius, size)))
     square = (F.col("x") - F.col("rx")) ** 2 + (F.col("y") - F.col("ry")) ** 2
-    return a.join(b, [*keys, "_c"]).withColumn("square", square).filter(F.col("square") < radius * radius).drop("_c")
+    return a.join(b.hint("merge"), [*keys, "_c"]).withColumn("square", square).filter(F.col("square") < radius * radius).drop("_c")
 
 
 def without_rejected(points: DataFrame, rejected: DataFrame, keys: list[str], id_col: str, radius: float = REJECT) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.operators import keynote_pages, matching, spatial, tables, viewports
+from tallyspark.plans import counting_queries as cq
 
 GLYPH = "char_index long, text string, x0 double, x1 double, top double, size double"
 
@@ -24,6 +25,33 @@ def test_runs_spell_as_streams_and_move_nothing(spark):
     assert spatial.spelled_in_runs(runs.limit(0), ["of"]).count() == 0
 
 
+def test_glyphs_never_go_through_the_driver(spark, tmp_path):
+    # a table of few bytes may be many glyphs: Spark's estimate is that of the file
+    text = "a de the of wonderful a " * 20
+    spark.createDataFrame([(c, t, "user", text) for c in range(6) for t in range(1, 4)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    runs, stretches = cq.plan_runs(spark, str(tmp_path)), cq.plan_stretches(spark, str(tmp_path))
+    glyphs = runs.select("page_id", F.inline("glyphs"))
+    spelled = spatial.spelled_in_runs(runs, ["a"])
+    few = spatial.isolated(spelled, stretches)
+    assert "BroadcastExchange" not in few._jdf.queryExecution().executedPlan().toString()
+    want = spatial.isolated(spelled, glyphs)
+    assert "BroadcastExchange" not in want._jdf.queryExecution().executedPlan().toString()
+    assert 0 < want.count() < spelled.count() and sorted(few.collect()) == sorted(want.collect())
+    assert stretches.count() * 2 < glyphs.count()
+
+
+def test_a_match_in_a_stretch_of_two_is_not_alone(spark):
+    matches = spark.createDataFrame([(1, "a", 0.0, 5.0, 0.0, 1), (1, "a", 100.0, 105.0, 0.0, 5), (1, "a", 200.0, 205.0, 0.0, 9)], "page_id int, code string, x0 double, x1 double, top double, char_index long")
+    stretches = spark.createDataFrame([(1, 1, 2, 0.0, 25.0, 0.0), (1, 5, 5, 100.0, 105.0, 0.0), (1, 9, 9, 200.0, 205.0, 0.0), (1, 11, 30, 219.0, 400.0, 6.0)], "page_id int, char_index long, last_index long, x0 double, x1 double, top double")
+    assert [r.char_index for r in spatial.isolated(matches, stretches).collect()] == [5]
+
+
+def test_near_pairs_send_no_side_whole(spark):
+    left, right = spark.createDataFrame([(1, 1, 0.0, 0.0)], "page int, id int, x double, y double"), spark.createDataFrame([(1, 3.0, 4.0)], "page int, rx double, ry double")
+    near = spatial.near_pairs(left, right, 10.0, ["page"])
+    assert "BroadcastExchange" not in near._jdf.queryExecution().executedPlan().toString() and [r.square for r in near.collect()] == [25.0]
+
+
 def test_a_point_goes_to_few_cells(spark):
     points = spark.range(900).select((F.col("id") % 30 * 1.0).alias("rx"), F.floor(F.col("id") / 30).cast("double").alias("ry"))
     assert points.select(F.avg(F.size(spatial.cells_around(F.col("rx"), F.col("ry"), 10.0, 30.0)))).first()[0] <= 4
