@@ -70,7 +70,7 @@ def apart(points: DataFrame, keys: list[str], order: list[str], distance: float,
         stays = stays.unionByName(more)
     marked = points.withColumns({"_g": group, "_known": known, "_o": F.struct(*rank)})
     stays = stays.select(F.col("_g").alias("_sg"), F.struct(*names).alias("_so"))
-    found = marked.filter("_known").join(stays, (F.col("_g") == F.col("_sg")) & F.col("_o").eqNullSafe(F.col("_so")), "left_semi")
+    found = marked.filter("_known").join(stays.hint("merge"), (F.col("_g") == F.col("_sg")) & F.col("_o").eqNullSafe(F.col("_so")), "left_semi")
     return found.unionByName(marked.filter("NOT _known")).select(*points.columns)
 
 
@@ -112,4 +112,4 @@ def with_added(points: DataFrame, added: DataFrame, keys: list[str], seq: str, r
     mine = added.withColumns({"x": F.col(x).cast("double"), "y": F.col(y).cast("double")})
     there = points.select(*keys, F.col(x).cast("double").alias("rx"), F.col(y).cast("double").alias("ry"))
     known = near_pairs(mine.select(*keys, seq, "x", "y"), there, radius, keys).select(*keys, seq).distinct()
-    return apart(added.join(known, [*keys, seq], "left_anti"), keys, [seq], radius, x, y)
+    return apart(added.join(known.hint("merge"), [*keys, seq], "left_anti"), keys, [seq], radius, x, y)

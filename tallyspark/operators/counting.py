@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.written import written
+from ..sources.written import dropped, written
 from . import spatial
 from .apart import apart, with_added
 
@@ -95,23 +95,25 @@ def pointed_to(matches: DataFrame, words: DataFrame, pointers: Sequence[str], dx
     said = said.select(*[F.col(c).alias(f"_{c}") for c in VIEW], F.col("cx").alias("_wx"), F.col("cy").alias("_wy"), F.explode(F.sequence(F.floor(F.col("cy") / dy) - 1, F.floor(F.col("cy") / dy) + 1)).alias("_row"))
     same = (F.col("page_id") == F.col("_page_id")) & (F.col("view") == F.col("_view")) & (F.floor(F.col("cy") / dy) == F.col("_row"))
     left = (F.col("_wx") < F.col("cx")) & (F.col("cx") - F.col("_wx") < dx) & (F.abs(F.col("_wy") - F.col("cy")) < dy)
-    return matches.join(said, same & left, "left_semi")
+    return matches.join(said.hint("merge"), same & left, "left_semi")
 
 
 def positions(glyphs: DataFrame, pages: DataFrame, codes: Sequence[str], views: DataFrame | None = None, schedules: DataFrame | None = None, words: DataFrame | None = None, sheet_codes: Sequence[str] = (), rejected: DataFrame | None = None, added: DataFrame | None = None, pointers: Sequence[str] = POINTERS, settings: Settings = Settings(), runs: DataFrame | None = None) -> DataFrame:
     """(page_id, view, code, cx, cy, size, char_index, user_added): what counts. Added rows
     have size 0 and char_index -1. ``runs``: the same glyphs as arrays (``spatial.spelled_in_runs``),
-    which spares sorting the pages' streams."""
+    which spares sorting the pages' streams; ``glyphs`` may then be stretches (``spatial.isolated``)."""
     s, codes = settings, list(dict.fromkeys(codes))
     at = F.coalesce(*[F.when(F.col("code") == c, k) for k, c in enumerate(codes)]).alias("code_at")
     spelled = spatial.spelled(glyphs, codes) if runs is None else spatial.spelled_in_runs(runs, codes)
     found = spelled.select("page_id", "code", at, "x0", "x1", "top", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("top") + F.col("bottom")) / 2).alias("cy"), "size", "char_index")
+    found = every = written(found, "spelled")  # spelling costs the most: once, not for each step that reads matches
     single = [c for c in codes if len(c) == 1]
     if single:
         alone = spatial.isolated(found.filter(F.col("code").isin(single)), glyphs, reach=s.isolation)
         found = found.filter(~F.col("code").isin(single)).unionByName(alone)
     # few rows are left of the glyphs: written once, as what follows reads them more than once
     found = written(of_usual_size(in_views(found, pages, views, schedules, s), s), "matches")
+    dropped(every)
     if single:
         kept = apart(found.filter(F.col("code").isin(single)), [*VIEW, "code"], ["cy", "cx", "char_index"], s.near_same, "cx", "cy")
         found = found.filter(~F.col("code").isin(single)).unionByName(kept)
@@ -120,12 +122,13 @@ def positions(glyphs: DataFrame, pages: DataFrame, codes: Sequence[str], views:
     if both and words is not None:
         read = in_views(words.withColumns({"cx": (F.col("x0") + F.col("x1")) / 2, "cy": (F.col("top") + F.col("bottom")) / 2}), pages, views, schedules, s)
         point = pointed_to(found.filter(F.col("code").isin(both)), read, pointers).select(*VIEW, "code", "char_index")
-        found = found.join(point, [*VIEW, "code", "char_index"], "left_anti")
+        found = found.join(point.hint("merge"), [*VIEW, "code", "char_index"], "left_anti")
     key = [*VIEW, "code"]
     if rejected is not None:
+        found = written(found, "matches")  # read twice; its plan would double too
         said = rejected.select("page_id", F.coalesce("view", F.lit("")).alias("view"), "code", F.col("cx").cast("double").alias("rx"), F.col("cy").cast("double").alias("ry"))
         gone = spatial.near_pairs(found.withColumns({"x": F.col("cx"), "y": F.col("cy")}), said, s.reject, key).select(*key, "char_index")
-        found = found.join(gone, [*key, "char_index"], "left_anti")
+        found = found.join(gone.hint("merge"), [*key, "char_index"], "left_anti")
     out = found.select(*key, "cx", "cy", "size", "char_index", F.lit(False).alias("user_added"))
     if added is not None:
         out = written(out, "matches")

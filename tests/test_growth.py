@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import keynote_pages, matching, spatial, tables, viewports
 from tallyspark.plans import counting_queries as cq
+from tallyspark.sources.written import written
 
 GLYPH = "char_index long, text string, x0 double, x1 double, top double, size double"
 
@@ -46,6 +47,18 @@ def test_a_match_in_a_stretch_of_two_is_not_alone(spark):
     assert [r.char_index for r in spatial.isolated(matches, stretches).collect()] == [5]
 
 
+def test_positions_spell_once(spark, tmp_path, monkeypatch):
+    from tallyspark.operators import counting
+
+    spark.createDataFrame([(c, t, "user", "a de the of see of a") for c in range(6) for t in range(1, 4)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    plans = []
+    write = lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), written(df, name))[1]
+    monkeypatch.setattr(counting, "written", write)
+    monkeypatch.setattr(spatial, "written", write)
+    found = cq.plan_positions(spark, str(tmp_path))
+    assert sum("_before" in p for p in plans) == 1 and found.filter("not user_added").count() > 0
+
+
 def test_near_pairs_send_no_side_whole(spark):
     left, right = spark.createDataFrame([(1, 1, 0.0, 0.0)], "page int, id int, x double, y double"), spark.createDataFrame([(1, 3.0, 4.0)], "page int, rx double, ry double")
     near = spatial.near_pairs(left, right, 10.0, ["page"])
