@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ ENTRY = r"^\s*(\d+)\s*[.):\-]?\s+([A-Z].+)"
 FIXTURE_REFERENCE = r"(?i)(?:TYPE\s+|FIXTURE\s+)?([A-Z]{1,2}\d{1,2})\b"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def section(text: Column) -> Column:
     """The text from its keynotes header on, cut after the section; null without a header.
 
@@ -35,9 +42,31 @@ def section(text: Column) -> Column:
         done = a["done"] | over | ((misses >= 2) & started)
         return F.struct(done.alias("done"), started.alias("started"), misses.alias("misses"), F.when(~done & kept, F.concat(a["out"], F.array(line))).otherwise(a["out"]).alias("out"))
 
-    lines = F.split(rest, "\n")
-    walked = F.aggregate(F.slice(lines, 2, F.size(lines)), F.struct(F.lit(False).alias("done"), F.lit(False).alias("started"), F.lit(0).alias("misses"), empty.alias("out")), step)
-    return F.when(rest.isNotNull(), F.array_join(F.concat(F.slice(lines, 1, 1), walked["out"]), "\n"))
+    def walked(lines: Column) -> Column:
+        start = F.struct(F.lit(False).alias("done"), F.lit(False).alias("started"), F.lit(0).alias("misses"), empty.alias("out"))
+        return F.array_join(F.concat(F.slice(lines, 1, 1), F.aggregate(F.slice(lines, 2, F.size(lines)), start, step)["out"]), "\n")
+
+    return let(F.split(rest, "\n"), lambda lines: F.when(lines.isNotNull(), walked(lines)))
+
+
+def header_of(words: Column) -> Column:
+    """As ``with_header_x``, of one array of words (word_index, text, x0, x1, top)."""
+    placed = lambda w: F.struct(*[w[c].alias(c) for c in ("word_index", "text", "x0", "x1", "top")])
+    said = lambda w: F.upper(F.trim(w["text"]))
+
+    def first(w: Column) -> Column:
+        def begins(i: Column) -> Column:
+            hit, so_far = F.lit(False), F.lit(True)
+            for k in (1, 2, 3):
+                n = F.get(w, i + k)
+                so_far = so_far & F.coalesce((F.abs(n["top"] - F.get(w, i)["top"]) < 5) & (n["x0"] - F.get(w, i)["x1"] < 30), F.lit(False))
+                hit = hit | (so_far & F.coalesce(said(n).contains("NOTE"), F.lit(False)))
+            t = said(F.get(w, i))
+            return t.isin("KEYNOTES", "KEYNOTES:") | (t.isin("KEY", "KEYED") & hit)
+
+        return F.get(w, F.get(F.filter(F.sequence(F.lit(0), F.size(w) - 1), begins), F.lit(0)))["x0"]
+
+    return let(F.sort_array(F.transform(words, placed)), first)
 
 
 def with_header_x(words: DataFrame, keys: list[str]) -> DataFrame:
