@@ -131,10 +131,11 @@ def cells_around(x: Column, y: Column, radius: float, size: float) -> Column:
 def near_pairs(left: DataFrame, right: DataFrame, radius: float, keys: list[str]) -> DataFrame:
     """Rows of ``left`` (x, y) with rows of ``right`` (rx, ry) nearer than ``radius``: an equi-join on grid cells.
 
-    Both sides grow with the pages, so neither is sent whole, however small its files are."""
-    size = 3 * radius  # a right row goes to 2.8 cells on average
-    a = left.withColumn("_c", F.struct(F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy")))
-    b = right.withColumn("_c", F.explode(cells_around(F.col("rx"), F.col("ry"), radius, size)))
+    Both sides grow with the pages, so neither is sent whole, however small its files are. The left
+    side, mostly the smaller one, goes to the cells around."""
+    size = 3 * radius  # a left row goes to 2.8 cells on average
+    a = left.withColumn("_c", F.explode(cells_around(F.col("x"), F.col("y"), radius, size)))
+    b = right.withColumn("_c", F.struct(F.floor(F.col("rx") / size).alias("cx"), F.floor(F.col("ry") / size).alias("cy")))
     square = (F.col("x") - F.col("rx")) ** 2 + (F.col("y") - F.col("ry")) ** 2
     return a.join(b.hint("merge"), [*keys, "_c"]).withColumn("square", square).filter(F.col("square") < radius * radius).drop("_c")
 

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators import keynote_pages, keynotes
+from tallyspark.operators import keynote_pages, keynotes, spatial
 
 WORDS = "page_id int, word_index long, text string, x0 double, x1 double, top double, bottom double"
 HELD = ["KEY", "KEYED", "NOTES:", "KEYNOTES:", "key", "1.", "2)", "Provide", "type", "12", None, "", "ä"]
@@ -92,3 +92,11 @@ def test_entries_and_sections_are_read_once(spark):
     want = [("1", "Provide a new lamp and its whole base", 1), ("2", "Fixture of the wall", 2)]
     assert sorted(map(tuple, entries.collect())) == [(p, *w) for p in (1, 2) for w in want]
     assert keynote_pages.entries(found.select("page_id", F.lit("no entry\nat all").alias("section")), ["page_id"]).count() == 0
+
+
+def test_ends_of_segments_are_not_multiplied(spark):
+    left, right = spark.createDataFrame([(1, 1, 29.0, 29.0)], "page int, id int, x double, y double"), spark.createDataFrame([(1, 31.0, 31.0), (1, 20.0, 29.0), (1, 19.0, 29.0), (2, 29.0, 29.0)], "page int, rx double, ry double")
+    near = spatial.near_pairs(left, right, 10.0, ["page"])
+    made = [line for line in plan(near).splitlines() if "Generate" in line]
+    assert len(made) == 1 and not re.search(r"\brx#", made[0])
+    assert sorted(r.square for r in near.collect()) == [8.0, 81.0]
