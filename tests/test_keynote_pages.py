@@ -94,6 +94,19 @@ def test_entries_and_sections_are_read_once(spark):
     assert keynote_pages.entries(found.select("page_id", F.lit("no entry\nat all").alias("section")), ["page_id"]).count() == 0
 
 
+def test_keynotes_of_a_page_come_from_one_gathering_of_its_words(spark, monkeypatch):
+    said = [(0, "KEYNOTES:", 800.0), (100, "1.", 800.0), (101, "Provide", 820.0), (102, "a", 880.0), (103, "lamp", 890.0), (104, "A1", 920.0), (900, "1", 100.0), (901, "1", 600.0)]
+    words = spark.createDataFrame([(p, k, t, x, x + 8, 12.0 * (k // 100), 12.0 * (k // 100) + 8) for p in (1, 2) for k, t, x in said], WORDS)
+    pages = spark.createDataFrame([(p, 0.0, 0.0, 1000.0, 1000.0) for p in (1, 2)], "page_id int, bx0 double, by0 double, bx1 double, by1 double")
+    views = spark.createDataFrame([(2, "L", 0.0, 0.0, 500.0, 1000.0), (2, "R", 500.0, 0.0, 1000.0, 1000.0)], "page_id int, view string, x0 double, y0 double, x1 double, y1 double")
+    none = spark.createDataFrame([], "page_id int, ax double, ay double, bx double, by double")
+    plans, write = {}, keynote_pages.written
+    monkeypatch.setattr(keynote_pages, "written", lambda df, name: (plans.setdefault(name, plan(df)), write(df, name))[1])
+    got = keynote_pages.all_keynotes(words, none, pages, views).collect()
+    assert sorted((r.page_id, r.number, r.text, r.total, r.counts, r.references) for r in got) == [(1, "1", "Provide a lamp A1", 2, {"": 2}, ["A1"]), (2, "1", "Provide a lamp A1", 2, {"L": 1, "R": 1}, ["A1"])]
+    assert "Window" not in plans["entries"] and plans["entries"].count("collect_list") == 1
+
+
 def test_ends_of_segments_are_not_multiplied(spark):
     left, right = spark.createDataFrame([(1, 1, 29.0, 29.0)], "page int, id int, x double, y double"), spark.createDataFrame([(1, 31.0, 31.0), (1, 20.0, 29.0), (1, 19.0, 29.0), (2, 29.0, 29.0)], "page int, rx double, ry double")
     near = spatial.near_pairs(left, right, 10.0, ["page"])
